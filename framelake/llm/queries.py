@@ -11,6 +11,12 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import digests
+
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=50)
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_tree import encode_digests
 
@@ -45,7 +51,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe_tree, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_suffix_array, op5_bpe_tree, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": """
 WITH lines AS (
