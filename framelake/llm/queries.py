@@ -11,6 +11,12 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ego_join import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digests
 
@@ -51,8 +57,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array, op5_bpe_tree, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ego_join, op3_suffix_array, op5_bpe_tree, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
+    "op1_ego_join": """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.x, b.x) >= 0.98 * (a.norm * b.norm)),
+reach AS (
+  SELECT u AS node, u AS other FROM links UNION SELECT r.node, l.w FROM reach r JOIN links l ON r.other = l.u),
+comp AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+deg AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(c.component, e.vec_id)::BIGINT AS component_id, coalesce(c.component, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN deg d ON d.u = e.vec_id LEFT JOIN comp c ON c.node = e.vec_id""",
     "op10_line_dedup": """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(1, 1 + len(string_split(coalesce(text, ''), chr(10))))) AS pos
