@@ -17,12 +17,29 @@ def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.98)
 
 
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_url_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES).drop("ratio")
+
+
 def op3_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digests
 
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=50)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk import top_scores
+
+    return top_scores(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_tree import encode_digests
 
@@ -57,8 +74,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ego_join, op3_suffix_array, op5_bpe_tree, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
+    "op4_topk": """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op1_ego_join": """
 WITH RECURSIVE v AS MATERIALIZED (
   SELECT vec_id, label, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings
