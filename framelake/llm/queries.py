@@ -59,6 +59,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), _path("byte_bpe_50k.json"), end_id=1)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality_scores(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), cutoff=0.3).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -74,7 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op6_quality, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": """
 WITH v AS MATERIALIZED (
