@@ -201,7 +201,7 @@ def _stray_pairs(members: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     itself; the rest meets all in blocks of at most BLOCK, each block pair a group.
     """
     sizes = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
+    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count(F.lit(1)).alias("cs")).where("cs > 1 and all > 2")  # the one pair of two members has been confirmed or not
     main = main.select("key", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ns"))
     rows = members.join(main, "key").join(sigs, "d")
     stray = F.col("c") != F.col("main")
@@ -211,21 +211,38 @@ def _stray_pairs(members: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     own = lambda f: F.transform(F.sequence(F.lit(0), F.col("ns") - 1), f)
     as_main = own(lambda j: F.struct(F.col("b").alias("x"), j.alias("y")))
     as_stray = F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: F.struct(i.alias("x"), F.col("b").alias("y"))), own(lambda j: F.struct((F.col("nm") + F.least(j, F.col("b"))).alias("x"), F.greatest(j, F.col("b")).alias("y"))))
-    dealt = rows.select("key", F.explode(F.when(F.col("stray"), as_stray).otherwise(as_main)).alias("g"), "d", "c", "sig", "stray").select("key", "g.x", "g.y", "d", "c", "sig", "stray")
+    dealt = rows.select("key", F.explode(F.when(F.col("stray"), as_stray).otherwise(as_main)).alias("g"), "d", "c", "sig", "stray")
+    dealt = dealt.select("key", F.col("g.x").cast("long").alias("x"), F.col("g.y").cast("long").alias("y"), "d", "c", "sig", "stray")
 
-    def work(pdf):
+    def work(batches):
         import numpy as np
-        import pandas as pd
-
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u4").reshape(len(pdf), -1)
-        d, c = pdf["d"].to_numpy(), pdf["c"].to_numpy()
-        found = []
-        for k in np.flatnonzero(pdf["stray"].to_numpy()):
-            near = np.flatnonzero(((sig == sig[k]).sum(axis=1) >= least) & (c != c[k]))
-            found += [(min(d[k], d[i]), max(d[k], d[i])) for i in near]
-        return pd.DataFrame(sorted(set(found)), columns=["u", "v"]).astype("int64")
+        import pyarrow as pa
 
-    return dealt.groupBy("key", "x", "y").applyInPandas(work, "u long, v long").distinct()
+        def pairs(cols):
+            key, d, c, sig, stray = cols
+            out, edge = [], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)]):
+                for k in (a + np.flatnonzero(stray[a:b])).tolist():
+                    near = a + np.flatnonzero(((sig[a:b] == sig[k]).sum(axis=1) >= least) & (c[a:b] != c[k]))
+                    out.append(np.stack([np.minimum(d[near], d[k]), np.maximum(d[near], d[k])]))
+            found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = (np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1), batch.column(3).to_numpy(), batch.column(4).to_numpy(), np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u4").reshape(batch.num_rows, -1), batch.column(6).to_numpy(zero_copy_only=False))
+            held = new if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, new))
+            last = int(np.flatnonzero((held[0] != held[0][-1]).any(axis=1))[-1]) + 1 if (held[0] != held[0][-1]).any() else 0
+            if last:  # the last group may go on in the next batch
+                yield pairs(tuple(x[:last] for x in held))
+                held = tuple(x[last:] for x in held)
+        if held is not None:
+            yield pairs(held)
+
+    sent = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    return sent.mapInArrow(work, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = 8, r: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
