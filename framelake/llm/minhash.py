@@ -8,9 +8,10 @@ shares a table unless one collection fails: 1 - (1 - (1 - s^r)^m)^2.
 Stages: documents of equal shingle sets fall into one class; in each table the
 members of a bucket are paired with its smallest (linear in its size) and
 confirmed; where members of a bucket are then still in different components,
-the bucket's smaller components are compared with all of it in blocks, sketches
-first, and what passes is confirmed as well.  So links are lost only where no table or the sketch (17
-of 32 hashes) shows them.  No bucket is gathered in one task.
+those are left out that no other member can match, as too many of their
+shingles are in no other text, and the bucket's smaller components are compared
+with all of it in blocks, sizes and sketches first; what passes is confirmed as well.  So links are lost only where no table shows them, or a sketch of
+1024 cells errs by more than 5 percent.  No bucket is gathered in one task.
 
 Defined cases: a null or empty text, or one of white space, has an empty set
 and no link; rows repeated with the same id are one document, and an id is
@@ -25,6 +26,11 @@ from pyspark.sql import functions as F
 from ._common import components, drop_stage, write_stage
 
 BLOCK = 1024
+#: Cells of the sketches that stray pairs are compared by, and how far below the threshold, in percent, such a
+#: sketch may be (four standard deviations or more).
+BINS, SLACK = 1024, 5
+#: Times that documents are left out for what they share.
+ROUNDS = 1
 #: odd multipliers for word hashes, word places and set functions (public constants of splitmix64 and xxhash)
 _BASE, _PLACES = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
@@ -194,36 +200,81 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, salts
     return sent.select("u", "salt", "v", "t").mapInArrow(work, "u long, v long")
 
 
-def _stray_pairs(members: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """Pairs of different components within buckets, by sketch.
+def _shared_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(d, alone): how many shingles of each text no other of ``texts(d, t)`` holds; texts without such are left out."""
 
-    members: (key, d, c).  A bucket's largest component is not compared with
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        own = Shingler(words)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                sets = [own.shingles(t.as_py()) for t in some.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["d", "h"])
+
+    held = texts.select("d", "t").mapInArrow(work, "d long, h long")
+    alone = held.groupBy("h").agg(F.min("d").alias("d"), F.max("d").alias("e")).where("d = e")
+    return alone.groupBy("d").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _binned(texts: DataFrame, words: int) -> DataFrame:
+    """(d, sig): of each of BINS ranges of hashes, a byte of the smallest shingle in it (0: none)."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        own, shift = Shingler(words), np.uint64(64 - (BINS - 1).bit_length())
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                h = own.shingles(t.as_py())  # sorted
+                cell, first = np.unique(h >> shift, return_index=True)
+                row = np.zeros(BINS, np.uint8)
+                row[cell.astype(np.int64)] = _fmix(h[first]) % np.uint64(255) + np.uint64(1)
+                out.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["d", "sig"])
+
+    return texts.select("d", "t").mapInArrow(work, "d long, sig binary")
+
+
+def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components within buckets that sizes and sketches allow.
+
+    members: (key, d, c); facts: (d, sig, n, shared), of whose n shingles ``shared``
+    are in other texts too: two sets have at most the smaller ``shared`` in common.  A bucket's largest component is not compared with
     itself; the rest meets all in blocks of at most BLOCK, each block pair a group.
     """
     sizes = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count(F.lit(1)).alias("cs")).where("cs > 1 and all > 2")  # the one pair of two members has been confirmed or not
     main = main.select("key", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ns"))
-    rows = members.join(main, "key").join(sigs, "d")
+    rows = members.join(main, "key").join(facts, "d")
     stray = F.col("c") != F.col("main")
     block = F.when(stray, F.pmod(F.xxhash64("d"), F.col("ns"))).otherwise(F.pmod(F.xxhash64("d"), F.col("nm"))).cast("int")
-    rows = rows.select("key", "d", "c", "sig", stray.alias("stray"), block.alias("b"), "nm", "ns")
+    rows = rows.select("key", "d", "c", "sig", "n", "shared", stray.alias("stray"), block.alias("b"), "nm", "ns")
     # group (x, y): x a main block (from 0) or a stray block (from nm), y a stray block
     own = lambda f: F.transform(F.sequence(F.lit(0), F.col("ns") - 1), f)
     as_main = own(lambda j: F.struct(F.col("b").alias("x"), j.alias("y")))
     as_stray = F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: F.struct(i.alias("x"), F.col("b").alias("y"))), own(lambda j: F.struct((F.col("nm") + F.least(j, F.col("b"))).alias("x"), F.greatest(j, F.col("b")).alias("y"))))
-    dealt = rows.select("key", F.explode(F.when(F.col("stray"), as_stray).otherwise(as_main)).alias("g"), "d", "c", "sig", "stray")
-    dealt = dealt.select("key", F.col("g.x").cast("long").alias("x"), F.col("g.y").cast("long").alias("y"), "d", "c", "sig", "stray")
+    dealt = rows.select("key", F.explode(F.when(F.col("stray"), as_stray).otherwise(as_main)).alias("g"), "d", "c", "sig", "stray", "n", "shared")
+    dealt = dealt.select("key", F.col("g.x").cast("long").alias("x"), F.col("g.y").cast("long").alias("y"), "d", "c", "sig", "stray", "n", "shared")
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
         def pairs(cols):
-            key, d, c, sig, stray = cols
+            key, d, c, sig, stray, n, shared = cols
             out, edge = [], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)]):
                 for k in (a + np.flatnonzero(stray[a:b])).tolist():
-                    near = a + np.flatnonzero(((sig[a:b] == sig[k]).sum(axis=1) >= least) & (c[a:b] != c[k]))
+                    fits = (c[a:b] != c[k]) & ((100 + percent) * np.minimum(shared[a:b], shared[k]) >= percent * (n[a:b] + n[k]))
+                    near = a + np.flatnonzero(fits)
+                    both = ((sig[near] == sig[k]) & (sig[k] > 0)).sum(axis=1)
+                    either = ((sig[near] > 0) | (sig[k] > 0)).sum(axis=1)
+                    near = near[100 * both >= (percent - SLACK) * either]
                     out.append(np.stack([np.minimum(d[near], d[k]), np.maximum(d[near], d[k])]))
             found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["u", "v"])
@@ -232,7 +283,7 @@ def _stray_pairs(members: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = (np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1), batch.column(3).to_numpy(), batch.column(4).to_numpy(), np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u4").reshape(batch.num_rows, -1), batch.column(6).to_numpy(zero_copy_only=False))
+            new = (np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1), batch.column(3).to_numpy(), batch.column(4).to_numpy(), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1), batch.column(6).to_numpy(zero_copy_only=False), batch.column(7).to_numpy(), batch.column(8).to_numpy())
             held = new if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, new))
             last = int(np.flatnonzero((held[0] != held[0][-1]).any(axis=1))[-1]) + 1 if (held[0] != held[0][-1]).any() else 0
             if last:  # the last group may go on in the next batch
@@ -248,10 +299,9 @@ def _stray_pairs(members: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = 8, r: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     count = 2 * m * r
-    least = count * 17 // 32
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     sets = write_stage(_sketches(rows, words, count), "sets")
-    reps = write_stage(sets.where("n > 0 and d is not null").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("sig").alias("sig")), "classes")
+    reps = write_stage(sets.where("n > 0 and d is not null").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
     salts = 16
 
     tables = _tables(reps, m, r)
@@ -264,7 +314,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
 
     comp = components(links).select(F.col("node").alias("d"), "component")
     placed = members.join(comp, "d", "left").select("key", "d", F.coalesce("component", "d").alias("c"))
-    more = write_stage(_stray_pairs(placed, reps.select("d", "sig"), least).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    open_ = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b and k > 2").select("key")
+    placed = write_stage(placed.join(open_, "key", "left_semi"), "open")
+    named = placed.select("d").distinct()
+    for _ in range(ROUNDS):  # who is left has fewer to share with
+        texts = rows.join(named, "d", "left_semi").dropDuplicates(["d"])
+        facts = reps.join(named, "d", "left_semi").join(_shared_shingles(texts, words), "d", "left").select("d", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        facts = write_stage(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts")
+        named = facts.select("d")
+    facts = facts.join(_binned(rows.join(named, "d", "left_semi").dropDuplicates(["d"]), words), "d")
+    placed = placed.join(facts.select("d"), "d", "left_semi")
+    more = write_stage(_stray_pairs(placed, facts, percent).join(pairs, ["u", "v"], "left_anti"), "pairs")
     if more.limit(1).count():
         named = more.select(F.explode(F.array("u", "v")).alias("d")).distinct()
         texts = rows.join(named, "d", "left_semi").dropDuplicates(["d"])
