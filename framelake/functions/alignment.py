@@ -39,8 +39,14 @@ def best_alignments(a, b, n: int, cost=None):
     rest = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a), -1, -1):
         for j in range(len(b), -1, -1):
-            if i < len(a) or j < len(b):
-                rest[i][j] = min([cost(a[i], b[j]) + rest[i + 1][j + 1]] * (i < len(a) and j < len(b)) + [cost(a[i], None) + rest[i + 1][j]] * (i < len(a)) + [cost(None, b[j]) + rest[i][j + 1]] * (j < len(b)))
+            ways = []
+            if i < len(a) and j < len(b):
+                ways.append(cost(a[i], b[j]) + rest[i + 1][j + 1])
+            if i < len(a):
+                ways.append(cost(a[i], None) + rest[i + 1][j])
+            if j < len(b):
+                ways.append(cost(None, b[j]) + rest[i][j + 1])
+            rest[i][j] = min(ways, default=0)
     heap, out, k = [(rest[0][0], 0, 0, 0, 0, ())], [], 0
     while heap and len(out) < n:
         _, _, spent, i, j, pairs = heapq.heappop(heap)

@@ -119,7 +119,7 @@ def distance_sq(a: Column, b: Column) -> Column:
 
 def factors(n: Column) -> Column:
     """All divisors of a positive integer, ascending."""
-    small = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(n)).cast("long")), lambda k: n % k == 0)
+    small = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt(n)).cast("long")), lambda k: F.try_mod(n, k) == 0)
     return F.array_sort(F.array_distinct(F.concat(small, F.transform(small, lambda k: F.floor(n / k).cast("long")))))
 
 

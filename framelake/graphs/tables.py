@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
+
 
 def degrees(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """id, n_in, n_out."""
@@ -39,14 +41,12 @@ def arc_ngrams(arcs: DataFrame, n: int) -> DataFrame:
 
 def closure(arcs: DataFrame, most: int = 64) -> DataFrame:
     """(src, dst) reachable by one arc or more; path lengths double each round until nothing is new."""
-    reach = arcs.select("src", "dst").distinct().persist()
+    reach = cut_lineage(arcs.select("src", "dst").distinct())
     count = reach.count()
     for _ in range(most):
         a, b = reach.select("src", F.col("dst").alias("_k")), reach.select(F.col("src").alias("_k"), "dst")
-        new = reach.union(a.join(b, "_k").select("src", "dst")).distinct().persist()
-        now = new.count()
-        reach.unpersist()
-        reach = new
+        reach = cut_lineage(reach.union(a.join(b, "_k").select("src", "dst")).distinct())
+        now = reach.count()
         if now == count:
             return reach
         count = now
@@ -61,7 +61,7 @@ def predicates(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     multi = arcs.groupBy("src", "dst").count().agg(F.coalesce(F.max("count") > 1, F.lit(False)).alias("multiarcs"))
     cycle = reach.agg(F.coalesce(F.bool_or(F.col("src") == F.col("dst")), F.lit(False)).alias("cycle"))
     mutual = reach.where("src <> dst").alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).agg((F.count(F.lit(1)) > 0).alias("wide_cycle"))
-    ends = deg.agg(F.count_if("n_in = 0").alias("starts"), F.count_if("n_out = 0").alias("ends"), F.coalesce(F.bool_or("n_in > 1"), F.lit(False)).alias("join"), F.count(F.lit(1)).alias("nodes"))
+    ends = deg.agg(F.count_if(F.col("n_in") == 0).alias("starts"), F.count_if(F.col("n_out") == 0).alias("ends"), F.coalesce(F.bool_or(F.col("n_in") > 1), F.lit(False)).alias("join"), F.count(F.lit(1)).alias("nodes"))
     both = arcs.select("src", "dst").union(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     parts = closure(both).where("dst < src").select("src").distinct().agg(F.count(F.lit(1)).alias("followers"))
     one = loops.crossJoin(multi).crossJoin(cycle).crossJoin(mutual).crossJoin(ends).crossJoin(parts)  # single rows
@@ -72,18 +72,22 @@ def topological_depth(arcs: DataFrame, most: int = 1000) -> DataFrame:
     """Longest-path depth of each node from the start nodes; a cycle raises."""
     nodes = arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     starts = nodes.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti")
-    depth, front, k = starts.withColumn("depth", F.lit(0)), starts, 0
-    bound = nodes.count()
-    while front.limit(1).count():
+    depth, k, bound = starts.withColumn("depth", F.lit(0)), 0, nodes.count()
+    if not starts.limit(1).count() and bound:
+        raise ValueError("the graph has a cycle")
+    while True:
+        # a round lengthens the longest known path to each node by one arc
         k += 1
         if k > min(bound, most):
             raise ValueError("the graph has a cycle")
-        front = arcs.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().persist()
-        depth = depth.union(front.withColumn("depth", F.lit(k)))
-    found = depth.groupBy("id").agg(F.max("depth").alias("depth"))
-    if found.count() < bound:
+        step = arcs.join(depth.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"))
+        after = cut_lineage(depth.union(step).groupBy("id").agg(F.max("depth").alias("depth")))
+        if not after.join(depth, ["id", "depth"], "left_anti").limit(1).count():
+            break
+        depth = after
+    if depth.count() < bound:
         raise ValueError("the graph has a cycle")
-    return found
+    return depth
 
 
 def best_paths(arcs: DataFrame, start, end, n: int, most: int = 100) -> DataFrame:
@@ -99,7 +103,7 @@ def best_paths(arcs: DataFrame, start, end, n: int, most: int = 100) -> DataFram
         done = here if done is None else done.union(here)
         step = arcs.select(F.col("src").alias("at"), F.col("dst").alias("_d"), F.col("cost").alias("_c"))
         paths = paths.join(step, "at").select(F.col("_d").alias("at"), (F.col("cost") + F.col("_c")).alias("cost"), F.concat("path", F.array("_d")).alias("path"))
-        paths = paths.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r").persist()
+        paths = cut_lineage(paths.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r"))
         if not paths.limit(1).count():
             break
     ranked = done.withColumn("rank", F.row_number().over(order))

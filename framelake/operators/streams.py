@@ -106,7 +106,7 @@ def accumulate_slots(df: DataFrame, part: list[str], tag: str, order: str, value
         import pandas as pd
 
         out, held, bundle = [], {t: [] for t in tags}, 0
-        for t, v in zip(pdf[tag], pdf[value]):
+        for t, v in zip(pdf[tag], pdf["_v"]):
             if t in held:
                 held[t].append(v)
                 if all(held.values()):
@@ -116,7 +116,7 @@ def accumulate_slots(df: DataFrame, part: list[str], tag: str, order: str, value
 
     kind = dict(df.dtypes)
     schema = f"{fields}, bundle int, {tag} {kind[tag]}, items array<{kind[value]}>"
-    return df.select(*part, tag, order, value).groupBy(*part).applyInPandas(lambda p: fold(p.sort_values(order)), schema)
+    return df.select(*part, tag, F.col(order).alias("_o"), F.col(value).alias("_v")).groupBy(*part).applyInPandas(lambda p: fold(p.sort_values("_o")), schema)
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: str, value: str, default=" ") -> DataFrame:
@@ -150,12 +150,16 @@ def flip_random(df: DataFrame, label: str, permil: int, key: Column, seed: int =
     return df.withColumn(label, F.when(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1000)) < permil, 1 - F.col(label)).otherwise(F.col(label)))
 
 
+def _widen(rows: Column, held: list[str], name: str):
+    return lambda v: F.transform(rows, lambda s: F.struct(*(s[h].alias(h) for h in held), v.alias(name)))
+
+
 def feature_space(**values: list) -> Column:
     """All combinations of a few listed values, as an array of structs (dimension-sized)."""
-    out = F.array(F.struct())
+    out = F.array(F.struct(F.lit(0).alias("_")))
     for k, (name, vs) in enumerate(values.items()):
         held = list(values)[:k]
-        out = F.flatten(F.transform(F.array(*map(F.lit, vs)), lambda v, out=out, held=held, name=name: F.transform(out, lambda s: F.struct(*(s[h].alias(h) for h in held), v.alias(name)))))
+        out = F.flatten(F.transform(F.array(*map(F.lit, vs)), _widen(out, held, name)))
     return out
 
 

@@ -92,9 +92,9 @@ def f18_distance(spark, d):
     return a.join(b, "vec_id").select("vec_id", F.round(dsp.distance(F.col("x"), F.col("y")), 5).alias("dist"))
 
 
-@query("SELECT p_partkey, list_filter(range(1, p_partkey + 1), lambda k: p_partkey % k = 0) AS f, len(list_filter(range(1, p_partkey + 1), lambda k: p_partkey % k = 0)) = 2 AS prime FROM part WHERE p_partkey <= 400")
+@query("SELECT p_partkey, list_filter(range(1, p_partkey + 1), lambda k: p_partkey % k = 0) AS f, len(list_filter(range(1, p_partkey + 1), lambda k: p_partkey % k = 0)) = 2 AS prime FROM part WHERE p_partkey BETWEEN 1 AND 400")
 def f19_factors(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 400")
+    p = table(spark, d, "part").where("p_partkey between 1 and 400")
     return p.select("p_partkey", dsp.factors(F.col("p_partkey")).alias("f"), dsp.is_prime(F.col("p_partkey")).alias("prime"))
 
 
@@ -367,7 +367,7 @@ def t6_topological_depth(spark, d):
     return tables.topological_depth(arcs(spark, d))
 
 
-@query(f"WITH RECURSIVE {_ARCS}, p AS (SELECT dst AS at, (id % 13)::DOUBLE AS cost, [src, dst] AS path FROM arcs WHERE src = 0 UNION ALL SELECT a.dst, p.cost + a.id % 13, list_append(p.path, a.dst) FROM p JOIN arcs a ON a.src = p.at WHERE a.dst <= 12) SELECT rank::INTEGER AS rank, cost FROM (SELECT *, row_number() OVER (ORDER BY cost) AS rank FROM p WHERE at = 12) WHERE rank <= 5")
+@query(f"WITH RECURSIVE {_ARCS}, p AS (SELECT dst AS node, (id % 13)::DOUBLE AS cost, [src, dst] AS path FROM arcs WHERE src = 0 UNION ALL SELECT a.dst, p.cost + a.id % 13, list_append(p.path, a.dst) FROM p JOIN arcs a ON a.src = p.node WHERE a.dst <= 12) SELECT k::INTEGER AS rank, cost FROM (SELECT cost, row_number() OVER (ORDER BY cost) AS k FROM p WHERE node = 12) WHERE k <= 5")
 def t4_best_paths(spark, d):
     a = arcs(spark, d).where("dst <= 12").select("src", "dst", (F.col("id") % 13).cast("double").alias("cost"))
     return tables.best_paths(a, 0, 12, 5).select("rank", "cost")

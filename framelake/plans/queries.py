@@ -117,7 +117,7 @@ def j2_frames_in_segments(spark, d):
 def j3_middle_third(spark, d):
     f = frames(spark, d)
     s = f.where("(frame - 1) % 25 = 0").select("utt", (F.col("frame") - 1.0).alias("a"), (F.col("frame") + 8.0).alias("b"))
-    return segments.frames_in_segments(f.select("utt", "frame"), s, ["utt"], "frame", "a", "b", 1.0, (1 / 3, 2 / 3))
+    return segments.frames_in_segments(f.select("utt", "frame"), s, ["utt"], "frame", "a", "b", 1.0, (1 / 3, 2 / 3)).select("utt", "frame")
 
 
 @query("""WITH i AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS s FROM events),
@@ -320,8 +320,8 @@ def w1_stack(spark, d):
     return s.select("utt", "frame", at(0).alias("p"), at(64).alias("c"), at(128).alias("n"), F.size("stacked").alias("size"))
 
 
-@query(f"""WITH {POS}, w AS (SELECT user_id, event_id, pos, n, value, unnest(range(0, (n // 4 + 1)::BIGINT)) AS window FROM pos)
-SELECT user_id, window::INTEGER AS window, count(*) AS n, round(sum(value), 4) AS total, min(event_id) AS first FROM w WHERE pos BETWEEN window * 4 AND window * 4 + 9 AND window * 4 + 10 <= n GROUP BY 1, 2""")
+@query(f"""WITH {POS}, w AS (SELECT user_id, event_id, pos, n, value, unnest(range(0, (n // 4 + 1)::BIGINT)) AS win FROM pos)
+SELECT user_id, win::INTEGER AS "window", count(*) AS n, round(sum(value), 4) AS total, min(event_id) AS first FROM w WHERE pos BETWEEN win * 4 AND win * 4 + 9 AND win * 4 + 10 <= n GROUP BY 1, 2""")
 def w2_sliding_window(spark, d):
     w = streams.sliding_windows(events(spark, d), ["user_id"], ["event_id"], 10, 4)
     return w.groupBy("user_id", "window").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("event_id").alias("first"))
