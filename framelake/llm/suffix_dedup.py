@@ -195,7 +195,7 @@ def _anchor_blobs(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                     out.append((-1, d[doc[gone]].astype("<i8").tobytes(), pos[gone].astype("<u4").tobytes(), b"", b""))
                 doc, pos, h, c = doc[first], pos[first], h[first], c[first]
                 at = (h >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(at, kind="stable")
+                order = np.lexsort((pos, doc, at))  # ids and places in order pack well
                 ends = np.searchsorted(at[order], np.arange(buckets + 1))
                 for b in range(buckets):
                     x = order[ends[b] : ends[b + 1]]
