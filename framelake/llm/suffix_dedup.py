@@ -31,7 +31,7 @@ from ._common import write_stage
 
 WIDTH, GRAM = 50, 16
 #: Bytes of contexts that one sort takes; a group of one anchor is not split below it.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 
 
