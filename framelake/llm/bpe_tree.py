@@ -119,7 +119,7 @@ class TreeBPE:
         if hit is not None:
             return hit
         core = part.rstrip(".,")
-        if core != part and core.isalpha():  # letters and marks are pre-tokens of their own
+        if core != part and core.isalpha() and max(core) <= "\xff":  # letters and marks are pre-tokens of their own
             a, b = self._lookup(core), self._lookup(part[len(core) :])
             return a[0] + b[0], a[1] + b[1]
         return self._part(part)

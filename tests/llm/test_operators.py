@@ -32,7 +32,7 @@ def corpus(seed=3, n=60):
             w[len(w) // 2] = "changed"
             text = " ".join(w)
         docs.append((i * 3 % 101, text))
-    docs += [(200, None), (201, ""), (202, "  \n "), (203, "é" * 3000), (204, "é" * 3000), (205, "one"), (206, "one"), (207, "a  b\t c\n\nd <|endoftext|> e"), (208, "z" * 49), (209, "z" * 50), (210, "z" * 51)]
+    docs += [(200, None), (201, ""), (202, "  \n "), (203, "é" * 3000), (204, "é" * 3000), (205, "one"), (206, "one"), (211, "İ, क़, É, Ça. ΑΣ, ǅ."), (207, "a  b\t c\n\nd <|endoftext|> e"), (208, "z" * 49), (209, "z" * 50), (210, "z" * 51)]
     return docs
 
 
