@@ -307,3 +307,39 @@ def test_streaming(spark, tmp_path):
     q = st.adapt_models(src().withColumn("x", F.array("value")), "tag", "x", store).trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/models").start()
     q.awaitTermination(120)
     assert set(store["models"]) == {"a", "b"}
+
+
+def test_toolbox(spark, tmp_path):
+    from framelake.models import toolbox as tb
+    from framelake.models.gaussian import Mixture
+
+    models = {"a": Mixture([1.0], [[0.0, 0.0]], [[1.0, 1.0]]), "b": Mixture([1.0], [[4.0, 0.0]], [[1.0, 1.0]])}
+    df = tb.labelled_segments(spark, models, 6, 4, 20).withColumn("y", (F.col("label") == "b").cast("double")).persist()
+    assert df.count() == 480
+    rows = df.collect()
+    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
+    w = tb.logistic_fit(df, "x", "y")
+    assert np.mean((np.c_[x, np.ones(len(x))] @ w > 0) == y) > 0.95
+    assert np.allclose(tb.linear_fit(df, "x", "y"), np.linalg.lstsq(np.c_[x, np.ones(len(x))], y, rcond=None)[0], atol=1e-6)
+    r = tb.radial_fit(df, "x", "y", [[0, 0], [4, 0]], 2.0)
+    assert r[1] > r[0]
+    a = tb.discriminant_transform(df, "label", "x", 1, 5)
+    assert tb.transform_likelihood(df, "label", "x", a, 1) >= tb.transform_likelihood(df, "label", "x", np.eye(2), 1)
+    assert tb.organising_map(df, "x", 3, 3).shape == (9, 2)
+    best = tb.minimise(lambda p: (p[0] - 3) ** 2 + 10 * (p[1] + 1) ** 2, lambda p: np.array([2 * (p[0] - 3), 20 * (p[1] + 1)]), [0.0, 0.0])
+    assert np.allclose(best, [3, -1], atol=1e-5)
+    normal = lambda p: -0.5 * float(p @ p)
+    for s in (tb.metropolis(normal, [0.0], 4000, 1.5), tb.hamiltonian(normal, lambda p: -p, [0.0], 1500, 0.3)):
+        assert abs(s.mean()) < 0.2 and abs(s.var() - 1) < 0.25
+    mean, var = tb.regress_process([[0.0], [1.0], [2.0]], [0.0, 1.0, 0.0], [[1.0], [9.0]], 0.7, 1e-4)
+    assert mean[0] == pytest.approx(1, abs=0.01) and abs(mean[1]) < 0.01 and var[1] > var[0]
+    rng = np.random.default_rng(5)
+    power = rng.exponential(1, (60, 16))
+    power[30:] *= 20
+    ratio = tb.activity_ratio(power.tolist())
+    assert np.mean(ratio[35:]) > 5 * max(np.mean(ratio[6:30]), 0.01)
+    from framelake.sources import sinks
+
+    seg = spark.createDataFrame([("u", 0, 15000000, "S")], "utt string, start_100ns long, end_100ns long, label string")
+    assert sinks.result_xml(seg).first()["value"] == '<file name="u">\n  <segment start="0.00" end="1.50" label="S"/>\n</file>'
+    assert sinks.config_text({"A": 1, "B": True}) == "A = 1\nB = T\n"
