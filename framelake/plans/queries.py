@@ -513,6 +513,6 @@ def a11_log_spaced(spark, d):
     return metrics.log_spaced_sums(events(spark, d), ["user_id"], "event_id", "value")
 
 
-from . import model_queries  # noqa: E402,F401  registers more
+from . import model_queries, more_queries  # noqa: E402,F401  they register more
 
 FLAGSHIP = QUERIES["m3_gaussian_confusion"]
