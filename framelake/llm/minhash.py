@@ -145,7 +145,7 @@ def _sketches(rows: DataFrame, words: int, count: int) -> DataFrame:
 
 
 def _tables(reps: DataFrame, m: int, r: int) -> DataFrame:
-    """(key, d): the m*m table keys of each class."""
+    """(key, d, place): the m*m table keys of each class, place = i * m + j."""
 
     def work(batches):
         import numpy as np
@@ -162,9 +162,9 @@ def _tables(reps: DataFrame, m: int, r: int) -> DataFrame:
                 half = _fmix(half)
                 keys = half[:, 0, :, None] * np.uint64(_PLACES[2]) + half[:, 1, None, :] * np.uint64(_PLACES[3])
                 keys = _fmix(keys.reshape(some.num_rows, m * m) + number * np.uint64(_PLACES[4]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(some.column(0).to_numpy(), m * m))], names=["key", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(some.column(0).to_numpy(), m * m)), pa.array(np.tile(np.arange(m * m, dtype=np.int32), some.num_rows))], names=["key", "d", "place"])
 
-    return reps.select("d", "sig").mapInArrow(work, "key long, d long")
+    return reps.select("d", "sig").mapInArrow(work, "key long, d long, place int")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, salts: int) -> DataFrame:
@@ -240,11 +240,12 @@ def _binned(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("d", "t").mapInArrow(work, "d long, sig binary")
 
 
-def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int, m: int, r: int) -> DataFrame:
     """Pairs of different components within buckets that sizes and sketches allow.
 
-    members: (key, d, c); facts: (d, sig, n, shared), of whose n shingles ``shared``
-    are in other texts too: two sets have at most the smaller ``shared`` in common.  A bucket's largest component is not compared with
+    members: (key, place, d, c); facts: (d, sig, mins, n, shared), of whose n shingles ``shared``
+    are in other texts too: two sets have at most the smaller ``shared`` in common.  A pair
+    is looked at in the first table that both share, which their hashes tell.  A bucket's largest component is not compared with
     itself; the rest meets all in blocks of at most BLOCK, each block pair a group.
     """
     sizes = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
@@ -253,25 +254,27 @@ def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFram
     rows = members.join(main, "key").join(facts, "d")
     stray = F.col("c") != F.col("main")
     block = F.when(stray, F.pmod(F.xxhash64("d"), F.col("ns"))).otherwise(F.pmod(F.xxhash64("d"), F.col("nm"))).cast("int")
-    rows = rows.select("key", "d", "c", "sig", "n", "shared", stray.alias("stray"), block.alias("b"), "nm", "ns")
+    rows = rows.select("key", "place", "d", "c", "sig", "mins", "n", "shared", stray.alias("stray"), block.alias("b"), "nm", "ns")
     # group (x, y): x a main block (from 0) or a stray block (from nm), y a stray block
     own = lambda f: F.transform(F.sequence(F.lit(0), F.col("ns") - 1), f)
     as_main = own(lambda j: F.struct(F.col("b").alias("x"), j.alias("y")))
     as_stray = F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda i: F.struct(i.alias("x"), F.col("b").alias("y"))), own(lambda j: F.struct((F.col("nm") + F.least(j, F.col("b"))).alias("x"), F.greatest(j, F.col("b")).alias("y"))))
-    dealt = rows.select("key", F.explode(F.when(F.col("stray"), as_stray).otherwise(as_main)).alias("g"), "d", "c", "sig", "stray", "n", "shared")
-    dealt = dealt.select("key", F.col("g.x").cast("long").alias("x"), F.col("g.y").cast("long").alias("y"), "d", "c", "sig", "stray", "n", "shared")
+    dealt = rows.select("key", F.explode(F.when(F.col("stray"), as_stray).otherwise(as_main)).alias("g"), "d", "c", "sig", "stray", "n", "shared", "mins", "place")
+    dealt = dealt.select("key", F.col("g.x").cast("long").alias("x"), F.col("g.y").cast("long").alias("y"), "d", "c", "sig", "stray", "n", "shared", "mins", "place")
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
         def pairs(cols):
-            key, d, c, sig, stray, n, shared = cols
+            key, d, c, sig, stray, n, shared, mins, place = cols
             out, edge = [], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)]):
                 for k in (a + np.flatnonzero(stray[a:b])).tolist():
                     fits = (c[a:b] != c[k]) & ((100 + percent) * np.minimum(shared[a:b], shared[k]) >= percent * (n[a:b] + n[k]))
                     near = a + np.flatnonzero(fits)
+                    same = (mins[near] == mins[k]).reshape(len(near), 2, m, r).all(axis=3).argmax(axis=2)
+                    near = near[same[:, 0] * m + same[:, 1] == place[k]]
                     both = ((sig[near] == sig[k]) & (sig[k] > 0)).sum(axis=1)
                     either = ((sig[near] > 0) | (sig[k] > 0)).sum(axis=1)
                     near = near[100 * both >= (percent - SLACK) * either]
@@ -283,7 +286,7 @@ def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = (np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1), batch.column(3).to_numpy(), batch.column(4).to_numpy(), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1), batch.column(6).to_numpy(zero_copy_only=False), batch.column(7).to_numpy(), batch.column(8).to_numpy())
+            new = (np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1), batch.column(3).to_numpy(), batch.column(4).to_numpy(), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1), batch.column(6).to_numpy(zero_copy_only=False), batch.column(7).to_numpy(), batch.column(8).to_numpy(), np.frombuffer(b"".join(batch.column(9).to_pylist()), "<u4").reshape(batch.num_rows, -1), batch.column(10).to_numpy())
             held = new if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, new))
             last = int(np.flatnonzero((held[0] != held[0][-1]).any(axis=1))[-1]) + 1 if (held[0] != held[0][-1]).any() else 0
             if last:  # the last group may go on in the next batch
@@ -313,18 +316,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     links = write_stage(_confirm(pairs, texts, words, percent, salts), "links")
 
     comp = components(links).select(F.col("node").alias("d"), "component")
-    placed = members.join(comp, "d", "left").select("key", "d", F.coalesce("component", "d").alias("c"))
+    placed = members.join(comp, "d", "left").select("key", "place", "d", F.coalesce("component", "d").alias("c"))
     open_ = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b and k > 2").select("key")
     placed = write_stage(placed.join(open_, "key", "left_semi"), "open")
     named = placed.select("d").distinct()
     for _ in range(ROUNDS):  # who is left has fewer to share with
         texts = rows.join(named, "d", "left_semi").dropDuplicates(["d"])
-        facts = reps.join(named, "d", "left_semi").join(_shared_shingles(texts, words), "d", "left").select("d", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        facts = reps.join(named, "d", "left_semi").join(_shared_shingles(texts, words), "d", "left").select("d", "n", F.col("sig").alias("mins"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
         facts = write_stage(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts")
         named = facts.select("d")
     facts = facts.join(_binned(rows.join(named, "d", "left_semi").dropDuplicates(["d"]), words), "d")
     placed = placed.join(facts.select("d"), "d", "left_semi")
-    more = write_stage(_stray_pairs(placed, facts, percent).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    more = write_stage(_stray_pairs(placed, facts, percent, m, r).join(pairs, ["u", "v"], "left_anti"), "pairs")
     if more.limit(1).count():
         named = more.select(F.explode(F.array("u", "v")).alias("d")).distinct()
         texts = rows.join(named, "d", "left_semi").dropDuplicates(["d"])
