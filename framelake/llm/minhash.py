@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     members = write_stage(tables.join(low, "key"), "buckets")
     pairs = write_stage(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct(), "pairs")
     named = pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()
-    texts = rows.join(named, "d", "left_semi").dropDuplicates(["d"])
+    texts = rows.join(named.hint("merge"), "d", "left_semi").dropDuplicates(["d"])
     links = write_stage(_confirm(pairs, texts, words, percent, salts), "links")
 
     comp = components(links).select(F.col("node").alias("d"), "component")
@@ -321,16 +321,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     placed = write_stage(placed.join(open_, "key", "left_semi"), "open")
     named = placed.select("d").distinct()
     for _ in range(ROUNDS):  # who is left has fewer to share with
-        texts = rows.join(named, "d", "left_semi").dropDuplicates(["d"])
+        texts = rows.join(named.hint("merge"), "d", "left_semi").dropDuplicates(["d"])
         facts = reps.join(named, "d", "left_semi").join(_shared_shingles(texts, words), "d", "left").select("d", "n", F.col("sig").alias("mins"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
         facts = write_stage(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts")
         named = facts.select("d")
-    facts = facts.join(_binned(rows.join(named, "d", "left_semi").dropDuplicates(["d"]), words), "d")
+    facts = facts.join(_binned(rows.join(named.hint("merge"), "d", "left_semi").dropDuplicates(["d"]), words), "d")
     placed = placed.join(facts.select("d"), "d", "left_semi")
     more = write_stage(_stray_pairs(placed, facts, percent, m, r).join(pairs, ["u", "v"], "left_anti"), "pairs")
     if more.limit(1).count():
         named = more.select(F.explode(F.array("u", "v")).alias("d")).distinct()
-        texts = rows.join(named, "d", "left_semi").dropDuplicates(["d"])
+        texts = rows.join(named.hint("merge"), "d", "left_semi").dropDuplicates(["d"])
         found = write_stage(_confirm(more, texts, words, percent, salts), "links")
         comp = components(links.unionByName(found)).select(F.col("node").alias("d"), "component")
     for old in (members, pairs, more):
