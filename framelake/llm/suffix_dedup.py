@@ -12,8 +12,10 @@ ordered by symbol and rank and merged in; adjacent suffixes whose prefixes of ``
 document keeps them.  Nothing is sampled: a string in two documents has an
 anchor that both hold.
 
-A batch of documents sends each (anchor, context) once, so what a frequent
-passage brings to a task is bounded by the number of batches.
+A batch of documents sends each (anchor, context) for one document only, with
+all its places there, so what a frequent passage brings to a task is bounded by
+the number of batches and the places in one document of each.  A document's
+equal contexts of an anchor are sorted once, for all their places.
 
 Defined cases: null texts are empty; texts shorter than ``width`` stay whole;
 rows with equal ids do not remove each other's bytes; rows without an id
@@ -164,8 +166,8 @@ def repeats(contexts: list[bytes], owners, width: int):
 
 
 def _anchor_blobs(rows: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(bucket, docs, doc, pos, h, c) arrays as blobs: each (anchor, context) of a batch once, its smallest
-    document; bucket -1: (doc, pos) of the others, which are repeats."""
+    """(bucket, docs, doc, pos, h, c) arrays as blobs: each (anchor, context) of a batch at all places in its
+    smallest document; bucket -1: (doc, pos) of the others, which are repeats."""
 
     def work(batches):
         import numpy as np
@@ -193,7 +195,7 @@ def _anchor_blobs(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                 out = []
                 if gone.any():
                     out.append((-1, d[doc[gone]].astype("<i8").tobytes(), pos[gone].astype("<u4").tobytes(), b"", b""))
-                doc, pos, h, c = doc[first], pos[first], h[first], c[first]
+                doc, pos, h, c = doc[~gone], pos[~gone], h[~gone], c[~gone]
                 at = (h >> np.uint64(40)) % np.uint64(buckets)
                 order = np.lexsort((pos, doc, at))  # ids and places in order pack well
                 ends = np.searchsorted(at[order], np.arange(buckets + 1))
@@ -233,7 +235,8 @@ def _settle(blobs: DataFrame, lead: int, width: int) -> DataFrame:
                 opens[1:] = h[1:] != h[:-1]
                 number = np.cumsum(opens) - 1
                 several = (np.bincount(number, weights=first) > 1)[number]
-                gone, ask = d > least, first & several
+                gone = d > least
+                ask = ~gone & several  # at every place in the smallest document
                 group = np.where(ask, (np.int64(bucket) << 32) + h, -1)
                 use = gone | ask
                 d, pos, group = d[use], pos[use], group[use]
@@ -254,7 +257,7 @@ def _settle(blobs: DataFrame, lead: int, width: int) -> DataFrame:
 
 
 def _compare(asked: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(d, a, b): repeats found by sorting the contexts of each anchor."""
+    """(d, a, b): repeats found by sorting the contexts of each anchor; a document's equal ones go as one, with ``more`` places."""
     lists = asked.groupBy("d").agg(F.collect_list(F.struct("g", "a", "b")).alias("asked"))
     joined = rows.join(lists, "d").select("d", "t", "asked")
 
@@ -266,19 +269,33 @@ def _compare(asked: DataFrame, rows: DataFrame, width: int) -> DataFrame:
             for d, t, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data, flat = t.as_py().encode("utf-8", "surrogatepass"), asked.values
                 g, a, b = (flat.field(k).to_numpy() for k in range(3))
+                order = np.argsort(g, kind="stable")
+                g, a, b = g[order], a[order], b[order]
+                again = np.zeros(len(g) + 1, bool)
+                again[1:-1] = g[1:] == g[:-1]
+                keep, more = np.ones(len(g), bool), {}
+                head: dict = {}
+                several = np.flatnonzero(again[1:] | again[:-1])  # anchors with several places here
+                for k, anchor, x, y in zip(*(v.tolist() for v in (several, g[several], a[several], b[several]))):
+                    at = head.setdefault((anchor, data[x:y]), k)
+                    if at != k:
+                        keep[k] = False
+                        more.setdefault(at, []).append(x)
+                also = [np.array(more[k], "<i8").tobytes() if k in more else None for k in np.flatnonzero(keep).tolist()] if more else [None] * len(g)
+                g, a, b = g[keep], a[keep], b[keep]
                 for lo in range(0, len(g), 8192):
                     s = slice(lo, lo + 8192)
                     text = [data[x:y] for x, y in zip(a[s].tolist(), b[s].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(g[s]), pa.array(np.full(len(text), d)), pa.array(a[s]), pa.array(text, pa.binary())], names=["g", "d", "a", "x"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g[s]), pa.array(np.full(len(text), d)), pa.array(a[s]), pa.array(text, pa.binary()), pa.array(also[s], pa.binary())], names=["g", "d", "a", "x", "more"])
 
-    contexts = joined.mapInArrow(cut, "g long, d long, a long, x binary").repartition("g").sortWithinPartitions("g")
+    contexts = joined.mapInArrow(cut, "g long, d long, a long, x binary, more binary").repartition("g").sortWithinPartitions("g")
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
         def done(held):
-            x = [v for h in held for v in h[2]]
+            x, more = ([v for h in held for v in h[k]] for k in (2, 3))
             d, a = (np.concatenate([h[k] for h in held]) for k in range(2))
             which, start = repeats(x, d, width)
             order = np.lexsort((start, which))
@@ -288,8 +305,12 @@ def _compare(asked: DataFrame, rows: DataFrame, width: int) -> DataFrame:
                 new[1:] = (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)
                 i = np.flatnonzero(new)
                 j = np.append(i[1:], len(which)) - 1
-                w = which[i]
-                return pa.RecordBatch.from_arrays([pa.array(d[w]), pa.array(a[w] + start[i]), pa.array(a[w] + start[j] + width)], names=["d", "a", "b"])
+                w, lo, hi = which[i], start[i], start[j] + width
+                places = [np.frombuffer(more[k], "<i8") if more[k] else () for k in w.tolist()]
+                times = np.array([len(p) for p in places])
+                at = np.concatenate([a[w], *(p for p in places if len(p))])
+                w, lo, hi = (np.concatenate([v, np.repeat(v, times)]) for v in (w, lo, hi))
+                return pa.RecordBatch.from_arrays([pa.array(d[w]), pa.array(at + lo), pa.array(at + hi)], names=["d", "a", "b"])
 
         held, size, last = [], 0, None
         for batch in batches:
@@ -299,13 +320,13 @@ def _compare(asked: DataFrame, rows: DataFrame, width: int) -> DataFrame:
             for i, j in zip(cuts[:-1], cuts[1:]):
                 if size + (i - lo) * 2 * width > CHUNK and g[i] != last:
                     if i > lo:
-                        held.append((batch.column(1).to_numpy()[lo:i], batch.column(2).to_numpy()[lo:i], batch.column(3).slice(lo, i - lo).to_pylist()))
+                        held.append((batch.column(1).to_numpy()[lo:i], batch.column(2).to_numpy()[lo:i], *(batch.column(k).slice(lo, i - lo).to_pylist() for k in (3, 4))))
                     if held and (out := done(held)):
                         yield out
                     held, size, lo = [], 0, i
                 last = g[i]
             if len(g) > lo:
-                held.append((batch.column(1).to_numpy()[lo:], batch.column(2).to_numpy()[lo:], batch.column(3).slice(lo).to_pylist()))
+                held.append((batch.column(1).to_numpy()[lo:], batch.column(2).to_numpy()[lo:], *(batch.column(k).slice(lo).to_pylist() for k in (3, 4))))
                 size += (len(g) - lo) * 2 * width
         if held and (out := done(held)):
             yield out

@@ -175,6 +175,21 @@ def test_suffix_dedup(spark, docs):
     assert digests(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_a_passage_twice_in_a_document(spark):
+    from framelake.llm.suffix_dedup import digests
+
+    r = random.Random(17)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    p, q = words(80), words(80)
+    # 1 and 2 are in a batch of their own: by equal contexts, by others (60 bytes of q), and in runs of one character
+    small = [(1, words(20) + p + words(20)), (2, words(20) + q[200:260] + words(20)), (3, words(5) + "z" * 300)]
+    large = [(11, words(9) + p + words(9) + p + words(9) + p), (12, p + words(9)), (13, words(9) + q + words(9) + q + words(9)), (14, q), (15, "z" * 400 + words(9) + "z" * 400)]
+    df = frame(spark, small).coalesce(1).unionByName(frame(spark, large).coalesce(1))
+    want = removed(small + large, 50)
+    assert want[11][1] >= 3 * len(p) and want[13][1] >= 120
+    assert {x[0]: tuple(x[1:5]) for x in digests(df).collect()} == want
+
+
 # ---- 4 ------------------------------------------------------------------
 def test_top_scores(spark):
     from pyspark.sql import functions as F
