@@ -8,7 +8,8 @@ gradient descent in numpy on a bounded sample of labelled documents
 (``sample`` rows, taken in the order of a hash of their ids, texts of at most
 ``sample_chars``).  Scoring reads whole texts of all rows: as the softmax is
 linear in the average, each word needs one number, which workers keep in a
-bounded cache.
+bounded cache; words of more than ``LONG`` characters are taken in chunks of
+``CHUNK`` and not kept.
 
 Defined cases: a null or empty text has no features and is scored by the
 softmax's bias alone; labels that are null are not learned from; with no
@@ -18,6 +19,8 @@ none).
 
 from __future__ import annotations
 
+import functools
+import math
 import zlib
 
 from collections.abc import Iterator
@@ -29,16 +32,51 @@ from pyspark.sql import functions as F
 CELLS, DIM = 1 << 17, 16
 CACHE = 200_000
 SAMPLE, SAMPLE_CHARS = 4_000, 200_000
+LONG, CHUNK = 64, 1 << 16
 _REPEAT = 0  # the cell of a repeated word
 
 
 def word_cells(word: str) -> list[int]:
     """Cells of a word and of its character n-grams."""
-    marked = f"<{word[:64]}>"  # n-grams of a longer run repeat what its start says; the word itself counts whole
+    marked = f"<{word}>"
     grams = [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
     return [1 + zlib.crc32(g.encode("utf-8", "replace")) % (CELLS - 1) for g in [word, *grams]]
 
 
+@functools.cache
+def _crc_table():
+    import numpy as np
+
+    x = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        x = np.where(x & 1, x >> np.uint32(1) ^ np.uint32(0xEDB88320), x >> np.uint32(1))
+    return x
+
+
+def long_word_cells(word: str) -> Iterator:
+    """The cells of ``word_cells`` as arrays, from chunks that overlap by four characters."""
+    import numpy as np
+
+    table = _crc_table()
+    yield np.array([1 + zlib.crc32(word.encode("utf-8", "replace")) % (CELLS - 1)])
+    marked = f"<{word}>"
+    for lo in range(0, len(marked) - 2, CHUNK):
+        part = marked[lo : lo + CHUNK + 4]
+        raw = np.frombuffer(part.encode("utf-8", "replace"), np.uint8)
+        first = np.flatnonzero((raw & 0xC0) != 0x80)  # of each character
+        sizes = np.diff(first, append=len(raw))
+        state = np.full(min(CHUNK, len(part)), 0xFFFFFFFF, np.uint32)
+        for n in range(1, 6):  # the checksums of n characters from each place, continued from those of n - 1
+            state = state[: len(part) - n + 1]
+            at, size = first[n - 1 : n - 1 + len(state)], sizes[n - 1 : n - 1 + len(state)]
+            for k in range(int(size.max(initial=0))):
+                has = size > k
+                byte = raw[np.where(has, at + k, 0)]
+                state = np.where(has, table[(state ^ byte) & np.uint32(0xFF)] ^ (state >> np.uint32(8)), state)
+            if n >= 3:
+                yield 1 + (state ^ np.uint32(0xFFFFFFFF)).astype(np.int64) % (CELLS - 1)
+
+
 def features(text: str | None):
     """(cells, shares) of a document."""
     import numpy as np
@@ -49,7 +87,7 @@ def features(text: str | None):
         counts[w] = counts.get(w, 0) + 1
     total = np.zeros(0, np.int64), np.zeros(0)
     if words:
-        lists = [word_cells(w) for w in counts]
+        lists = [word_cells(w) if len(w) <= LONG else np.concatenate([*long_word_cells(w)]) for w in counts]
         cells = np.concatenate([np.array(x) for x in lists])
         each = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(x) for x in lists])
         same = sum(a == b for a, b in zip(words, words[1:]))
@@ -96,17 +134,19 @@ def train(texts: list, labels: list, epochs: int = 3, rate: float = 2.0, seed: i
 
 
 class Scorer:
-    """Scores of whole texts; each word's sum of values and number of features are kept."""
+    """Scores of whole texts; the sum of values and number of features of each word that is not long are kept."""
 
     def __init__(self, model: dict):
         self.value, self.bias, self.words, self.old = model["value"], model["bias"], {}, {}
 
     def _word(self, word: str) -> tuple[float, int]:
+        if len(word) > LONG:
+            parts = [(float(self.value[cells].sum()), len(cells)) for cells in long_word_cells(word)]
+            return math.fsum(v for v, _ in parts), sum(n for _, n in parts)
         cells = word_cells(word)
         return float(self.value[cells].sum()), len(cells)
 
     def score(self, text: str | None) -> float:
-        import math
         import operator
 
         words = text.split() if text else []
@@ -114,9 +154,16 @@ class Scorer:
         if words:
             if len(self.words) > CACHE:
                 self.old, self.words = self.words, {}
+            long = {}
             for w in set(words).difference(self.words):
-                self.words[w] = self.old.get(w) or self._word(w)
-            values, sizes = zip(*map(self.words.__getitem__, words))
+                if len(w) > LONG:
+                    long[w] = self._word(w)
+                else:
+                    self.words[w] = self.old.get(w) or self._word(w)
+            if long:
+                values, sizes = zip(*(long[w] if w in long else self.words[w] for w in words))
+            else:
+                values, sizes = zip(*map(self.words.__getitem__, words))
             same = sum(map(operator.eq, words, words[1:]))
             z = (math.fsum(values) + same * float(self.value[_REPEAT])) / (sum(sizes) + same)
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, z + self.bias))))

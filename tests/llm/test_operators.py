@@ -260,6 +260,23 @@ def test_quality(spark):
     assert quality_scores(df, labels.limit(0)).where("score = 0.5").count() == len(rows)
 
 
+def test_quality_reads_the_whole_of_long_words():
+    from framelake.llm import quality as q
+
+    r = random.Random(19)
+    for n in (65, 70, 1000, q.CHUNK - 1, q.CHUNK, q.CHUNK + 1, 2 * q.CHUNK + 3):
+        word = "".join(r.choice("abcXYZ09é漢𝄞\ud800") for _ in range(n))
+        assert sorted(np.concatenate([*q.long_word_cells(word)]).tolist()) == sorted(q.word_cells(word))
+    a = "".join(r.choice("abcdefgh") for _ in range(3000))
+    b = a[:1500] + "QQQQQQ" + a[1506:]
+    assert set(q.features(b)[0]) - set(q.features(a)[0]) > set(q.word_cells("xQQQQQQx")) & set(q.word_cells("yQQQQQQy"))
+    scorer = q.Scorer({"value": np.random.default_rng(1).standard_normal(q.CELLS), "bias": 0.1})
+    for t in (a, b, f"the {a} the {a} {a} end"):
+        cells, share = q.features(t)
+        assert abs(scorer.score(t) - 1 / (1 + np.exp(-(share @ scorer.value[cells] + 0.1)))) < 1e-9
+    assert all(len(w) <= q.LONG for w in scorer.words)
+
+
 # ---- 7 ------------------------------------------------------------------
 def shingle_sets(docs, n):
     import re
