@@ -243,13 +243,14 @@ def _binned(texts: DataFrame, words: int) -> DataFrame:
 def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int, m: int, r: int) -> DataFrame:
     """Pairs of different components within buckets that sizes and sketches allow.
 
-    members: (key, place, d, c); facts: (d, sig, mins, n, shared), of whose n shingles ``shared``
+    members: (key, place, d, c), of buckets that had three members or more: the two left of one may not have
+    been compared, as its smallest can be among those left out.  facts: (d, sig, mins, n, shared), of whose n shingles ``shared``
     are in other texts too: two sets have at most the smaller ``shared`` in common.  A pair
     is looked at in the first table that both share, which their hashes tell.  A bucket's largest component is not compared with
     itself; the rest meets all in blocks of at most BLOCK, each block pair a group.
     """
     sizes = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count(F.lit(1)).alias("cs")).where("cs > 1 and all > 2")  # the one pair of two members has been confirmed or not
+    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"), F.count(F.lit(1)).alias("cs")).where("cs > 1")
     main = main.select("key", "main", F.ceil(F.col("most") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("ns"))
     rows = members.join(main, "key").join(facts, "d")
     stray = F.col("c") != F.col("main")

@@ -304,6 +304,18 @@ def test_minhash(spark, docs, words, percent):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_minhash_links_a_pair_that_its_bucket_is_left_with(spark):
+    """Forty texts of smaller ids share 150 of 200 shingles with a near-copy pair and so every bucket, but cannot match."""
+    from framelake.llm.minhash import near_duplicates
+
+    r = random.Random(23)
+    words = lambda n: " ".join("".join(r.choice("abcdefghijkl") for _ in range(6)) for _ in range(n))
+    template = words(154)
+    rows = [(i, f"{template} {words(50)}") for i in range(40)] + [(50, f"{template} {words(2)}"), (51, f"{template} {words(2)}")]
+    got = {x["doc_id"]: x["component_id"] for x in near_duplicates(frame(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(40)}, 50: 50, 51: 50}
+
+
 def test_minhash_links_across_components_of_a_bucket(spark):
     """A chain whose ends are alike only through the middle, among many members of shared buckets."""
     from framelake.llm.minhash import near_duplicates
