@@ -9,8 +9,10 @@ log-likelihood of the accepting model less that of the rejecting one, divided
 by the URL's length.  A cutoff is calibrated on examples that counting left
 out, where the balanced error is least; URLs at or above it are allowed.
 
-Counts are kept in 2^``BITS`` hashed cells a class, so the models' size is
-bounded whatever the number of URLs.
+Every gram and context is counted by a 64-bit hash of its own, in distributed
+sums, so the models grow with the examples.  What is counted comes to the driver
+and goes to the workers as sorted tables: 16 bytes a distinct gram and 24 a
+distinct context of each class.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
 no rule, and is scored as the empty string; with examples of only one class
@@ -22,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import ascii_lower, drop_stage, write_stage
 
-ORDER, BITS = 5, 18
+ORDER = 5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -58,9 +60,9 @@ def _codes(texts):
 
 
 def _grams(codes, sizes):
-    """For each character but the first of its text and each order: hashed cells of (context, character) and of the context.
+    """For each character but the first of its text and each order: 64-bit hashes of (context, character) and of the context, and where they count.
 
-    A context never reaches beyond its text's start; where it would, the cells are -1.
+    A context never reaches beyond its text's start; where it would, they do not count.
     """
     import numpy as np
 
@@ -78,75 +80,75 @@ def _grams(codes, sizes):
         c = _fmix(context ^ seed)
         g = _fmix(c + (codes.astype(np.uint64) + np.uint64(7)) * np.uint64(0x165667B19E3779F9))
         ok = place > max(order - 1, 0)
-        out.append((np.where(ok, (g >> np.uint64(64 - BITS)).astype(np.int64), -1), np.where(ok, (c >> np.uint64(64 - BITS)).astype(np.int64), -1)))
+        out.append((g.view(np.int64), c.view(np.int64), ok))
     return out, place > 0
 
 
 def fit(examples: DataFrame) -> dict:
-    """Counts of both classes: cells of grams, contexts and distinct successors.
+    """Of both classes, the sorted distinct grams with their counts, and contexts with theirs and the number of successors.
 
-    examples: (text, label 0 or 1).  Counting is a partial sum in each task; at
-    most 2^BITS cells of three kinds a class come back.
+    examples: (text, label 0 or 1).  A task sends each (gram, context) of a batch once.
     """
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
-        sums: dict = {}
         for batch in batches:
-            label = batch.column(1).to_numpy()
+            label = batch.column(1).to_numpy(zero_copy_only=False)
             texts = batch.column(0).to_pylist()
             for y in (0, 1):
                 mine = [t for t, v in zip(texts, label) if v == y]
-                if mine:
-                    for order, (g, c) in enumerate(_grams(*_codes(mine))[0]):
-                        for kind, cells in ((0, g), (1, c)):
-                            cells = cells[cells >= 0]
-                            sums[y, kind] = sums.get((y, kind), 0) + np.bincount(cells, minlength=1 << BITS)
-                        # kind 2: the context (plus one) of each gram cell, to count a context's successors
-                        np.maximum.at(sums.setdefault((y, 2), np.zeros(1 << BITS, np.int64)), g[g >= 0], c[g >= 0] + 1)
-        for (y, kind), v in sums.items():
-            at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), y, np.int32)), pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(v[at], pa.int64())], names=["y", "kind", "cell", "n"])
-
-    summed = examples.select("text", F.col("label").cast("int")).mapInArrow(work, "y int, kind int, cell long, n long")
-    summed = summed.groupBy("y", "kind", "cell").agg(F.when(F.col("kind") == 2, F.max("n")).otherwise(F.sum("n")).alias("n"))
-    kinds = summed.where("kind = 2").groupBy("y", "kind", (F.col("n") - 1).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    rows = summed.where("kind < 2").unionByName(kinds.select("y", "kind", "cell", "n")).toPandas()
-    import numpy as np
+                for g, c, ok in _grams(*_codes(mine))[0] if mine else ():
+                    found, first, n = np.unique(g[ok], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), y, np.int32)), pa.array(found), pa.array(c[ok][first]), pa.array(n.astype(np.int64))], names=["y", "g", "c", "n"])
 
+    sent = examples.select("text", F.col("label").cast("int")).mapInArrow(work, "y int, g long, c long, n long")
+    grams = write_stage(sent.groupBy("y", "g").agg(F.first("c").alias("c"), F.sum("n").alias("n")), "grams")  # a gram has one context
+    contexts = grams.groupBy("y", "c").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
     model = {}
     for y in (0, 1):
-        for kind in (0, 1, 2):
-            v = np.zeros(1 << BITS, np.float32)
-            part = rows[(rows["y"] == y) & (rows["kind"] == kind)]
-            v[part["cell"].to_numpy(np.int64)] = part["n"].to_numpy()
-            model[y, kind] = v
+        for kind, rows in (("grams", grams.where(F.col("y") == y).select("g", "n")), ("contexts", contexts.where(F.col("y") == y).select("c", "seen", "kinds"))):
+            table = rows.toArrow()
+            key, *values = (table.column(k).to_numpy() for k in range(table.num_columns))
+            order = key.argsort()
+            model[y, kind] = (key[order], *(v[order] for v in values))
+    drop_stage(grams)
     return model
 
 
+def _look_up(keys, table):
+    """The table's values at ``keys``, 0 where it has none."""
+    import numpy as np
+
+    known, *values = table
+    if not len(known):
+        return [np.zeros(len(keys), np.int64) for _ in values]
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return [np.where(known[at] == keys, v[at], 0) for v in values]
+
+
 def ratios(texts, model: dict):
     """Log-likelihood difference over length of each text."""
     import numpy as np
 
     codes, sizes = _codes(texts)
     grams, real = _grams(codes, sizes)
-    logs = []
-    for y in (0, 1):
-        p = np.full(len(codes), 1 / 256)
-        for g, c in grams:
-            ok = c >= 0
-            n, seen, kinds = model[y, 0][g], model[y, 1][c], model[y, 2][c]
+    parts = [np.full(len(codes), 1 / 256) for _ in (0, 1)]
+    for g, c, ok in grams:
+        (gram, at_gram), (context, at_context) = (np.unique(x, return_inverse=True) for x in (g, c))
+        for y in (0, 1):
+            (n,), (seen, kinds) = _look_up(gram, model[y, "grams"]), _look_up(context, model[y, "contexts"])
+            n, seen, kinds = n[at_gram], seen[at_context], kinds[at_context]
             total = seen + kinds
-            p = np.where(ok & (total > 0), (n + kinds * p) / np.maximum(total, 1), p)
-        logs.append(np.where(real, np.log(np.maximum(p, 1e-12)), 0.0))
+            parts[y] = np.where(ok & (total > 0), (n + kinds * parts[y]) / np.maximum(total, 1), parts[y])
+    logs = [np.where(real, np.log(np.maximum(p, 1e-12)), 0.0) for p in parts]
     starts = np.cumsum(sizes) - sizes
     return np.add.reduceat(logs[1] - logs[0], starts) / (sizes - 1)
 
 
 def _ratio_udf(spark, model: dict):
-    shared = spark.sparkContext.broadcast(model)  # six arrays of 2^BITS
+    shared = spark.sparkContext.broadcast(model)  # as large as the distinct grams and contexts
 
     @F.pandas_udf("double")
     def ratio(texts):

@@ -135,6 +135,38 @@ def test_url_models_tell_classes_apart(spark):
     assert len(ratios(["", "a"], model)) == 2
 
 
+def test_url_models_count_every_gram(spark):
+    """More distinct grams than 2^18, against Witten-Bell over plain counts."""
+    from framelake.llm.url_filter import fit, ratios
+
+    r = random.Random(29)
+    rows = [("".join(r.choice("abcdefghijklmnopqrstuvwxyz/-.") for _ in range(60)), k % 2) for k in range(8000)]
+    counts = [{}, {}]
+    code = lambda t: b"\x01" + "".join("0" if x.isdigit() else x for x in t).encode() + b"\x02"
+    for t, y in rows:
+        b = code(t)
+        for i in range(1, len(b)):
+            for o in range(min(i, 5) + 1):
+                x = counts[y].setdefault(b[i - o : i], {})
+                x[b[i]] = x.get(b[i], 0) + 1
+    assert min(sum(map(len, c.values())) for c in counts) > 1 << 18
+    texts = [rows[0][0], rows[1][0], rows[2][0][:30] + rows[3][0][:30], "x9/é", ""]
+    want = []
+    for t in texts:
+        b, logs = code(t), [0.0, 0.0]
+        for y in (0, 1):
+            for i in range(1, len(b)):
+                p = 1 / 256
+                for o in range(min(i, 5) + 1):
+                    x = counts[y].get(b[i - o : i])
+                    p = (x.get(b[i], 0) + len(x) * p) / (sum(x.values()) + len(x)) if x else p
+                assert p <= 1
+                logs[y] += np.log(p)
+        want.append((logs[1] - logs[0]) / (len(b) - 1))
+    got = ratios(texts, fit(spark.createDataFrame(rows, "text string, label int")))
+    assert np.allclose(got, want, atol=1e-9)
+
+
 # ---- 3 ------------------------------------------------------------------
 def removed(docs, width):
     seen = {}
