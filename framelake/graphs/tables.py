@@ -106,6 +106,8 @@ def best_paths(arcs: DataFrame, start, end, n: int, most: int = 100) -> DataFram
         paths = cut_lineage(paths.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r"))
         if not paths.limit(1).count():
             break
+    else:
+        raise RuntimeError(f"there are paths of more than {most - 1} arcs")
     ranked = done.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= n).select("rank", "cost", "path")
 

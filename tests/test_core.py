@@ -343,3 +343,12 @@ def test_toolbox(spark, tmp_path):
     seg = spark.createDataFrame([("u", 0, 15000000, "S")], "utt string, start_100ns long, end_100ns long, label string")
     assert sinks.result_xml(seg).first()["value"] == '<file name="u">\n  <segment start="0.00" end="1.50" label="S"/>\n</file>'
     assert sinks.config_text({"A": 1, "B": True}) == "A = 1\nB = T\n"
+
+
+def test_best_paths_raises_where_paths_are_left(spark):
+    from framelake.graphs import tables as t
+
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(4)], "src long, dst long, cost double")
+    assert t.best_paths(chain, 0, 4, 2, most=5).first()["path"] == [0, 1, 2, 3, 4]
+    with pytest.raises(RuntimeError):
+        t.best_paths(chain, 0, 4, 2, most=4)
