@@ -32,3 +32,22 @@ def test_queries_match_sql(spark, name):
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=str)
     want = sorted((tuple(plain(r[i]) for i in at) for r in rel.fetchall()), key=str)
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no tables here")
+def test_neighbours_and_grown_classes_see_all_rows(spark):
+    import numpy as np
+
+    import __spark_entry__ as e
+
+    rows = sorted((r["vec_id"], [float(v) for v in r["embedding"]], r["label"]) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    inverse = np.linalg.inv(np.cov(x.T))
+    got = {(r["query"], r["rank"]): r["id"] for r in e.queries()["m9_mahalanobis"](spark, SMALL).collect()}
+    for q in ids[ids % 50 == 0]:
+        d = np.einsum("ij,jk,ik->i", x - x[ids == q], inverse, x - x[ids == q])
+        order = [i for i in ids[np.lexsort((ids, d.round(9)))] if i != q][:5]
+        assert [got[q, k] for k in range(1, 6)] == order
+    assert any(i % 50 == 0 for i in got.values())
+    confusion = e.queries()["m15_grown_classes"](spark, SMALL)
+    assert {r[0] for r in confusion.select("label" if "label" in confusion.columns else confusion.columns[0]).collect()} == {r[2] for r in rows}
