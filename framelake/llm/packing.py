@@ -25,8 +25,6 @@ SIZE = 2048
 #: Tokens a worker plans at once; a run ends with a document.
 RUN = 1 << 20
 HARD_EVERY = 64
-#: Sentence ends closer than this to the one before are not offered.
-SPACING = 16
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -51,9 +49,7 @@ def cut_points(ends, sentence, size: int, sentence_cost: float, hard_cost: float
     n = int(ends[-1])
     cost = np.full(n + 1, np.inf)
     cost[max(0, n - size) :] = hard_cost
-    stops = np.flatnonzero(sentence[:n]) + 1
-    _, first = np.unique(stops // SPACING, return_index=True)
-    cost[stops[first]] = sentence_cost
+    cost[np.flatnonzero(sentence[:n]) + 1] = sentence_cost
     cost[ends] = 0
     cost[0] = 0
     at = np.flatnonzero(np.isfinite(cost))

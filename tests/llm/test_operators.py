@@ -450,6 +450,15 @@ def test_plan_is_the_cheapest():
         assert spent == total
 
 
+def test_packing_offers_every_sentence_end():
+    from framelake.llm.packing import cut_points
+
+    sentence = np.zeros(5000, bool)
+    sentence[[3, 5, 6, 90, 101, 102, 103]] = True
+    at, cost = cut_points(np.array([5000]), sentence, 2048, 1.0, 50.0)
+    assert set((np.flatnonzero(sentence) + 1).tolist()) == set(at[cost == 1.0].tolist())
+
+
 # ---- 10 -----------------------------------------------------------------
 def test_perfect_hash():
     from framelake.llm.line_dedup import PerfectHash, Shard, build_shard
