@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,38 +45,64 @@ def drop_stage(df: DataFrame) -> None:
         target.getFileSystem(conf).delete(target, True)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep what ``df`` gives on the executors' disks for later jobs; what a lost executor held is worked out anew."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Edges that a part of a written edge table holds, and the nodes at most that count as hubs.
+EDGES, HUBS = 500_000, 1000
+
+
+def _to_least(edges: DataFrame, low: DataFrame, count: int) -> DataFrame:
+    """``edges(u, v)`` with ``m`` of ``low(u, m, k)``, where k is the node's number of edges.
+
+    Nodes with more than a thousandth of all edges are at most HUBS, so they are
+    sent to all tasks and their edges stay where they are; the others are joined.
+    """
+    hub = F.col("k") > max(1000, -(-count // HUBS))
+    hubs = F.broadcast(low.where(hub).select("u", F.col("m").alias("h")))
+    marked = edges.join(hubs, "u", "left")
+    others = marked.where("h is null").drop("h").join(low.where(~hub).select("u", "m"), "u")
+    return marked.where("h is not null").select("u", "v", F.col("h").alias("m")).unionByName(others.select("u", "v", "m"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     ``edges`` has long columns ``u`` and ``v``; self-loops, repeats and nulls
     are ignored.  Returns ``(node, component)`` with the smallest node of each
     component, for every node with an edge.  Each step is written to the shared
-    folder, so a lost executor costs at most one step.  A hub is never
-    gathered: minima are partial aggregates and the joins can be split.
+    folder, in few files while it is small, so a lost executor costs at most one
+    step.  A hub is never gathered: minima are partial aggregates, and a hub's
+    edges are not dealt by it.
     """
+
+    def store(df, count):
+        after = write_stage(df.coalesce(max(8, -(-count // EDGES))), "edges")
+        return after, after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    now = write_stage(pairs, "edges")
+    now, stamp = store(pairs, edges.count())
     seen = None
     for _ in range(rounds):
+        if stamp == seen or not stamp[0]:
+            break
+        seen = stamp
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v")  # repeats go in the next step
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        small = small.select("e.u", "e.v").where("u <> v").distinct()
-        after = write_stage(small, "edges")
-        stamp = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("k"))
+        large = _to_least(both, low, 2 * stamp[0]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))  # repeats go in the next step
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = _to_least(large, low, stamp[0])
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        after, stamp = store(small.select("e.u", "e.v").where("u <> v").distinct(), stamp[0])
         drop_stage(now)
         now = after
-        if stamp == seen:
-            break
-        seen = stamp
     else:
         raise RuntimeError("components did not settle")
     nodes = now.groupBy("u").agg(F.min("v").alias("component"))

@@ -23,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, drop_stage, write_stage
+from ._common import components, hold, write_stage
 
 BLOCK = 1024
+#: Salts of a text that others are compared with, and partners a salt of those that have very many.
+SALTS, PARTNERS = 16, 256
 #: Cells of the sketches that stray pairs are compared by, and how far below the threshold, in percent, such a
 #: sketch may be (four standard deviations or more).
 BINS, SLACK = 1024, 5
@@ -167,12 +169,17 @@ def _tables(reps: DataFrame, m: int, r: int) -> DataFrame:
     return reps.select("d", "sig").mapInArrow(work, "key long, d long, place int")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int, salts: int) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * |both| >= percent * |either|.
 
-    A hub's text goes once to each of its salts; the partner's text streams past it.
+    A hub's text goes once to each of its salts; the partner's text streams past
+    it.  Texts with more than a thousandth of all pairs, of which there are at
+    most a thousand, have a salt for each PARTNERS of them, all others SALTS.
     """
-    salt = F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int").alias("salt")
+    count = pairs.count()
+    hubs = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > max(SALTS * PARTNERS, -(-count // 1000)))
+    pairs = pairs.join(F.broadcast(hubs), "u", "left")
+    salt = F.pmod(F.xxhash64("v"), F.coalesce(F.ceil(F.col("k") / PARTNERS), F.lit(SALTS))).cast("int").alias("salt")
     partners = pairs.join(texts.withColumnRenamed("d", "v"), "v").select("u", salt, "v", "t")
     hubs = pairs.select("u", salt).distinct().join(texts.withColumnRenamed("d", "u"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "t")
     sent = partners.unionByName(hubs).repartition("u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
@@ -302,45 +309,49 @@ def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int, m: int, r:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = 8, r: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    count = 2 * m * r
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
-    sets = write_stage(_sketches(rows, words, count), "sets")
-    reps = write_stage(sets.where("n > 0 and d is not null").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("sig").alias("sig"), F.first("n").alias("n")), "classes")
-    salts = 16
+    count, held = 2 * m * r, []
+
+    def keep(df):
+        held.append(hold(df))
+        return held[-1]
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    sets = keep(_sketches(rows, words, count))
+    reps = keep(sets.where("n > 0 and d is not null").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("sig").alias("sig"), F.first("n").alias("n")))
+
+    def named(ids):
+        """Texts of the ids, one an id."""
+        return rows.join(ids.hint("merge"), "d", "left_semi").dropDuplicates(["d"])
 
     tables = _tables(reps, m, r)
     low = tables.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key", "low")
-    members = write_stage(tables.join(low, "key"), "buckets")
-    pairs = write_stage(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct(), "pairs")
-    named = pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()
-    texts = rows.join(named.hint("merge"), "d", "left_semi").dropDuplicates(["d"])
-    links = write_stage(_confirm(pairs, texts, words, percent, salts), "links")
+    members = keep(tables.join(low, "key"))
+    pairs = keep(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct())
+    links = keep(_confirm(pairs, named(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent))
 
     comp = components(links).select(F.col("node").alias("d"), "component")
     placed = members.join(comp, "d", "left").select("key", "place", "d", F.coalesce("component", "d").alias("c"))
     open_ = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b and k > 2").select("key")
-    placed = write_stage(placed.join(open_, "key", "left_semi"), "open")
-    named = placed.select("d").distinct()
+    placed = keep(placed.join(open_, "key", "left_semi"))
+    ids = placed.select("d").distinct()
     for _ in range(ROUNDS):  # who is left has fewer to share with
-        texts = rows.join(named.hint("merge"), "d", "left_semi").dropDuplicates(["d"])
-        facts = reps.join(named, "d", "left_semi").join(_shared_shingles(texts, words), "d", "left").select("d", "n", F.col("sig").alias("mins"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-        facts = write_stage(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts")
-        named = facts.select("d")
-    facts = facts.join(_binned(rows.join(named.hint("merge"), "d", "left_semi").dropDuplicates(["d"]), words), "d")
+        facts = reps.join(ids, "d", "left_semi").join(_shared_shingles(named(ids), words), "d", "left").select("d", "n", F.col("sig").alias("mins"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+        facts = keep(facts.where(100 * F.col("shared") >= percent * F.col("n")))
+        ids = facts.select("d")
+    facts = facts.join(_binned(named(ids), words), "d")
     placed = placed.join(facts.select("d"), "d", "left_semi")
-    more = write_stage(_stray_pairs(placed, facts, percent, m, r).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    more = keep(_stray_pairs(placed, facts, percent, m, r).join(pairs, ["u", "v"], "left_anti"))
     if more.limit(1).count():
-        named = more.select(F.explode(F.array("u", "v")).alias("d")).distinct()
-        texts = rows.join(named.hint("merge"), "d", "left_semi").dropDuplicates(["d"])
-        found = write_stage(_confirm(more, texts, words, percent, salts), "links")
+        found = keep(_confirm(more, named(more.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent))
         comp = components(links.unionByName(found)).select(F.col("node").alias("d"), "component")
-    for old in (members, pairs, more):
-        drop_stage(old)
 
     classes = reps.select("s1", "s2", "d").join(comp, "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component"))
     out = sets.select("d", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("d")).otherwise(F.coalesce("component", "d"))
-    return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("d").eqNullSafe(component).alias("kept"))
+    done = write_stage(out.select("d", "n", component.alias("component")), "groups")
+    for df in held:
+        df.unpersist()
+    return done.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("d").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

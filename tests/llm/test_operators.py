@@ -263,7 +263,43 @@ def test_bpe_tree(spark, docs):
     r, tree = random.Random(6), load(P.path("word_bpe_49k.json"))
     for _ in range(20):
         run = "".join(r.choice(["th", "e", "in", "er", "q", "tion", "é", "ß"]) for _ in range(r.randint(400, 3000)))
-        assert np.frombuffer(tree.encode(run)[0], "<u4").tolist() == encode(run)
+        assert tree.encode(run).tolist() == encode(run)
+
+
+def test_bpe_tree_is_how_ordinary_texts_are_encoded(docs):
+    """Every text above a leaf goes through joins, and few windows have to grow."""
+    from framelake.llm.bpe_tree import TreeBPE
+
+    encode, _ = library("word_bpe_49k.json")
+    tree = TreeBPE(P.path("word_bpe_49k.json"), leaf=64)
+    texts = [t for _, t in docs if t and len(t) > 64 and max(map(len, t.split())) <= 64]
+    for t in texts:
+        before = tree.joins
+        assert tree.encode(t).tolist() == encode(t)
+        assert tree.joins - before >= len(t) / 128
+    assert len(texts) > 20 and tree.grown < tree.joins / 5
+    before = tree.symbol_joins
+    run = "thequick" * 2000
+    assert tree.encode(run).tolist() == encode(run) and tree.symbol_joins - before == -(-len(run) // 64) - 1
+
+
+def test_bpe_tree_equals_the_library_on_mixed_strings():
+    from framelake.llm.bpe_tree import TreeBPE
+
+    path, r = P.path("word_bpe_49k.json"), random.Random(31)
+    encode, decode = library("word_bpe_49k.json")
+    pool = ["th", "e", "in", "q", "tion", "é", "ß", "'s", "'", "'re", "don't", " ", "  ", "\n", "\t", "\xa0", ".", "!!", "1", "23", "²", "İ", "Σ", "क़", "e\u0301", " \u0301", "ǅ", "漢", "𝄞", "<|endoftext|>", "<|start", "\x01", "\x1c", "\x85", "_", "ﬁ", "A\u030a"]
+    trees = [TreeBPE(path, leaf=16, run=24), TreeBPE(path)]
+    for _ in range(1500):
+        some = r.choice([pool, pool[:25], ["a", "b", " "], ["th", "'s", "'", ".", ","]])
+        text = "".join(r.choice(some) for _ in range(r.randint(0, r.choice([10, 60, 300]))))
+        for tree in trees:
+            ids = tree.encode(text)
+            assert ids.tolist() == encode(text), text
+            assert tree.decode(ids) == decode(encode(text))
+    words = [t.removesuffix("</w>") for t in trees[1].tok.get_vocab()]
+    joined = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    assert all(ids.tolist() == encode(t) for ids, t in zip(trees[1].encode_all(joined), joined))
 
 
 # ---- 6 ------------------------------------------------------------------
