@@ -23,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, hold, write_stage
+from ._common import components, drop_stage, hold, write_stage
 
 BLOCK = 1024
+#: Documents for each file of an intermediate table.
+DOCUMENTS = 20_000
 #: Salts of a text that others are compared with, and partners a salt of those that have very many.
 SALTS, PARTNERS = 16, 256
 #: Cells of the sketches that stray pairs are compared by, and how far below the threshold, in percent, such a
@@ -309,14 +311,20 @@ def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int, m: int, r:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = 8, r: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    count, held = 2 * m * r, []
+    count, held, written = 2 * m * r, [], []
 
     def keep(df):
         held.append(hold(df))
         return held[-1]
 
+    def store(df, name):
+        """In files of the work on some thousand documents each, as tables of pairs are small beside the texts."""
+        written.append(write_stage(df.coalesce(files), name))
+        return written[-1]
+
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
     sets = keep(_sketches(rows, words, count))
+    files = max(16, sets.count() // DOCUMENTS)
     reps = keep(sets.where("n > 0 and d is not null").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("sig").alias("sig"), F.first("n").alias("n")))
 
     def named(ids):
@@ -326,31 +334,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     tables = _tables(reps, m, r)
     low = tables.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key", "low")
     members = keep(tables.join(low, "key"))
-    pairs = keep(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct())
-    links = keep(_confirm(pairs, named(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent))
+    pairs = store(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct(), "pairs")
+    links = store(_confirm(pairs, named(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent), "links")
 
     comp = components(links).select(F.col("node").alias("d"), "component")
     placed = members.join(comp, "d", "left").select("key", "place", "d", F.coalesce("component", "d").alias("c"))
     open_ = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b and k > 2").select("key")
-    placed = keep(placed.join(open_, "key", "left_semi"))
+    placed = store(placed.join(open_, "key", "left_semi"), "open")
     ids = placed.select("d").distinct()
     for _ in range(ROUNDS):  # who is left has fewer to share with
         facts = reps.join(ids, "d", "left_semi").join(_shared_shingles(named(ids), words), "d", "left").select("d", "n", F.col("sig").alias("mins"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-        facts = keep(facts.where(100 * F.col("shared") >= percent * F.col("n")))
+        facts = store(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts")
         ids = facts.select("d")
     facts = facts.join(_binned(named(ids), words), "d")
     placed = placed.join(facts.select("d"), "d", "left_semi")
-    more = keep(_stray_pairs(placed, facts, percent, m, r).join(pairs, ["u", "v"], "left_anti"))
+    more = store(_stray_pairs(placed, facts, percent, m, r).join(pairs, ["u", "v"], "left_anti"), "pairs")
     if more.limit(1).count():
-        found = keep(_confirm(more, named(more.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent))
+        found = store(_confirm(more, named(more.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent), "links")
         comp = components(links.unionByName(found)).select(F.col("node").alias("d"), "component")
 
     classes = reps.select("s1", "s2", "d").join(comp, "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component"))
     out = sets.select("d", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("d")).otherwise(F.coalesce("component", "d"))
-    done = write_stage(out.select("d", "n", component.alias("component")), "groups")
+    done = write_stage(out.select("d", "n", component.alias("component")).coalesce(files), "groups")
     for df in held:
         df.unpersist()
+    for df in written:
+        drop_stage(df)
     return done.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("d").eqNullSafe(F.col("component")).alias("kept"))
 
 
