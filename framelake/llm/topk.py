@@ -1,22 +1,31 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-A score is an inner product of integers.  Candidates lie in blocks, and each
-block holds ``LISTS`` lists: the partial products over slices of the components.
-
-1. Every list gives its k best partial scores of each query; the totals of
-   those entries are lower bounds, and only they are gathered.  The k-th best
-   of all is a cutoff t that no true answer is below.
-2. The cutoffs go back to the blocks of their queries.  A total of at least t has a partial of
-   at least t / LISTS, so each list collects just the entries at or above that
-   uniform threshold; entries whose bound falls short are put aside.
-3. The totals of the remaining entries are worked out exactly, those below t
-   leave, and each query's survivors are ranked, ties to the smaller id.
-
-Queries are a stated set and meet the candidates block by block.
+A score is an inner product of integers, the sum of its partial products over
+``LISTS`` slices of the components.  Candidates stay in the parts that they are
+read in; a node holds one slice of a block of them, and so one list of partial
+scores for each query.
+
+1. Every node gives its k best partial scores of each query, and only the
+   entries that are among the k best of a list are scored exactly.  The k-th
+   best of these scores is a cutoff t that no true answer is below.
+2. The cutoffs go to all nodes.  A total of at least t has a partial score of
+   at least t / LISTS in some list, so each node collects just its entries at
+   or above that uniform threshold.  An entry's bound takes the threshold for
+   the lists that did not collect it; those whose bound falls short leave.
+3. The totals of the remaining entries are worked out exactly, from the slices
+   at the nodes, and each query's k best are ranked, ties to the smaller id.
+
+Queries are a stated set.  They go to the nodes in slices of about
+``SLICE_BYTES``, so what is broadcast is bounded; a slice is one round of the
+three phases.  Of equal candidates in a block only the k + 1 with the smallest
+ids can be answers, and only they are kept.
 
 Defined cases: vectors that are null or hold null or non-finite components take
-no part, nor do null ids; vectors meet only others of their length; a query
-meets no row of its own id; scores must fit 64 bits.
+no part, nor do null ids; vectors meet only others of their length (empty ones
+score 0); a query meets no row of its own id; rows that share an id are queries
+and candidates of their own, each with ranks from 1; an empty table gives an
+empty result; columns other than the id and the vector are read only by
+``is_query``; components or scores that might not fit 64 bits raise.
 """
 
 from __future__ import annotations
@@ -24,131 +33,324 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import write_stage
+from ._common import hold, write_stage
 
-LISTS, QUERIES, CANDIDATES = 2, 512, 8192
+LISTS, BLOCK, CHUNK, SLICE_BYTES = 2, 4096, 64, 1 << 25
+#: Queries whose partial scores a worker holds at once.
+AT_ONCE = 512
+_PAIRS = "n int, block long, chunk int, q binary, at binary"
 
 
-def _blocks(rows: DataFrame, count: int, size: int, name: str) -> DataFrame:
-    """(n, block, ids, ints): one row a block of vectors of one length."""
+def _cuts(n: int) -> list[int]:
+    return [n * i // LISTS for i in range(LISTS + 1)]
 
-    def build(pdf):
-        import numpy as np
-        import pandas as pd
 
-        m = np.array(pdf["v"].tolist(), np.int64).reshape(len(pdf), -1)
-        return pd.DataFrame({"n": [pdf["n"].iloc[0]], "block": [pdf["block"].iloc[0]], "ids": [pdf["id"].to_numpy("<i8").tobytes()], "ints": [m.astype("<i8").tobytes()]})
+def _integers(values, scale: float):
+    import numpy as np
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // size)))).cast("int"))
-    return write_stage(dealt.groupBy("n", "block").applyInPandas(build, "n int, block int, ids binary, ints binary"), name)
+    x = np.floor(scale * values)
+    if len(x) and np.abs(x).max() >= 2.0**62:
+        raise ValueError("a component does not fit 64 bits")
+    return x.astype(np.int64)
 
 
-def _load(n: int, ids: bytes, ints: bytes):
-    import numpy as np
+def _nodes(rows: DataFrame, scale: float, k: int) -> DataFrame:
+    """(n, list, block, ids, ints): slices of blocks of candidates of one length, in the parts they are read in."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        held, number = {}, TaskContext.get().partitionId() << 32
+
+        def done(n, number):
+            ids, m = (np.concatenate(x) for x in zip(*held.pop(n)))
+            order = np.lexsort((ids, *m.T)) if n else np.argsort(ids, kind="stable")
+            ids, m = ids[order], m[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (m[1:] != m[:-1]).any(axis=1)
+            start = np.flatnonzero(new)
+            few = np.arange(len(ids)) - start[np.cumsum(new) - 1] <= k
+            ids, m, at = ids[few].astype("<i8").tobytes(), m[few], _cuts(n)
+            slices = [np.ascontiguousarray(m[:, a:b]).astype("<i8").tobytes() for a, b in zip(at, at[1:])]
+            cols = ([n] * LISTS, range(LISTS), [number] * LISTS, [ids] * LISTS, slices)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["n", "list", "block", "ids", "ints"])
+
+        for batch in batches:
+            ids, v = batch.column(0).to_numpy(), batch.column(1)
+            sizes, flat = np.diff(v.offsets.to_numpy()), _integers(v.flatten().to_numpy(zero_copy_only=False), scale)
+            first = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == n)
+                for lo in range(0, len(mine), BLOCK):
+                    some = mine[lo : lo + BLOCK]
+                    held.setdefault(n, []).append((ids[some], flat[first[some][:, None] + np.arange(n)]))
+                    if sum(len(x) for x, _ in held[n]) >= BLOCK:
+                        yield done(n, number)
+                        number += 1
+        for n in list(held):
+            yield done(n, number)
+            number += 1
+
+    return write_stage(rows.select("id", "v").mapInArrow(work, "n int, list int, block long, ids binary, ints binary"), "nodes")
+
+
+class Queries:
+    """A slice of the queries: of each length the ids, integers and cutoffs, in chunks of CHUNK with numbers of their own."""
+
+    def __init__(self, table, scale: float):
+        import numpy as np
 
-    return np.frombuffer(ids, "<i8"), np.frombuffer(ints, "<i8").reshape(-1, n)
+        v = table.column("v").combine_chunks()
+        ids, sizes = table.column("id").to_numpy(), np.diff(v.offsets.to_numpy())
+        flat = _integers(v.flatten().to_numpy(zero_copy_only=False), scale)
+        first, self.by, chunk = np.cumsum(sizes) - sizes, {}, 0
+        for n in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == n)
+            self.by[n] = (chunk, ids[mine], flat[first[mine][:, None] + np.arange(n)])
+            chunk += -(-len(mine) // CHUNK)
+        self.cut = {n: None for n in self.by}
 
+    def rows(self, n: int, chunk: int, q):
+        """Places among the queries of length n of the places q in a chunk."""
+        return (chunk - self.by[n][0]) * CHUNK + q
 
-def _partials(q, c):
-    """Partial scores by list, as exact integers (in doubles while they fit)."""
+
+def _partials(q, c, n: int, lists: int = LISTS):
+    """Partial scores as exact integers, in doubles while they fit."""
     import numpy as np
 
-    cuts = np.linspace(0, q.shape[1], LISTS + 1).astype(int)
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < 2**52
-    kind = np.float64 if exact else np.int64
-    q, c = q.astype(kind), c.astype(kind)
-    return [q[:, a:b] @ c[:, a:b].T for a, b in zip(cuts[:-1], cuts[1:])]
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(n, 1)
+    if most >= 2.0**62:
+        raise ValueError("scores might not fit 64 bits")
+    return q.astype(np.float64) @ c.astype(np.float64).T if most < 2.0**52 else q @ c.T
 
 
-def _best(x, k: int):
-    """Columns of the k largest of each row."""
+def _load(n: int, which: int, ids: bytes, ints: bytes):
     import numpy as np
 
-    return np.argpartition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k :] if k < x.shape[1] else np.broadcast_to(np.arange(x.shape[1]), x.shape)
+    ids, at = np.frombuffer(ids, "<i8"), _cuts(n)
+    return ids, np.frombuffer(ints, "<i8").reshape(len(ids), at[which + 1] - at[which]), slice(at[which], at[which + 1])
 
 
-def top_scores(rows: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of each query among all other rows.
+def _scan(nodes: DataFrame, shared, k: int | None) -> DataFrame:
+    """(n, block, chunk, list, q, at, part) of each node and chunk: the k best entries of each query, or, with k None, all at or above the uniform threshold."""
 
-    Components are turned into floor(scale * x).
-    """
-    x = F.col(f"`{vector_col}`").cast("array<double>")
-    fit = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.col(f"`{id_col}`").isNotNull()
-    ints = rows.where(fit).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.size(x).alias("n"), F.transform(x, lambda v: F.floor(F.lit(scale) * v).cast("long")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    count, asked = ints.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    cands = _blocks(ints.select("id", "n", "v"), count, CANDIDATES, "candidates")
-    asks = _blocks(ints.where("asks").select("id", "n", "v"), asked, QUERIES, "queries").select("n", F.col("block").alias("qblock"), F.col("ids").alias("qids"), F.col("ints").alias("qints"))
-    n_c, n_q = max(1, -(-count // CANDIDATES)), max(1, -(-asked // QUERIES))
-    # every query block meets every candidate block, each pair a row of its own key
-    nodes = cands.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)))), ["n", "block", "qblock"])
-
-    def gather(batches):  # phase 1
+    def work(batches):
         import numpy as np
         import pyarrow as pa
 
+        queries = shared.value
         for batch in batches:
-            for n, qb, ids, m, qids, qm in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                (cid, c), (qid, q) = _load(n, ids, m), _load(n, qids, qm)
-                parts = _partials(q, c)
-                total, own = sum(parts), qid[:, None] == cid[None, :]
-                seen = np.zeros(total.shape, bool)
-                for p in parts:
-                    np.put_along_axis(seen, _best(np.where(own, -np.inf if p.dtype == float else np.iinfo(np.int64).min, p), min(k, len(cid))), True, axis=1)
-                seen &= ~own
-                low = np.iinfo(np.int64).min
-                lower = np.full((len(qid), k), low, np.int64)
-                for r in range(len(qid)):
-                    t = np.sort(total[r, seen[r]])[::-1][:k]
-                    lower[r, : len(t)] = t.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([qb], pa.int32()), pa.array([lower.tobytes()], pa.binary())], names=["n", "qblock", "lower"])
-
-    lists = nodes.select("n", "qblock", "ids", "ints", "qids", "qints").mapInArrow(gather, "n int, qblock int, lower binary")
-
-    def cut(batches):  # the k-th best of all lower bounds, folded list by list
+            for n, which, block, ids, ints in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if n not in queries.by:
+                    continue
+                chunk0, qids, full = queries.by[n]
+                cids, c, part = _load(n, which, ids, ints)
+                for lo in range(0, len(qids), AT_ONCE):
+                    own = np.isin(qids[lo : lo + AT_ONCE], cids)
+                    p = _partials(full[lo : lo + AT_ONCE, part], c, n)
+                    least = -np.inf if p.dtype == float else np.iinfo(np.int64).min
+                    hit = np.zeros(p.shape, bool)
+                    hit[own] = qids[lo : lo + AT_ONCE][own][:, None] == cids[None, :]
+                    if k is None:
+                        t = queries.cut[n][lo : lo + AT_ONCE]
+                        good = (p >= -(-t // LISTS).astype(p.dtype)[:, None]) | (t == np.iinfo(np.int64).min)[:, None]
+                        r, at = np.nonzero(good & ~hit)
+                    else:
+                        p[hit] = least
+                        few = min(k, p.shape[1])
+                        at = np.argpartition(p, p.shape[1] - few, axis=1)[:, p.shape[1] - few :]
+                        r, at = np.repeat(np.arange(len(p)), few), at.ravel()
+                        real = ~hit[r, at]
+                        r, at = r[real], at[real]
+                    value = p[r, at].astype("<i8")
+                    ends = np.searchsorted(r, np.arange(0, len(p) + CHUNK, CHUNK))
+                    for i in np.flatnonzero(np.diff(ends)).tolist():
+                        s = slice(ends[i], ends[i + 1])
+                        cols = (n, block, chunk0 + lo // CHUNK + i, which, (r[s] - i * CHUNK).astype("<i4").tobytes(), at[s].astype("<i4").tobytes(), value[s].tobytes())
+                        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3)
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, kinds)], names=["n", "block", "chunk", "list", "q", "at", "part"])
+
+    return nodes.select("n", "list", "block", "ids", "ints").mapInArrow(work, "n int, block long, chunk int, list int, q binary, at binary, part binary")
+
+
+def _groups(batches, keys: int):
+    """(key, rows) of runs of rows with equal first columns."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:keys] != now:
+                yield now, held
+                held = []
+            now = row[:keys]
+            held.append(row[keys:])
+    if held:
+        yield now, held
+
+
+def _ints(blobs, kind: str = "<i4"):
+    import numpy as np
+
+    return np.frombuffer(b"".join(blobs), kind)
+
+
+def _best_of_lists(lists: DataFrame, k: int) -> DataFrame:
+    """Pairs that are among the k best of a list, folded block by block."""
+
+    def work(batches):
         import numpy as np
         import pyarrow as pa
 
-        best: dict = {}
+        def rows(n, chunk, best):
+            found = np.unique(np.concatenate([np.stack([b, q, at], axis=1) for b, q, at, _ in best.values()]), axis=0)
+            edge = [0, *(np.flatnonzero(np.diff(found[:, 0])) + 1).tolist(), len(found)]
+            for lo, hi in zip(edge, edge[1:]):
+                cols = (n, int(found[lo, 0]), chunk, found[lo:hi, 1].astype("<i4").tobytes(), found[lo:hi, 2].astype("<i4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["n", "block", "chunk", "q", "at"])
 
-        def done(key):
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([best.pop(key).min(axis=1).astype("<i8").tobytes()], pa.binary())], names=["n", "qblock", "cut"])
-
-        now = None
+        now, best = None, {}
         for batch in batches:
-            for n, qb, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if now is not None and now != (n, qb):
-                    yield done(now)
-                now, new = (n, qb), np.frombuffer(blob, "<i8").reshape(-1, k)
-                best[now] = np.partition(np.concatenate([best[now], new], axis=1), -k, axis=1)[:, -k:] if now in best else new
+            for n, chunk, which, block, q, at, part in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if now is not None and now != (n, chunk):
+                    yield from rows(*now, best)
+                    best = {}
+                now, q = (n, chunk), _ints([q])
+                new = (np.full(len(q), block), q, _ints([at]), _ints([part], "<i8"))
+                if which in best:
+                    new = tuple(np.concatenate(x) for x in zip(best[which], new))
+                order = np.lexsort((-new[3], new[1]))
+                q = new[1][order]
+                order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+                best[which] = tuple(x[order] for x in new)
         if now is not None:
-            yield done(now)
+            yield from rows(*now, best)
+
+    sent = lists.repartition("n", "chunk").sortWithinPartitions("n", "chunk")
+    return sent.select("n", "chunk", "list", "block", "q", "at", "part").mapInArrow(work, _PAIRS)
+
+
+def _within_bounds(lists: DataFrame, shared) -> DataFrame:
+    """Pairs whose partial scores, with the threshold for what no list collected, reach the cutoff."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        queries = shared.value
+        for (n, block, chunk), rows in _groups(batches, 3):
+            q, at, part = _ints(r[0] for r in rows), _ints(r[1] for r in rows), _ints((r[2] for r in rows), "<i8")
+            key, where, seen = np.unique(q.astype(np.int64) << 32 | at, return_inverse=True, return_counts=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, where, part)
+            q, at = (key >> 32).astype(np.int64), key & 0xFFFFFFFF
+            t = queries.cut[n][queries.rows(n, chunk, q)]
+            none = t == np.iinfo(np.int64).min
+            good = none | (total + (LISTS - seen) * (-(-np.where(none, 0, t) // LISTS) - 1) >= t)
+            cols = (n, block, chunk, q[good].astype("<i4").tobytes(), at[good].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["n", "block", "chunk", "q", "at"])
+
+    sent = lists.repartition("n", "block", "chunk").sortWithinPartitions("n", "block", "chunk")
+    return sent.select("n", "block", "chunk", "q", "at", "part").mapInArrow(work, _PAIRS)
+
+
+def _exact(pairs: DataFrame, nodes: DataFrame, shared, k: int, scored) -> DataFrame:
+    """(n, chunk, q, ids, scores): the k best totals of each query among the pairs."""
+    asked = pairs.withColumns({"list": F.explode(F.array(*map(F.lit, range(LISTS)))), "ids": F.lit(None).cast("binary"), "ints": F.lit(None).cast("binary")})
+    held = nodes.withColumns({"chunk": F.lit(None).cast("int"), "q": F.lit(None).cast("binary"), "at": F.lit(None).cast("binary")})
+    names = ["n", "list", "block", "chunk", "ids", "ints", "q", "at"]
+    sent = asked.select(*names).unionByName(held.select(*names)).repartition("n", "list", "block").sortWithinPartitions("n", "list", "block", F.col("chunk").asc_nulls_first())
+
+    def partial(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    cutoffs = write_stage(lists.repartition("n", "qblock").sortWithinPartitions("n", "qblock").mapInArrow(cut, "n int, qblock int, cut binary"), "cutoffs")
+        queries, node = shared.value, None
+        for batch in batches:
+            for n, which, block, chunk, ids, ints, q, at in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if chunk is None:
+                    node = _load(n, which, ids, ints)
+                    continue
+                cids, c, part = node
+                q, at = _ints([q]), _ints([at])
+                value = (queries.by[n][2][queries.rows(n, chunk, q), part] * c[at]).sum(axis=1)
+                if scored is not None and not which:
+                    scored.add(len(q))
+                cols = (n, block, chunk, q.tobytes(), cids[at].tobytes(), value.astype("<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["n", "block", "chunk", "q", "ids", "part"])
+
+    def best(keys, many):
+        def work(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for key, rows in _groups(batches, keys):
+                q, ids, value = _ints([rows[0][0]] if many else (r[0] for r in rows)), _ints([rows[0][1]] if many else (r[1] for r in rows), "<i8"), None
+                value = sum(_ints([r[2]], "<i8") for r in rows) if many else _ints((r[2] for r in rows), "<i8")  # the lists of a block, or the blocks of a chunk
+                order = np.lexsort((ids, -value, q))
+                q, ids, value = q[order], ids[order], value[order]
+                few = np.arange(len(q)) - np.searchsorted(q, q) < k
+                cols = (key[0], key[1], q[few].tobytes(), ids[few].tobytes(), value[few].astype("<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["n", "chunk", "q", "ids", "part"])
+
+        return work
+
+    kind = "n int, chunk int, q binary, ids binary, part binary"
+    parts = sent.mapInArrow(partial, "n int, block long, chunk int, q binary, ids binary, part binary")
+    totals = parts.repartition("n", "chunk", "block").sortWithinPartitions("n", "chunk", "block").select("n", "chunk", "block", "q", "ids", "part").mapInArrow(best(3, True), kind)
+    return totals.repartition("n", "chunk").sortWithinPartitions("n", "chunk").mapInArrow(best(2, False), kind)
+
+
+def _round(nodes: DataFrame, queries: Queries, k: int, scored) -> DataFrame:
+    import numpy as np
 
-    def resolve(batches):  # phases 2 and 3
+    sc = nodes.sparkSession.sparkContext
+    shared = sc.broadcast(queries)  # at most about SLICE_BYTES
+    first = _exact(_best_of_lists(_scan(nodes, shared, k), k), nodes, shared, k, scored)
+    low = np.iinfo(np.int64).min
+    queries.cut = {n: np.full(len(ids), low) for n, (_, ids, _) in queries.by.items()}
+    for r in first.select("n", "chunk", "q", "part").collect():  # k scores a query of the slice
+        q, value = np.frombuffer(r["q"], "<i4"), np.frombuffer(r["part"], "<i8")
+        at, count = np.unique(q, return_counts=True)
+        full = at[count == k]
+        queries.cut[r["n"]][queries.rows(r["n"], r["chunk"], full)] = value[np.searchsorted(q, full, "right") - 1]
+    shared = sc.broadcast(queries)
+    found = _exact(_within_bounds(_scan(nodes, shared, None), shared), nodes, shared, k, scored)
+
+    def ranks(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for n, ids, m, qids, qm, cuts in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                (cid, c), (qid, q), t = _load(n, ids, m), _load(n, qids, qm), np.frombuffer(cuts, "<i8")
-                parts = _partials(q, c)
-                none = t == np.iinfo(np.int64).min  # fewer than k candidates
-                limit = np.where(none, t, -(-t // LISTS)).astype(parts[0].dtype)[:, None]
-                some = [p >= limit for p in parts]
-                bound = sum(np.where(s, p, limit) for s, p in zip(some, parts))  # what is not collected is below the threshold
-                left = np.logical_or.reduce(some) & ((bound >= t.astype(bound.dtype)[:, None]) | none[:, None])
-                r, j = np.nonzero(left)
-                score = sum(p[r, j] for p in parts).astype(np.int64)
-                good = (score >= t[r]) & (qid[r] != cid[j])
-                r, j, score = r[good], j[good], score[good]
-                order = np.lexsort((cid[j], -score, r))
-                r, j, score = r[order], j[order], score[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                r, j, score = (v[place < k] for v in (r, j, score))
-                yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(cid[j]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    found = nodes.join(cutoffs, ["n", "qblock"]).select("n", "ids", "ints", "qids", "qints", "cut").mapInArrow(resolve, "query_id long, vec_id long, score long")
-    ranked = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "vec_id"))).alias("all"))
-    out = ranked.select("query_id", F.posexplode(F.slice("all", 1, k)).alias("pos", "e"))
-    return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.neg")).alias("score"))
+            for n, chunk, q, ids, value in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                q = _ints([q])
+                mine = shared.value.by[n][1][shared.value.rows(n, chunk, q)]
+                place = (np.arange(len(q)) - np.searchsorted(q, q) + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(place), pa.array(_ints([ids], "<i8")), pa.array(_ints([value], "<i8"))], names=["query_id", "rank", "vec_id", "score"])
+
+    return found.mapInArrow(ranks, "query_id long, rank int, vec_id long, score long")
+
+
+def top_scores(rows: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", scored=None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of each query among all other rows.
+
+    Components are turned into floor(scale * x).  scored: an accumulator for the
+    number of pairs that are scored exactly.
+    """
+    x = F.col(f"`{vector_col}`").cast("array<double>")
+    fit = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.col(f"`{id_col}`").isNotNull()
+    usable = rows.where(fit).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    nodes = _nodes(usable, scale, k)
+    asks = hold(usable.where("asks").select("id", "v"))
+    size = asks.agg(F.sum(8 * (F.size("v") + 1))).first()[0] or 0
+    slices, out = max(1, -(-size // SLICE_BYTES)), None
+    for s in range(slices):
+        mine = asks.where(F.pmod(F.xxhash64("id", "v"), F.lit(slices)) == s) if slices > 1 else asks
+        table = mine.toArrow()
+        if table.num_rows:
+            found = write_stage(_round(nodes, Queries(table, scale), k, scored), "answers")
+            out = found if out is None else out.unionByName(found)
+    asks.unpersist()
+    return out if out is not None else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
