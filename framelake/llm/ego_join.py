@@ -3,18 +3,27 @@
 For unit vectors, cosine >= c means a distance of at most eps = sqrt(2 - 2c).
 Vectors are turned onto their principal axes (from a 64 x 64 matrix of summed
 products), sorted within their label by the grid cells of side eps on the
-leading axes, and cut into intervals of at most INTERVAL rows.  Intervals whose
-boxes are more than eps apart are never paired; a pair is joined recursively,
-halving the longer sequence and leaving out halves that are provably distant,
-down to LEAF rows, which one matrix product compares in double precision.
+leading axes, and cut into intervals of at most INTERVAL rows.  The sequence of
+intervals is joined with itself recursively: from the whole sequence down, each
+part has up to FAN parts, and pairs of parts whose boxes are more than eps apart
+are left out before their own parts are looked at.  A pair of intervals goes on
+in one task, halving the longer sequence and leaving out halves that are
+provably distant, down to LEAF rows, which one matrix product compares in double
+precision.
 
 Equal vectors of a label are one class, compared once; counts give the copies'
 links.  A pair of intervals returns link counts and a spanning forest, never
 its pairs.
 
+Vectors are scaled by the power of two that takes their largest component to
+between 1/2 and 1, which no cosine notices, so neither huge nor tiny components
+overflow or vanish in a norm.
+
 Defined cases: a null label, and a vector that is null, empty, zero or holds null
 or non-finite components, link with nothing; vectors of different lengths do
-not link; rows repeated with the same id are counted as rows.
+not link; rows repeated with the same id are counted as rows; rows without an id
+link with nothing and have no component; an empty table gives an empty one;
+columns other than the three named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +34,9 @@ from pyspark.sql import functions as F
 from ._common import components, write_stage
 
 AXES, LEAF, INTERVAL = 8, 256, 4096
+#: Bits of an interval's number that one step of the recursion over intervals adds.
+STEP = 4
+FAN = 1 << STEP
 #: Slack of distances against rounding; boxes and cells are only used to leave out.
 SLACK = 1e-9
 
@@ -68,7 +80,10 @@ def _axes(rows: DataFrame) -> dict:
 
 
 def _intervals(classes: DataFrame, axes: dict, eps: float) -> DataFrame:
-    """(label, n, lo, hi, ids, vectors): intervals of the grid order of each label and length."""
+    """(label, n, part, seq, lo, hi, ids, vectors): intervals of the grid order of each label and length.
+
+    part and seq, the task and the place in it, ascend with the order.
+    """
 
     def cells(batches):
         import numpy as np
@@ -89,20 +104,23 @@ def _intervals(classes: DataFrame, axes: dict, eps: float) -> DataFrame:
     def cut(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, seq = TaskContext.get().partitionId(), 0
 
         def done(label, n, ids, xs, ws):
             m = np.frombuffer(b"".join(xs), "<f8").reshape(len(ids), n)
             p = (m / np.linalg.norm(m, axis=1, keepdims=True)) @ axes[n]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            row = (label, n, p.min(axis=0).tolist(), p.max(axis=0).tolist(), np.array(ids, "<i8").tobytes(), m.tobytes(), np.array(ws, "<i8").tobytes(), min(ids))
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["label", "n", "lo", "hi", "ids", "xs", "ws", "first"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
+            row = (label, n, task, seq, p.min(axis=0).tolist(), p.max(axis=0).tolist(), np.array(ids, "<i8").tobytes(), m.tobytes(), np.array(ws, "<i8").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["label", "n", "part", "seq", "lo", "hi", "ids", "xs", "ws"])
 
         now, ids, xs, ws = None, [], [], []
         for batch in batches:
             for label, i, x, w, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if ids and ((label, n) != now or len(ids) >= INTERVAL):
                     yield done(*now, ids, xs, ws)
-                    ids, xs, ws = [], [], []
+                    ids, xs, ws, seq = [], [], [], seq + 1
                 now = (label, n)
                 ids.append(i)
                 xs.append(x)
@@ -110,7 +128,34 @@ def _intervals(classes: DataFrame, axes: dict, eps: float) -> DataFrame:
         if ids:
             yield done(*now, ids, xs, ws)
 
-    return dealt.mapInArrow(cut, "label long, n long, lo array<double>, hi array<double>, ids binary, xs binary, ws binary, first long")
+    return dealt.mapInArrow(cut, "label long, n long, part long, seq long, lo array<double>, hi array<double>, ids binary, xs binary, ws binary")
+
+
+def _pairs_of_intervals(boxes: DataFrame, eps: float) -> DataFrame:
+    """(label, n, a, b) with a < b: numbers of intervals that are not provably distant.
+
+    boxes: (label, n, number, lo, hi).  A part of the sequence holds the numbers
+    that are equal but for their last bits.
+    """
+    top = boxes.agg(F.max("number")).first()[0] or 0
+    steps = -(-top.bit_length() // STEP)
+
+    def parts(step):
+        of = boxes.select("label", "n", F.shiftright("number", STEP * step).alias("p"), "lo", "hi")
+        if not step:
+            return of
+        each = lambda f, c: F.filter(F.array(*(f(F.get(c, F.lit(k))) for k in range(AXES))), lambda v: v.isNotNull())
+        return of.groupBy("label", "n", "p").agg(each(F.min, "lo").alias("lo"), each(F.max, "hi").alias("hi"))
+
+    zipped = F.arrays_zip(F.col("alo").alias("p"), F.col("ahi").alias("q"), F.col("blo").alias("r"), F.col("bhi").alias("s"))
+    far = F.aggregate(zipped, F.lit(0.0), lambda acc, v: acc + F.pow(F.greatest(F.lit(0.0), v["p"] - v["s"], v["r"] - v["q"]), F.lit(2.0)))
+    pairs = boxes.select("label", "n", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).distinct()
+    for step in range(steps - 1, -1, -1):
+        below = parts(step)
+        a, b = (below.select("label", "n", F.shiftright("p", STEP).alias(x), F.col("p").alias(x + "p"), F.col("lo").alias(x + "lo"), F.col("hi").alias(x + "hi")) for x in "ab")
+        pairs = pairs.join(a, ["label", "n", "a"]).join(b, ["label", "n", "b"]).where((F.col("ap") <= F.col("bp")) & (far <= eps * eps + SLACK))
+        pairs = pairs.select("label", "n", F.col("ap").alias("a"), F.col("bp").alias("b"))
+    return pairs.where("a < b")
 
 
 def join_sequences(a, b, pa_, pb, eps: float, found, same: bool) -> None:
@@ -176,9 +221,17 @@ def _join(pairs: DataFrame, axes: dict, cosine: float, eps: float) -> DataFrame:
                     if near.any():
                         links[0][a0:a1] += near @ w[k][b0:b1]
                         links[k][b0:b1] += near.T @ w[0][a0:a1]
-                        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                            i, j = top(a0 + i), top(off + b0 + j)
+                        # the smallest place that each reaches within the block
+                        x, y, most = np.arange(a0, a1), np.arange(off + b0, off + b1), len(root)
+                        while True:
+                            x2 = np.minimum(x, np.where(near, y, most).min(axis=1))
+                            y2 = np.minimum(y, np.where(near, x2[:, None], most).min(axis=0))
+                            if (x2 == x).all() and (y2 == y).all():
+                                break
+                            x, y = x2, y2
+                        for i, j in [*zip(range(a0, a1), x.tolist()), *zip(range(off + b0, off + b1), y.tolist())]:
                             if i != j:
+                                i, j = top(i), top(j)
                                 root[max(i, j)] = min(i, j)
 
                 join_sequences((0, len(ids[0])), (0, len(ids[k])), place[0], place[k], eps, found, same)
@@ -204,7 +257,10 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
         import pyarrow as pa
 
         for batch in batches:
-            out = [(np.array(v.as_py(), "<f8") + 0.0).tobytes() if f else None for v, f in zip(batch.column(2), batch.column(3).to_pylist())]
+            out = []
+            for v, f in zip(batch.column(2), batch.column(3).to_pylist()):
+                x = np.array(v.as_py(), "<f8") if f else None
+                out.append((np.ldexp(x, -np.frexp(np.abs(x).max())[1]) + 0.0).tobytes() if f else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["i", "label", "x"])
 
     named = write_stage(base.mapInArrow(raw, "i long, label long, x binary"), "vectors")
@@ -214,12 +270,11 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
         return named.select(F.col("i").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("i").alias("component_id"), F.lit(True).alias("kept"))
     axes = _axes(classes)
     parts = write_stage(_intervals(classes, axes, eps), "intervals")
-    boxes = parts.select("label", "n", "first", "lo", "hi")
-    far = F.aggregate(F.arrays_zip(F.col("a.lo").alias("p"), F.col("a.hi").alias("q"), F.col("b.lo").alias("r"), F.col("b.hi").alias("s")), F.lit(0.0), lambda acc, v: acc + F.pow(F.greatest(F.lit(0.0), v["p"] - v["s"], v["r"] - v["q"]), F.lit(2.0)))
-    near = boxes.alias("a").join(boxes.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.n") == F.col("b.n")) & (F.col("a.first") < F.col("b.first"))).where(far <= eps * eps + SLACK)
-    near = near.select(F.col("a.label").alias("label"), F.col("a.n").alias("n"), F.col("a.first").alias("f1"), F.col("b.first").alias("f2"))
-    one, two = (parts.select("label", "n", F.col("first").alias(f"f{k}"), F.col("ids").alias(f"ids{k}"), F.col("xs").alias(f"xs{k}"), F.col("ws").alias(f"w{k}")) for k in (1, 2))
-    cross = near.join(one, ["label", "n", "f1"]).join(two, ["label", "n", "f2"]).select("n", "ids1", "xs1", "w1", "ids2", "xs2", "w2")
+    most = parts.agg(F.max("seq")).first()[0]
+    parts = parts.withColumn("number", F.shiftleft("part", most.bit_length()) + F.col("seq"))
+    near = _pairs_of_intervals(parts.select("label", "n", "number", "lo", "hi"), eps)
+    one, two = (parts.select("label", "n", F.col("number").alias(x), F.col("ids").alias(f"ids{k}"), F.col("xs").alias(f"xs{k}"), F.col("ws").alias(f"w{k}")) for k, x in ((1, "a"), (2, "b")))
+    cross = near.join(one, ["label", "n", "a"]).join(two, ["label", "n", "b"]).select("n", "ids1", "xs1", "w1", "ids2", "xs2", "w2")
     own = one.select("n", "ids1", "xs1", "w1", *(F.lit(None).cast("binary").alias(c) for c in ("ids2", "xs2", "w2")))
     joined = write_stage(_join(cross.unionByName(own).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), axes, cosine, eps), "joined")
     counts = joined.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
