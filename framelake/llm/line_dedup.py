@@ -1,17 +1,21 @@
 """Line deduplication by a sharded minimal perfect hash.
 
 Pass one counts, for each line key, its documents and the largest document id
-(partial sums before the shuffle, so a line in every document costs a row a
-task).  The hashes of keys in ``min_docs`` documents or more are dealt to
-shards; each shard is one minimal perfect hash (bit arrays of falling size, a
-key's index is the rank of its bit) with arrays of fingerprints, counts and
-largest ids.  Pass two sends the hash of each line, salted by its document, to
-its shard's arrays; what comes back are line numbers to drop.  Lines are never
-joined with lines, and a worker holds one shard.
-
-Defined cases: a null or empty text is one empty line; each row counts as a
-document; a null id is below all others, and a key found only under null ids
-keeps its lines there.
+(sums before the second shuffle, so a line in every document costs a row a
+task).  The hashes of all keys are dealt to shards; each shard is one minimal
+perfect hash (bit arrays of falling size, a key's index is the rank of its bit)
+over an array of counts of one byte, which stop at 255.  Keys that reach
+``min_docs`` have places in two more arrays, of fingerprints and largest ids.
+Pass two sends the hash of each line, salted by its document, to its shard;
+where the count there says that the key is frequent and the fingerprint agrees,
+the line's number comes back, to be dropped.  Lines are never joined with lines,
+and a worker holds one shard.
+
+Defined cases: a null or empty text is one empty line; rows with one id are one
+document, and so are all without an id, which is below all others: a key found
+only there keeps its lines; repeated rows lose the same lines; an empty table
+gives an empty one; a text of any length is split whole; columns may have any
+names but ``n_lines`` and ``n_dropped``, which raise.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import io
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, write_stage
+from ._common import ascii_lower, drop_stage, write_stage
 
 SHARD_KEYS = 200_000
 SALTS = 8
@@ -89,21 +93,21 @@ class PerfectHash:
         return out
 
 
-def build_shard(h1, h2, counts, last) -> bytes:
+def build_shard(h1, h2, counts, last, min_docs: int) -> bytes:
     """Bytes of a shard. last: largest ids, None where there is none."""
     import numpy as np
 
     keys = np.asarray(h1, np.int64).view(np.uint64)
     mph = PerfectHash.build(keys)
     at = mph.find(keys)
-    n = len(keys)
-    marks, docs = np.zeros(n, np.int64), np.zeros(n, np.uint32)
-    top, known = np.zeros(n, np.int64), np.zeros(n, bool)
-    marks[at], docs[at] = np.asarray(h2, np.int64), np.minimum(np.asarray(counts, np.int64), 2**32 - 1)
-    known[at] = [x is not None and x == x for x in last]
-    top[at] = [int(x) if x is not None and x == x else 0 for x in last]
+    docs = np.zeros(len(keys), np.uint8)
+    docs[at] = np.minimum(np.asarray(counts, np.int64), 255)
+    often = np.flatnonzero(np.asarray(counts, np.int64) >= min_docs)
+    often = often[np.argsort(at[often])]
+    known = np.array([last[k] is not None and last[k] == last[k] for k in often.tolist()], bool)
+    top = np.array([int(last[k]) if ok else 0 for k, ok in zip(often.tolist(), known.tolist())], np.int64)
     buf = io.BytesIO()
-    np.savez(buf, marks=marks, docs=docs, top=top, known=known, rest=mph.rest, sizes=np.array([s for _, s in mph.levels]), **{f"l{k}": x for k, (x, _) in enumerate(mph.levels)})
+    np.savez(buf, docs=docs, often=at[often], marks=np.asarray(h2, np.int64)[often], top=top, known=known, rest=mph.rest, sizes=np.array([s for _, s in mph.levels]), **{f"l{k}": x for k, (x, _) in enumerate(mph.levels)})
     return buf.getvalue()
 
 
@@ -113,34 +117,41 @@ class Shard:
 
         z = np.load(io.BytesIO(blob))
         self.mph = PerfectHash([(z[f"l{k}"], int(s)) for k, s in enumerate(z["sizes"])], z["rest"])
-        self.marks, self.docs, self.top, self.known = z["marks"], z["docs"], z["top"], z["known"]
+        self.docs, self.often, self.marks, self.top, self.known = (z[x] for x in ("docs", "often", "marks", "top", "known"))
+
+    def probe(self, h1, h2, min_docs: int):
+        """(whether the count is min_docs or more and the fingerprint agrees, largest id, whether it is known) of each hash pair."""
+        import numpy as np
 
-    def probe(self, h1, h2):
-        """(found, documents, largest id, whether it is known) of each hash pair."""
         at = self.mph.find(h1.view("u8"))
         found = at >= 0
         at[~found] = 0
-        found &= self.marks[at] == h2
-        return found, self.docs[at], self.top[at], self.known[at]
+        if not len(self.often):
+            return np.zeros(len(at), bool), np.zeros(len(at), np.int64), np.zeros(len(at), bool)
+        found &= self.docs[at] >= min(min_docs, 255)
+        place = np.minimum(np.searchsorted(self.often, at), len(self.often) - 1)
+        found &= (self.often[place] == at) & (self.marks[place] == h2)
+        return found, self.top[place], self.known[place]
 
 
-def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """(h1, h2, n_docs, last_doc) of the keys of ``docs(d, t)`` in ``min_docs`` rows or more."""
+def line_counts(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, n_docs, last_doc) of the keys of ``docs(d, t)``; rows with one id count once."""
     keys = F.array_distinct(F.filter(F.transform(F.split(F.col("t"), "\n", -1), line_key), lambda k: F.length(k) >= min_chars))
     lines = docs.select("d", F.explode(keys).alias("key")).select("d", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    return lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("d").alias("last_doc")).where(F.col("n_docs") >= min_docs)
+    return lines.distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("d").alias("last_doc"))
 
 
-def build_shards(frequent: DataFrame, n_shards: int) -> DataFrame:
+def build_shards(counts: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
     """(shard, arrays), one row a shard of about SHARD_KEYS keys."""
 
     def build(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("h1")  # two keys of one 64-bit hash: the second is told apart by no index, so it is not dropped
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "arrays": [build_shard(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), pdf["n_docs"].to_numpy(), [None if x is None else int(x) for x in pdf["last"]])]})
+        pdf = pdf.sort_values("n_docs", ascending=False, kind="stable").drop_duplicates("h1")  # of two keys of one 64-bit hash the rarer is not dropped
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "arrays": [build_shard(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), pdf["n_docs"].to_numpy(), pdf["last"].tolist(), min_docs)]})
 
-    dealt = frequent.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), "h1", "h2", "n_docs", F.col("last_doc").cast("string").alias("last"))
+    often = F.col("n_docs") >= min_docs
+    dealt = counts.select(F.pmod("h1", F.lit(n_shards)).cast("int").alias("shard"), "h1", F.when(often, F.col("h2")).otherwise(0).alias("h2"), "n_docs", F.when(often, F.col("last_doc").cast("string")).alias("last"))
     return dealt.groupBy("shard").applyInPandas(build, "shard int, arrays binary")
 
 
@@ -155,12 +166,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         raise ValueError("the columns n_lines and n_dropped are taken")
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(f"`{id_col}`").alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    frequent = write_stage(frequent_lines(rows, min_chars, min_docs), "lines")
-    n_keys = frequent.count()
+    counts = write_stage(line_counts(rows, min_chars), "lines")
+    n_keys = counts.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_shards = -(-max(n_keys, 1) // SHARD_KEYS)
     salts = max(SALTS, -(-2 * parts // n_shards))
-    shards = write_stage(build_shards(frequent, n_shards), "shards")
+    shards = write_stage(build_shards(counts, n_shards, min_docs), "shards")
+    drop_stage(counts)
 
     uid = [F.xxhash64("d", "t").alias("r1"), F.xxhash64("t", F.lit(1), "d").alias("r2")]
     lines = rows.select("d", *uid, F.posexplode(F.split("t", "\n", -1)).alias("pos", "line")).select("d", "r1", "r2", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
@@ -187,7 +199,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
                     mine = some.filter(pa.array(shards_[a:b] == shard)) if own is not None else some.slice(0, 0)
                     if mine.num_rows:
                         col = {n: mine.column(k) for k, n in enumerate(mine.schema.names)}
-                        found, _, top, known = own.probe(col["h1"].to_numpy(), col["h2"].to_numpy())
+                        found, top, known = own.probe(col["h1"].to_numpy(), col["h2"].to_numpy(), min_docs)
                         d, has = col["d"].fill_null(0).to_numpy(), col["d"].is_valid().to_numpy(zero_copy_only=False)
                         drop = found & known & ~(has & (d == top))
                         out = mine.filter(pa.array(drop)).select(["r1", "r2", "pos"])
