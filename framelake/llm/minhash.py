@@ -14,8 +14,12 @@ with all of it in blocks, sizes and sketches first; what passes is confirmed as
 1024 cells errs by more than 5 percent.  No bucket is gathered in one task.
 
 Defined cases: a null or empty text, or one of white space, has an empty set
-and no link; rows repeated with the same id are one document, and an id is
-expected to name one text; a null id has the component of its class's ids.
+and no link; rows with one id are one document: repeated rows have one result,
+and rows with other texts share the component, found by the tables of all their
+texts and confirmed on the smallest text that has words; a null id has the
+component of its class's ids, else none; an empty table gives an empty one; a
+text of any length is one set; columns other than the id and the text are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -329,7 +333,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
 
     def named(ids):
         """Texts of the ids, one an id."""
-        return rows.join(ids.hint("merge"), "d", "left_semi").dropDuplicates(["d"])
+        return rows.join(ids.hint("merge"), "d", "left_semi").groupBy("d").agg(F.min("t").alias("t"))
 
     tables = _tables(reps, m, r)
     low = tables.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key", "low")
