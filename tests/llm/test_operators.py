@@ -88,6 +88,37 @@ def test_vectors_join(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_join_of_many_intervals(spark, monkeypatch):
+    """Intervals of 16 rows, a dense cluster, and components whose squares overflow or vanish."""
+    from framelake.llm import ego_join
+
+    monkeypatch.setattr(ego_join, "INTERVAL", 16)
+    rng = np.random.default_rng(21)
+    base = rng.standard_normal((30, 5))
+    rows = [(i, (base[min(i % 40, 29)] + 0.05 * rng.standard_normal(5)).tolist(), i % 2) for i in range(700)]
+    links = [(i, j) for i, a, y in rows for j, b, z in rows if i < j and y == z and np.dot(a, b) >= 0.98 * np.linalg.norm(a) * np.linalg.norm(b)]
+    rows += [(800, [1e-200, 0.0], 0), (801, [0.0, 1e-200], 0), (802, [1.0, 0.0], 0), (803, [1e300, 1e300], 0), (804, [1e300, 1.01e300], 0), (805, [5e-324, 5e-324], 0)]
+    links += [(800, 802), (803, 804), (803, 805), (804, 805)]
+    comp = components([r[0] for r in rows], links)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in ego_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()}
+    count = {i: 0 for i in comp}
+    for i, j in links:
+        count[i] += 1
+        count[j] += 1
+    assert len(links) > 5000 and got == {i: (count[i], comp[i]) for i in comp}
+
+
+def test_pairs_of_intervals_are_those_of_near_boxes(spark):
+    from framelake.llm.ego_join import _pairs_of_intervals
+
+    r = random.Random(22)
+    boxes = [(y, 3, k, [v := r.random() * 9, r.random()], [v + 0.3, 1.2]) for y in (0, 1) for k in r.sample(range(3000), 40)]
+    gap = lambda a, b: sum(max(0, p - s, u - q) ** 2 for p, q, u, s in zip(a[3], a[4], b[3], b[4]))
+    want = {(a[0], a[2], b[2]) for a in boxes for b in boxes if a[0] == b[0] and a[2] < b[2] and gap(a, b) <= 0.25 + 1e-9}
+    got = [(x["label"], x["a"], x["b"]) for x in _pairs_of_intervals(spark.createDataFrame(boxes, "label long, n long, number long, lo array<double>, hi array<double>"), 0.5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < 800
+
+
 def test_sequence_join_leaves_out_only_distant_blocks():
     from framelake.llm.ego_join import join_sequences
 
@@ -231,18 +262,52 @@ def test_top_scores(spark):
     rng = np.random.default_rng(5)
     rows = [(i, np.round(rng.standard_normal(6), 1).tolist()) for i in range(150)]
     rows += [(200, None), (220, [float("nan")] * 6), (240, rows[3][1]), (241, rows[3][1]), (242, [1.0, 2.0]), (260, [3.0, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as n", "3 as block")
+    rows += [(20, rows[7][1]), (20, rows[7][1]), (None, rows[8][1]), (280, []), (281, []), (300, [None] * 6), (301, rows[3][1])]  # rows that share an id, no id, no components
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as n", "3 as block", "4 as v")
     got = sorted(map(tuple, top_scores(df, F.col("vec_id") % 20 == 0, k=20).collect()))
-    ok = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if v is not None and np.isfinite(v).all()]
+    ok = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = []
     for q, a in ok:
         if q % 20 == 0:
             best = sorted((-int(a @ b), i) for i, b in ok if i != q and len(a) == len(b))[:20]
             want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
-    assert got == sorted(want)
+    assert got == sorted(want) and sum(w[0] == 20 for w in want) == 60
     assert top_scores(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_scores_scores_few_pairs_exactly(spark, monkeypatch):
+    """Over several slices of queries and blocks, with groups of copies; survivors of the cutoff are far fewer than all pairs."""
+    from pyspark.sql import functions as F
+
+    from framelake.llm import topk
+
+    for name, value in (("BLOCK", 128), ("SLICE_BYTES", 1 << 14)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 16))
+    rows = [(i, (base[i % 40] + 0.2 * rng.standard_normal(16)).tolist() if i % 3 else base[0].tolist()) for i in range(1500)]
+    seen = spark.sparkContext.accumulator(0)
+    got = sorted(map(tuple, topk.top_scores(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 10 == 0, k=10, scored=seen).collect()))
+    m = np.floor(64 * np.array([v for _, v in rows])).astype(int)
+    score, want = m[::10] @ m.T, []
+    for q in range(150):
+        order = [i for i in np.lexsort((np.arange(1500), -score[q])).tolist() if i != 10 * q][:10]
+        want += [(10 * q, k, i, int(score[q, i])) for k, i in enumerate(order, 1)]
+    assert got == sorted(want)
+    assert 150 * 10 <= seen.value < 0.25 * 150 * 1500
+
+
+@pytest.mark.parametrize("big", [1e18, 2e10])
+def test_top_scores_raise_where_scores_might_not_fit(spark, big):
+    from pyspark.sql import functions as F
+
+    from framelake.llm.topk import top_scores
+
+    df = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit 64 bits"):
+        top_scores(df, F.col("vec_id") == 0).collect()
+
+
 # ---- 5 ------------------------------------------------------------------
 def library(name):
     from tokenizers import Tokenizer
@@ -504,11 +569,14 @@ def test_perfect_hash():
     assert sorted(mph.find(keys.view(np.uint64)).tolist()) == list(range(5000))
     few = PerfectHash.build(keys.view(np.uint64), most=1)
     assert sorted(few.find(keys.view(np.uint64)).tolist()) == list(range(5000))
-    shard = Shard(build_shard(keys, keys + 1, np.arange(5000), [None, *range(1, 5000)]))
-    found, n, last, known = shard.probe(keys, keys + 1)
-    assert found.all() and (n == np.arange(5000)).all() and (last[1:] == np.arange(1, 5000)).all() and not known[0]
-    other = np.random.default_rng(12).integers(-(2**63), 2**63, 5000)
-    assert not shard.probe(other, other)[0].any()
+    for least in (5, 300):
+        shard = Shard(build_shard(keys, keys + 1, np.arange(5000), [None if k % 7 == 0 else k for k in range(5000)], least))
+        found, last, known = shard.probe(keys, keys + 1, least)
+        assert (found == (np.arange(5000) >= least)).all() and len(shard.marks) == 5000 - least and len(shard.docs) == 5000
+        assert (known[found] == (np.arange(5000)[found] % 7 > 0)).all() and (last[found & known] == np.arange(5000)[found & known]).all()
+        assert not shard.probe(keys, keys, least)[0].any()
+        other = np.random.default_rng(12).integers(-(2**63), 2**63, 5000)
+        assert not shard.probe(other, other, least)[0].any()
 
 
 def test_line_dedup(spark, docs):
@@ -533,6 +601,16 @@ def test_line_dedup(spark, docs):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    from framelake.llm.line_dedup import dedup_lines
+
+    line, other = "a line of more than forty characters, said again and again", "another line of more than forty characters, said again"
+    rows = [(1, line + "\nx")] * 5 + [(2, line)] + [(k, other) for k in (3, 4, 5, 6)] + [(None, other), (None, other)]
+    got = sorted((str(r["doc_id"]), r["n_dropped"], r["text"]) for r in dedup_lines(frame(spark, rows)).collect())
+    want = [(1, 0, line + "\nx")] * 5 + [(2, 0, line)] + [(k, 1, "") for k in (3, 4, 5)] + [(6, 0, other)] + [(None, 1, "")] * 2
+    assert got == sorted((str(d), n, t) for d, n, t in want)
+
+
 # ---- the pipeline ------------------------------------------------------------
 def test_pipeline_keeps_clean_documents_and_acts(spark, tmp_path):
     import corpus_pipeline
