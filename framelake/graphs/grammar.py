@@ -80,26 +80,34 @@ def left_factored(g: Grammar) -> Grammar:
 
 
 def recognises(g: Grammar, start: str, tokens) -> bool:
-    """Whether the grammar derives the tokens, by Earley's sets."""
-    empty = nullable(g)
-    sets: list[set] = [set() for _ in range(len(tokens) + 1)]
-    todo = [(0, (start, alt, 0, 0)) for alt in g.get(start, ())]
-    while todo:
-        at, item = todo.pop()
-        if item in sets[at]:
-            continue
-        sets[at].add(item)
-        lhs, alt, dot, origin = item
-        if dot == len(alt):
-            todo += [(at, (a, b, d + 1, o)) for a, b, d, o in list(sets[origin]) if d < len(b) and b[d] == lhs]
-        elif alt[dot] in g:
-            todo += [(at, (alt[dot], b, 0, at)) for b in g[alt[dot]]]
-            if alt[dot] in empty:
-                todo.append((at, (lhs, alt, dot + 1, origin)))
-            todo += [(at, (lhs, alt, dot + 1, origin)) for a, b, d, o in list(sets[at]) if a == alt[dot] and d == len(b) and o == at]
-        elif at < len(tokens) and tokens[at] == alt[dot]:
-            todo.append((at + 1, (lhs, alt, dot + 1, origin)))
-    return any(a == start and d == len(b) and o == 0 for a, b, d, o in sets[-1])
+    """Whether the grammar derives the tokens, by Earley's sets.
+
+    Positions are finished in order, so what a completion from before looks
+    through no longer changes; a symbol that can be empty is passed over where
+    it is awaited, which takes the place of its completions within a position.
+    """
+    tokens, empty = list(tokens), nullable(g)
+    sets: list[dict] = [{} for _ in range(len(tokens) + 1)]  # awaited symbol (None: complete) -> items (lhs, alternative, dot, origin)
+    todo = [(start, alt, 0, 0) for alt in g.get(start, ())]
+    for at, here in enumerate(sets):
+        scanned, seen = [], set()
+        while todo:
+            item = todo.pop()
+            if item in seen:
+                continue
+            seen.add(item)
+            lhs, alt, dot, origin = item
+            awaited = alt[dot] if dot < len(alt) else None
+            here.setdefault(awaited, []).append(item)
+            moved = (lhs, alt, dot + 1, origin)
+            if awaited is None:
+                todo += [(a, b, d + 1, o) for a, b, d, o in sets[origin].get(lhs, ())]
+            elif awaited in g:
+                todo += [(awaited, b, 0, at) for b in g[awaited]] + [moved] * (awaited in empty)
+            elif at < len(tokens) and tokens[at] == awaited:
+                scanned.append(moved)
+        todo = scanned
+    return any(a == start and o == 0 for a, _, _, o in sets[-1].get(None, ()))
 
 
 def pronunciations(lexicon: dict[str, list[tuple[str, ...]]]) -> Grammar:

@@ -283,6 +283,54 @@ def test_graphs_and_grammars(spark):
         assert not g.recognises(h, "S", "x +".split()) and not g.recognises(h, "S", [])
 
 
+GRAMMARS = """
+import itertools, sys
+from framelake.graphs import grammar as g
+
+def derived(gram, most):
+    \"\"\"Strings of each symbol up to a length, by repeated substitution.\"\"\"
+    said = {a: set() for a in gram}
+    while True:
+        more = {a: set(v) for a, v in said.items()}
+        for a, alts in gram.items():
+            for alt in alts:
+                lines = {()}
+                for s in alt:
+                    lines = {x + y for x in lines for y in (said[s] if s in gram else {(s,)}) if len(x + y) <= most}
+                more[a] |= lines
+        if more == said:
+            return said
+        said = more
+
+cases = [
+    {"S": {("S", "+", "T"), ("T",)}, "T": {("x",), ("E", "x")}, "E": {()}},
+    {"S": {("A", "S"), ("b",)}, "A": {("S", "A"), ("a",)}},
+    {"S": {("A", "B")}, "A": {(), ("a", "A"), ("B",)}, "B": {(), ("b",), ("A",)}},
+    {"S": {("S", "S"), ("a",), ()}},
+    {"S": {("a", "S", "b"), ("a", "b"), ("a", "c")}},
+    {"S": {("T", "S", "T"), ("x",)}, "T": {("T", "T"), ("y",), ()}},
+]
+for gram in cases:
+    want = derived(gram, 4)["S"]
+    marks = sorted({s for alts in gram.values() for alt in alts for s in alt if s not in gram})
+    for form in (gram, g.without_empty(gram, "S"), g.left_factored(gram)):
+        for n in range(5):
+            for line in itertools.product(marks, repeat=n):
+                assert g.recognises(form, "S", line) == (line in want), (form, line)
+assert g.recognises(g.without_left_recursion(cases[0]), "S", "x + x".split())
+"""
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_recognition_does_not_depend_on_the_hash_seed(seed):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", GRAMMARS], check=True, timeout=120, cwd=root, env=os.environ | {"PYTHONHASHSEED": str(seed), "PYTHONPATH": root})
+
+
 def test_streaming(spark, tmp_path):
     from framelake.streaming import stateful as st
 
