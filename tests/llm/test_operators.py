@@ -253,6 +253,49 @@ def test_suffix_dedup_of_a_passage_twice_in_a_document(spark):
     assert {x[0]: tuple(x[1:5]) for x in digests(df).collect()} == want
 
 
+def test_suffix_dedup_of_rows_that_share_an_id(spark):
+    """A row loses what smaller ids hold of its own text, never what another row of its id repeats."""
+    from framelake.llm.suffix_dedup import digests, remove_repeats
+
+    r = random.Random(18)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    p, q = words(40), words(40).upper()
+    rows = [(1, p), (5, p + "zz"), (5, q), (5, q), (None, p), (None, None), (7, q[:100] + p), (9, None), (9, "")]
+    got = sorted((str(x[0]), *x[1:4]) for x in digests(frame(spark, rows)).collect())
+    n = len(p)
+    want = [(1, n, 0, 0), (5, n + 2, n, 1), (5, n, 0, 0), (5, n, 0, 0), (None, n, 0, 0), (None, 0, 0, 0), (7, n + 100, n + 100, 1), (9, 0, 0, 0), (9, 0, 0, 0)]
+    assert got == sorted((str(x[0]), *x[1:]) for x in want)
+    left = sorted((str(x["doc_id"]), x["text"] or "") for x in remove_repeats(frame(spark, rows).selectExpr("*", "1 as ranges", "2 as _d", "'k' as _cut", "3 as v", "4 as d")).collect())
+    assert left == sorted([("1", p), ("5", "zz"), ("5", q), ("5", q), ("None", p), ("None", ""), ("7", ""), ("9", ""), ("9", "")])
+
+
+def test_suffix_dedup_of_partial_overlaps(spark):
+    """Strings of 40 to 60 bytes shared at every offset, so that only halves tell which contexts to sort."""
+    from framelake.llm.suffix_dedup import digests
+
+    r = random.Random(19)
+    letters = lambda n: "".join(r.choice("abcd ") for _ in range(n))
+    shared = letters(2000)
+    rows = [(0, shared)]
+    for i in range(1, 80):
+        at, n = r.randrange(1900), r.randint(40, 60)
+        rows.append((i, letters(r.randint(0, 60)) + shared[at : at + n] + letters(r.randint(0, 60))))
+    rows += [(100 + i, letters(17)[: i % 18] + shared[50 * i : 50 * i + 50] + letters(17)[: i % 7]) for i in range(30)]
+    want = removed(rows, 50)
+    assert sum(v[1] > 0 for v in want.values()) > 40
+    assert {x[0]: tuple(x[1:5]) for x in digests(frame(spark, rows)).collect()} == want
+
+
+def test_suffix_dedup_of_a_text_of_ten_megabytes(spark):
+    from framelake.llm.suffix_dedup import digests
+
+    rng = np.random.default_rng(20)
+    long = rng.integers(97, 123, 10_000_000, dtype=np.uint8).tobytes().decode()
+    rows = [(1, long[3_000_000:3_000_500]), (2, long), (3, "x" + long[9_999_000:] + "y")]
+    got = {x[0]: tuple(x[1:4]) for x in digests(frame(spark, rows)).collect()}
+    assert got == {1: (500, 0, 0), 2: (10_000_000, 500, 1), 3: (1002, 1000, 1)}
+
+
 # ---- 4 ------------------------------------------------------------------
 def test_top_scores(spark):
     from pyspark.sql import functions as F
