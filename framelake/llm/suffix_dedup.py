@@ -9,16 +9,17 @@ are its context.  Only contexts can match as a whole or in part:
   document goes on, at all places there; the others' contexts are repeats.
 * A string that two classes of an anchor share reaches over the anchor and at
   least half of the rest to the left or to the right of it.  So classes go on to
-  be sorted only where another has the same such half, and only with those.
-* The contexts of each half are concatenated and sorted by a difference cover:
+  be sorted only where another of their anchor has the same such half.
+* The contexts of each anchor are concatenated and sorted by a difference cover:
   triples at two of three positions are sorted and named, their names recursed
   on until no two are equal, the remaining suffixes ordered by symbol and rank
   and merged in; adjacent suffixes whose prefixes of ``width`` bytes are equal
   form a class, and only its smallest document keeps them.
 
 Nothing is sampled: a string in two documents has an anchor that both hold.
-Spark deals anchors to buckets and halves to tasks; suffixes of different halves
-never need to be told apart, so each half is sorted by itself.  A batch of
+Spark deals anchors to buckets and then to tasks; suffixes around different
+anchors never need to be told apart, so each anchor's are sorted by themselves,
+in one task, and no suffix array of all texts is made.  A batch of
 documents sends each class for one document only, with all its places there, so
 what a frequent passage brings to a task is bounded by the number of batches and
 the places in one document of each.
@@ -41,7 +42,7 @@ from pyspark.sql.types import StructType
 from ._common import write_stage
 
 WIDTH, GRAM = 50, 16
-#: Bytes of contexts that one sort takes; a half's own are not split.
+#: Bytes of contexts that one sort takes; an anchor's own are not split.
 CHUNK = 1 << 18
 #: Bytes of text whose anchors a bucket holds, and documents that send them together.
 BUCKET, BATCH = 1 << 24, 4096
@@ -156,8 +157,9 @@ def suffix_order(s):
         both = np.concatenate([zeros, by[mine]])
         key = _paired(lead[both], rank[both + mod], top)
         a, b = key[: len(zeros)], key[len(zeros) :]
-        ahead += np.searchsorted(b, a)
-        smaller[mine] = np.searchsorted(a, b)
+        before = np.searchsorted(b, a)  # no two are equal
+        ahead += before
+        smaller[mine] = np.cumsum(np.bincount(before, minlength=len(b) + 1))[: len(b)]
     out = np.empty(n, np.int64)
     out[np.arange(len(zeros)) + ahead] = zeros
     out[np.arange(len(by)) + smaller] = by
@@ -180,8 +182,12 @@ def repeats(contexts: list[bytes], owners, width: int):
         return which, order
     new = np.ones(len(order), bool)
     same = np.ones(len(order) - 1, bool)
-    for k in range(width):  # adjacent prefixes
-        x = raw[order + k]
+    step = min(4, width)
+    packed = raw[: len(raw) - step + 1].copy()  # symbols at each place and behind it, 16 bits each
+    for k in range(1, step):
+        packed |= raw[k : len(raw) - step + 1 + k] << 16 * k
+    for k in {*range(0, width - step, step), width - step}:  # adjacent prefixes
+        x = packed[order + k]
         same &= x[1:] == x[:-1]
     new[1:] = ~same
     least = np.minimum.reduceat(owners[which], np.flatnonzero(new))[np.cumsum(new) - 1]
@@ -253,7 +259,7 @@ def _anchor_blobs(rows: DataFrame, width: int, buckets: int) -> DataFrame:
 
 
 def _settle(blobs: DataFrame, lead: int, width: int) -> DataFrame:
-    """(d, v, a, b, g): byte range a..b of a text; g null: a repeat; else a context to compare with those of the half g."""
+    """(d, v, a, b, g): byte range a..b of a text; g null: a repeat; else a context to compare with those of the anchor g."""
     dealt = blobs.withColumn("salt", F.when(F.col("bucket") < 0, F.xxhash64("blob"))).repartition("bucket", "salt").sortWithinPartitions("bucket")
 
     def shared(h, side, ok):
@@ -286,12 +292,11 @@ def _settle(blobs: DataFrame, lead: int, width: int) -> DataFrame:
             number = np.cumsum(first) - 1
             gone = x["d"] > x["d"][first][number]
             yield rows(x, np.flatnonzero(gone))
-            for k, shift in enumerate((0, 12)):
-                side = (x["lr"][first] >> shift) & 4095
-                ask = shared(h[first], side, side > 0)
-                which = np.flatnonzero(~gone & ask[number])  # at every place in the smallest document
-                if len(which):
-                    yield rows(x, which, np.int64(bucket) << 37 | h[which] << 13 | side[number[which]] << 1 | k)
+            sides = [(x["lr"][first] >> shift) & 4095 for shift in (0, 12)]
+            ask = shared(h[first], sides[0], sides[0] > 0) | shared(h[first], sides[1], sides[1] > 0)
+            which = np.flatnonzero(~gone & ask[number])  # at every place in the smallest document
+            if len(which):
+                yield rows(x, which, np.int64(bucket) << 24 | h[which])
 
         now, held = None, []
         for batch in batches:
@@ -308,7 +313,7 @@ def _settle(blobs: DataFrame, lead: int, width: int) -> DataFrame:
 
 
 def _compare(asked: DataFrame, texts: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """(d, v, a, b): repeats found by sorting the contexts of each half; a text's equal ones go as one, with ``more`` places."""
+    """(d, v, a, b): repeats found by sorting the contexts of each anchor; a text's equal ones go as one, with ``more`` places."""
     lists = asked.groupBy(*keys).agg(F.collect_list(F.struct("g", "a", "b")).alias("asked"))
     joined = texts.join(lists, keys).select("row", "d", "v", "t", "asked")
 
@@ -326,9 +331,9 @@ def _compare(asked: DataFrame, texts: DataFrame, keys: list[str], width: int) ->
                 again[1:-1] = g[1:] == g[:-1]
                 keep, more = np.ones(len(g), bool), {}
                 head: dict = {}
-                several = np.flatnonzero(again[1:] | again[:-1])  # halves with several places here
-                for k, half, x, y in zip(*(z.tolist() for z in (several, g[several], a[several], b[several]))):
-                    at = head.setdefault((half, data[x:y]), k)
+                several = np.flatnonzero(again[1:] | again[:-1])  # anchors with several places here
+                for k, anchor, x, y in zip(*(z.tolist() for z in (several, g[several], a[several], b[several]))):
+                    at = head.setdefault((anchor, data[x:y]), k)
                     if at != k:
                         keep[k] = False
                         more.setdefault(at, []).append(x)
