@@ -5,16 +5,20 @@ character n-grams (3 to 5, with word ends marked), hashed into ``CELLS`` cells;
 a word that repeats the one before it counts as one more feature.  A softmax over
 two classes reads the average.  Vectors and softmax are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents
-(``sample`` rows, taken in the order of a hash of their ids, texts of at most
-``sample_chars``).  Scoring reads whole texts of all rows: as the softmax is
-linear in the average, each word needs one number, which workers keep in a
-bounded cache; words of more than ``LONG`` characters are taken in chunks of
-``CHUNK`` and not kept.
+(``sample`` ids, taken in the order of a hash of their ids, with texts of at most
+``sample_chars`` characters, so at most their product comes to the driver).
+Scoring reads whole texts of all rows: as the softmax is linear in the average,
+each word needs one number, which workers keep in a bounded cache; words of more
+than ``LONG`` characters are taken in chunks of ``CHUNK`` and not kept.
 
 Defined cases: a null or empty text has no features and is scored by the
-softmax's bias alone; labels that are null are not learned from; with no
+softmax's bias alone; labels that are null are not learned from, of several for
+one id the largest counts; each row is scored by its own text, so repeated rows
+score alike; of rows that share a sampled id one text is learned from, the
+smallest; rows without an id are scored and never learned from; with no
 examples, or of one class only, the score is their share of label 1 (0.5 of
-none).
+none); an empty table gives an empty one; columns may have any names but
+``held_out``, ``score`` and ``predicted``, which raise.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 CELLS, DIM = 1 << 17, 16
 CACHE = 200_000
-SAMPLE, SAMPLE_CHARS = 4_000, 200_000
+SAMPLE, SAMPLE_CHARS = 4_000, 20_000
 LONG, CHUNK = 64, 1 << 16
 _REPEAT = 0  # the cell of a repeated word
 
@@ -98,6 +102,40 @@ def features(text: str | None):
     return total
 
 
+class Vocabulary:
+    """Words of the examples with their cells, and each example's words and their counts, in flat arrays."""
+
+    def __init__(self, texts: list):
+        import numpy as np
+
+        number: dict[str, int] = {}
+        self.docs = []
+        for text in texts:
+            words = text.split() if text else []
+            counts: dict[int, int] = {}
+            for w in words:
+                k = number.setdefault(w, len(number))
+                counts[k] = counts.get(k, 0) + 1
+            ids = np.fromiter(counts, np.int32, len(counts))
+            self.docs.append((ids, np.fromiter(counts.values(), np.int32, len(counts)), sum(a == b for a, b in zip(words, words[1:]))))
+        cells = [np.array(word_cells(w) if len(w) <= LONG else np.concatenate([*long_word_cells(w)]), np.int32) for w in number]
+        self.size = np.array([len(c) for c in cells], np.int64)
+        self.start, self.cells = np.cumsum(self.size) - self.size, np.concatenate(cells) if cells else np.zeros(0, np.int32)
+
+    def features(self, k: int):
+        """(cells, shares) of example k."""
+        import numpy as np
+
+        ids, counts, same = self.docs[k]
+        if not len(ids):
+            return np.zeros(0, np.int32), np.zeros(0, np.float32)
+        sizes = self.size[ids]
+        at = np.repeat(self.start[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        found, where = np.unique(np.append(self.cells[at], np.int32(_REPEAT)), return_inverse=True)
+        n = np.bincount(where, weights=np.append(np.repeat(counts, sizes), same))
+        return found, (n / n.sum()).astype(np.float32)
+
+
 def train(texts: list, labels: list, epochs: int = 3, rate: float = 2.0, seed: int = 11) -> dict:
     """Vectors and softmax; reduced to one value a cell and a bias, which give the same scores."""
     import numpy as np
@@ -107,15 +145,15 @@ def train(texts: list, labels: list, epochs: int = 3, rate: float = 2.0, seed: i
         share = min(max(float(np.mean(y)) if len(y) else 0.5, 1e-6), 1 - 1e-6)
         return {"value": np.zeros(CELLS), "bias": float(np.log(share / (1 - share)))}
     rng = np.random.default_rng(seed)
-    docs = [(c.astype(np.int32), s.astype(np.float32)) for c, s in map(features, texts)]
+    examples = Vocabulary(texts)
     vectors = (rng.random((CELLS, DIM), np.float32) - 0.5) / DIM
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     out[1] = rng.random(DIM, np.float32) - 0.5
     out[0] = -out[1]
-    step, steps = 0, epochs * len(docs)
+    step, steps = 0, epochs * len(texts)
     for _ in range(epochs):
-        for k in rng.permutation(len(docs)):
-            cells, share = docs[k]
+        for k in rng.permutation(len(texts)):
+            cells, share = examples.features(k)
             lr = rate * (1 - step / steps)
             step += 1
             rows = vectors[cells]
@@ -171,11 +209,12 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> dict:
     """Train on at most ``sample`` labelled rows; the ids are chosen before any text is read."""
-    ids = labels.where(F.col(label_col).isNotNull() & usable).groupBy(id_col).agg(F.max(label_col).cast("int").alias("_y"))
-    ids = ids.join(docs.select(id_col).distinct(), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    texts = docs.select(id_col, F.col(text_col).cast("string").alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= sample_chars)
-    rows = texts.join(F.broadcast(ids), id_col).orderBy(id_col, "_t").collect()  # at most ``sample`` ids
-    return train([r["_t"] for r in rows], [r["_y"] for r in rows])
+    y, key = F.col(f"`{label_col}`"), F.col(f"`{id_col}`")
+    ids = labels.where(y.isNotNull() & key.isNotNull()).select(key.alias("_i"), y.alias("_v")).where(usable).groupBy("_i").agg(F.max("_v").cast("int").alias("_y"))
+    ids = ids.join(docs.select(key.alias("_i")).distinct(), "_i", "left_semi").orderBy(F.xxhash64("_i"), "_i").limit(sample)
+    texts = docs.select(key.alias("_i"), F.col(f"`{text_col}`").cast("string").alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= sample_chars)
+    rows = texts.join(F.broadcast(ids), "_i").groupBy("_i").agg(F.first("_y").alias("_y"), F.min("_t").alias("_t")).orderBy("_i").toArrow()  # at most ``sample`` ids
+    return train(rows.column("_t").to_pylist(), rows.column("_y").to_pylist())
 
 
 def score_documents(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -194,14 +233,14 @@ def score_documents(docs: DataFrame, model: dict, text_col: str = "text", score_
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(F.col(f"`{id_col}`").cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cutoff: float = 0.3) -> DataFrame:
-    """``docs`` with held_out, score and predicted; fitted on labelled rows that are not held out."""
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cutoff: float = 0.3, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """``docs`` with held_out, score and predicted; fitted on at most ``sample`` labelled rows that are not held out."""
     taken = {"held_out", "score", "predicted"} & set(docs.columns)
     if taken:
         raise ValueError(f"columns are taken: {sorted(taken)}")
-    model = fit(docs, labels, ~held_out(id_col), id_col, text_col, label_col)
+    model = fit(docs, labels, ~held_out("_i"), id_col, text_col, label_col, sample, sample_chars)
     scored = score_documents(docs, model, text_col)
     return scored.withColumns({"held_out": held_out(id_col), "predicted": (F.col("score") >= cutoff).cast("int")})
