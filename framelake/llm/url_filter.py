@@ -10,13 +10,17 @@ by the URL's length.  A cutoff is calibrated on examples that counting left
 out, where the balanced error is least; URLs at or above it are allowed.
 
 Every gram and context is counted by a 64-bit hash of its own, in distributed
-sums, so the models grow with the examples.  What is counted comes to the driver
-and goes to the workers as sorted tables: 16 bytes a distinct gram and 24 a
-distinct context of each class.
+sums, so the models grow with the examples.  While their tables (16 bytes a
+distinct gram, 24 a distinct context of each class) are within ``MODEL_BYTES``
+they are sent to all tasks; beyond, URLs are scored by joins of their grams with
+the tables, to the same figures.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and
-no rule, and is scored as the empty string; with examples of only one class
-the verdict is that class's, without any it is allow.
+no rule, and is scored as the empty string; each row is judged by its own URL,
+so repeated rows and rows of one id or none are judged alike; each row is an
+example of its own; with examples of only one class the verdict is that class's,
+without any it is allow; an empty table gives an empty one; a URL of any length
+is read whole; columns other than the id and the URL are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, drop_stage, write_stage
+from ._common import ascii_lower, write_stage
 
 ORDER = 5
+#: What models may be sent to all tasks, in bytes of their tables.
+MODEL_BYTES = 1 << 26
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -84,8 +90,8 @@ def _grams(codes, sizes):
     return out, place > 0
 
 
-def fit(examples: DataFrame) -> dict:
-    """Of both classes, the sorted distinct grams with their counts, and contexts with theirs and the number of successors.
+def count(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(y, g, n) of all grams of both classes, and (y, c, seen, kinds) of all contexts with their number of successors.
 
     examples: (text, label 0 or 1).  A task sends each (gram, context) of a batch once.
     """
@@ -105,7 +111,15 @@ def fit(examples: DataFrame) -> dict:
 
     sent = examples.select("text", F.col("label").cast("int")).mapInArrow(work, "y int, g long, c long, n long")
     grams = write_stage(sent.groupBy("y", "g").agg(F.first("c").alias("c"), F.sum("n").alias("n")), "grams")  # a gram has one context
-    contexts = grams.groupBy("y", "c").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+    return grams, grams.groupBy("y", "c").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+
+
+def fit(examples: DataFrame) -> dict:
+    """Of both classes, the sorted distinct grams with their counts, and contexts with theirs and the number of successors."""
+    return _gathered(*count(examples))
+
+
+def _gathered(grams: DataFrame, contexts: DataFrame) -> dict:
     model = {}
     for y in (0, 1):
         for kind, rows in (("grams", grams.where(F.col("y") == y).select("g", "n")), ("contexts", contexts.where(F.col("y") == y).select("c", "seen", "kinds"))):
@@ -113,7 +127,6 @@ def fit(examples: DataFrame) -> dict:
             key, *values = (table.column(k).to_numpy() for k in range(table.num_columns))
             order = key.argsort()
             model[y, kind] = (key[order], *(v[order] for v in values))
-    drop_stage(grams)
     return model
 
 
@@ -128,6 +141,22 @@ def _look_up(keys, table):
     return [np.where(known[at] == keys, v[at], 0) for v in values]
 
 
+def _mixed(part, ok, n, seen, kinds):
+    """Witten-Bell: the next order's probabilities from those of the order below."""
+    import numpy as np
+
+    total = seen + kinds
+    return np.where(ok & (total > 0), (n + kinds * part) / np.maximum(total, 1), part)
+
+
+def _over_length(parts, real, sizes):
+    import numpy as np
+
+    logs = [np.where(real, np.log(np.maximum(p, 1e-12)), 0.0) for p in parts]
+    starts = np.cumsum(sizes) - sizes
+    return np.add.reduceat(logs[1] - logs[0], starts) / (sizes - 1)
+
+
 def ratios(texts, model: dict):
     """Log-likelihood difference over length of each text."""
     import numpy as np
@@ -139,16 +168,13 @@ def ratios(texts, model: dict):
         (gram, at_gram), (context, at_context) = (np.unique(x, return_inverse=True) for x in (g, c))
         for y in (0, 1):
             (n,), (seen, kinds) = _look_up(gram, model[y, "grams"]), _look_up(context, model[y, "contexts"])
-            n, seen, kinds = n[at_gram], seen[at_context], kinds[at_context]
-            total = seen + kinds
-            parts[y] = np.where(ok & (total > 0), (n + kinds * parts[y]) / np.maximum(total, 1), parts[y])
-    logs = [np.where(real, np.log(np.maximum(p, 1e-12)), 0.0) for p in parts]
-    starts = np.cumsum(sizes) - sizes
-    return np.add.reduceat(logs[1] - logs[0], starts) / (sizes - 1)
+            parts[y] = _mixed(parts[y], ok, n[at_gram], seen[at_context], kinds[at_context])
+    return _over_length(parts, real, sizes)
 
 
-def _ratio_udf(spark, model: dict):
-    shared = spark.sparkContext.broadcast(model)  # as large as the distinct grams and contexts
+def _scored_by_tasks(rows: DataFrame, model: dict) -> DataFrame:
+    """``rows`` with the ratio r of the column text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most about MODEL_BYTES
 
     @F.pandas_udf("double")
     def ratio(texts):
@@ -156,7 +182,57 @@ def _ratio_udf(spark, model: dict):
 
         return pd.Series(ratios(texts.tolist(), shared.value)) if len(texts) else pd.Series([], dtype="float64")
 
-    return ratio
+    return rows.withColumn("r", ratio("text"))
+
+
+def _scored_by_joins(rows: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
+    """As _scored_by_tasks, of each distinct text once, by joins of its distinct grams with the tables."""
+
+    def ask(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py()
+                seen = {}
+                for g, c, ok in _grams(*_codes([text]))[0]:
+                    found, first = np.unique(g[ok], return_index=True)
+                    seen.update(zip(found.tolist(), c[ok][first].tolist()))
+                yield pa.RecordBatch.from_arrays([pa.array([text] * len(seen)), pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["text", "g", "c"])
+
+    def wide(table, key, columns):
+        return table.groupBy(key).agg(*(F.sum(F.when(F.col("y") == y, F.col(x)).otherwise(0)).alias(f"{x}{y}") for y in (0, 1) for x in columns))
+
+    texts = rows.select("text").distinct()
+    asked = texts.mapInArrow(ask, "text string, g long, c long").withColumns({"u1": F.xxhash64("text"), "u2": F.xxhash64(F.lit(1), "text")}).drop("text")
+    told = asked.join(wide(grams, "g", ["n"]), "g", "left").join(wide(contexts, "c", ["seen", "kinds"]), "c", "left")
+    names = ["n0", "n1", "seen0", "kinds0", "seen1", "kinds1"]
+    facts = told.groupBy("u1", "u2").agg(F.collect_list(F.struct("g", *(F.coalesce(x, F.lit(0)).alias(x) for x in names))).alias("facts"))
+    keyed = texts.withColumns({"u1": F.xxhash64("text"), "u2": F.xxhash64(F.lit(1), "text")}).join(facts, ["u1", "u2"]).select("text", "facts")
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for text, facts in zip(batch.column(0), batch.column(1)):
+                f = facts.values
+                key = f.field(0).to_numpy()
+                order = key.argsort()
+                of = {x: f.field(k + 1).to_numpy()[order] for k, x in enumerate(names)}
+                codes, sizes = _codes([text.as_py()])
+                listed, real = _grams(codes, sizes)
+                parts = [np.full(len(codes), 1 / 256) for _ in (0, 1)]
+                for g, _, ok in listed:
+                    at = np.minimum(np.searchsorted(key[order], g), len(key) - 1)
+                    for y in (0, 1):
+                        parts[y] = _mixed(parts[y], ok, of[f"n{y}"][at], of[f"seen{y}"][at], of[f"kinds{y}"][at])
+                out.append(float(_over_length(parts, real, sizes)[0]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["text", "r"])
+
+    return rows.join(keyed.mapInArrow(score, "text string, r double"), "text", "left")
 
 
 def calibrate(scored: DataFrame, bins: int = 4096) -> float:
@@ -189,8 +265,13 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], hold: int = 5, id
     judged = cut.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"), F.concat("host", "path").alias("text"))
     examples = judged.where("said is not null").select("text", (F.col("said") == "allow").cast("int").alias("label"))
     counted = F.pmod(F.crc32("text"), F.lit(hold)) != 0
-    model = fit(examples.where(counted))
-    ratio = _ratio_udf(spark, model)
-    cutoff = calibrate(examples.where(~counted).select(ratio("text").alias("r"), "label"))
-    out = judged.withColumn("ratio", ratio("text"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("said", F.when(F.col("ratio") >= cutoff, "allow").otherwise("block")).alias("verdict"), "ratio")
+    grams, contexts = count(examples.where(counted))
+    sizes = grams.agg(F.count(F.lit(1))).first()[0], contexts.agg(F.count(F.lit(1))).first()[0]
+    if 16 * sizes[0] + 24 * sizes[1] <= MODEL_BYTES:
+        model = _gathered(grams, contexts)
+        scored = lambda rows: _scored_by_tasks(rows, model)
+    else:
+        scored = lambda rows: _scored_by_joins(rows, grams, contexts)
+    cutoff = calibrate(scored(examples.where(~counted)))
+    verdict = F.coalesce("said", F.when(F.col("r") >= cutoff, "allow").otherwise("block"))
+    return scored(judged).select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("r").alias("ratio"))
