@@ -198,6 +198,71 @@ def test_url_models_count_every_gram(spark):
     assert np.allclose(got, want, atol=1e-9)
 
 
+def plain_judgement(urls, rules, hold=5, bins=4096):
+    """Verdicts from plain counts: rules, Witten-Bell models of both classes, the cutoff of least balanced error."""
+
+    def split(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        path = rest[cut:]
+        return "".join(c.lower() if c.isascii() else c for c in rest[:cut]), path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+
+    parts = [split(u) for u in urls]
+    said = []
+    for host, path in parts:
+        fit = [(len(r), v) for v, r in rules for h, p in [r.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
+        said.append(max(fit, default=(0, None))[1])
+    code = lambda t: b"\x01" + "".join("0" if x in "0123456789" else x for x in t).encode() + b"\x02"
+    texts = [h + p for h, p in parts]
+    counts = [{}, {}]
+    for t, v in zip(texts, said):
+        if v and zlib.crc32(t.encode()) % hold:
+            b = code(t)
+            for i in range(1, len(b)):
+                for o in range(min(i, 5) + 1):
+                    x = counts[v == "allow"].setdefault(b[i - o : i], {})
+                    x[b[i]] = x.get(b[i], 0) + 1
+
+    def ratio(t):
+        b, logs = code(t), [0.0, 0.0]
+        for y in (0, 1):
+            for i in range(1, len(b)):
+                p = 1 / 256
+                for o in range(min(i, 5) + 1):
+                    x = counts[y].get(b[i - o : i])
+                    p = (x.get(b[i], 0) + len(x) * p) / (sum(x.values()) + len(x)) if x else p
+                logs[y] += np.log(max(p, 1e-12))
+        return (logs[1] - logs[0]) / (len(b) - 1)
+
+    r = [ratio(t) for t in texts]
+    held = [(x, v == "allow") for x, t, v in zip(r, texts, said) if v and zlib.crc32(t.encode()) % hold == 0]
+    cells = np.clip(np.floor((np.array([x for x, _ in held]) + 4) / 8 * bins), 0, bins - 1)
+    y = np.array([v for _, v in held])
+    error = [(y & (cells < c)).sum() / y.sum() + (~y & (cells >= c)).sum() / (~y).sum() for c in range(bins)]
+    best = np.flatnonzero(np.array(error) <= min(error) + 1e-12)
+    cutoff = best[len(best) // 2] / bins * 8 - 4
+    return [v or ("allow" if x >= cutoff else "block") for v, x in zip(said, r)]
+
+
+@pytest.mark.parametrize("most", [1 << 26, 0])
+def test_url_verdicts_equal_plain_counting(spark, monkeypatch, most):
+    """By models that are sent to all tasks, and by joins for models beyond the bound."""
+    from framelake.llm import url_filter
+    from framelake.llm.queries import RULES
+
+    monkeypatch.setattr(url_filter, "MODEL_BYTES", most)
+    r = random.Random(14)
+    word = lambda y: "".join(r.choice("abcde" if y else "defgh") for _ in range(r.randint(2, 6)))
+    urls = [f"http://{word(k % 2)}.{('x.com/en', 'y.net/de')[k % 2]}/{word(k % 2)}{r.randint(0, 99)}?q={k}" for k in range(240)]
+    urls += [f"https://{word(k % 2)}.info/{word(k % 2)}/{r.randint(0, 9)}" for k in range(60)] + ["", None, "a://", "http://é.info/漢#x", "x" * 10, urls[0], urls[0], "http://a.info/" + "ab" * 50_000]
+    rows = list(enumerate(urls)) + [(5, urls[241]), (None, urls[242])]
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as host", "2 as r", "3 as said", "4 as uid")
+    want = plain_judgement([u for _, u in rows], RULES)
+    got = url_filter.judge_urls(df, RULES).collect()
+    assert sorted((str(x["page_id"]), x["verdict"]) for x in got) == sorted((str(i), v) for (i, _), v in zip(rows, want))
+    assert {"allow", "block"} == {v for (i, u), v in zip(rows, want) if u and ".info" in u}
+
+
 # ---- 3 ------------------------------------------------------------------
 def removed(docs, width):
     seen = {}
@@ -436,6 +501,89 @@ def test_quality(spark):
     assert quality_scores(df, labels.limit(0)).where("score = 0.5").count() == len(rows)
 
 
+def auc(score, y):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(y))
+    rank[order] = np.arange(len(y))
+    n1 = int(np.sum(y))
+    return (rank[np.array(y) == 1].sum() - n1 * (n1 - 1) / 2) / (n1 * (len(y) - n1))
+
+
+def test_quality_training_is_plain_gradient_descent():
+    """The same steps in plain Python, from features counted word by word."""
+    from collections import Counter
+
+    from framelake.llm import quality as q
+
+    r = random.Random(41)
+    texts = [" ".join(r.choice(["one", "two", "three", "four five", "x" * 70]) for _ in range(r.randint(0, 12))) for _ in range(12)]
+    labels = [k % 2 for k in range(12)]
+    model = q.train(texts, labels)
+    rng = np.random.default_rng(11)
+    vectors = ((rng.random((q.CELLS, q.DIM), np.float32) - 0.5) / q.DIM).astype(float)
+    lean = (rng.random(q.DIM, np.float32) - 0.5).astype(float)
+    out, bias, step = [-lean, lean.copy()], [0.0, 0.0], 0
+    for _ in range(3):
+        for k in rng.permutation(12):
+            words = texts[k].split()
+            n = Counter(c for w in words for c in q.word_cells(w))
+            if words:
+                n[q._REPEAT] += sum(a == b for a, b in zip(words, words[1:]))
+            rate, step = 2.0 * (1 - step / 36), step + 1
+            share = {c: v / sum(n.values()) for c, v in n.items()}
+            hidden = sum((v * vectors[c] for c, v in share.items()), np.zeros(q.DIM))
+            z = [float(o @ hidden) + b for o, b in zip(out, bias)]
+            p = [np.exp(x - max(z)) for x in z]
+            p = [x / sum(p) - (y == labels[k]) for y, x in enumerate(p)]
+            back = p[0] * out[0] + p[1] * out[1]
+            for y in (0, 1):
+                out[y] = out[y] - 0.1 * rate * p[y] * hidden
+                bias[y] -= 0.01 * rate * p[y]
+            for c, v in share.items():
+                vectors[c] = vectors[c] - rate * np.sqrt(v) * back
+    seen = sorted({c for t in texts for w in t.split() for c in q.word_cells(w)} | {q._REPEAT})
+    assert np.allclose((vectors @ (out[1] - out[0]))[seen], model["value"][seen], atol=1e-4)
+    assert abs(bias[1] - bias[0] - model["bias"]) < 1e-5
+
+
+def test_quality_ranks_held_out_texts_that_no_single_word_tells_apart():
+    from framelake.llm import quality as q
+
+    r = random.Random(42)
+    stems = ["".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(400)]
+
+    def make(y):
+        """Words of both classes, shared stems; class 1 has more words with one ending, class 0 with another."""
+        return " ".join(r.choice(stems) + (r.choice(["tion", "ness", "", ""]) if r.random() < (0.6 if y else 0.4) else r.choice(["zz", "xq", "", ""])) for _ in range(60))
+
+    data = [(make(k % 2), k % 2) for k in range(900)]
+    model = q.train([t for t, _ in data[:600]], [y for _, y in data[:600]])
+    scorer = q.Scorer(model)
+    got = auc(np.array([scorer.score(t) for t, _ in data[600:]]), [y for _, y in data[600:]])
+    assert got > 0.9
+
+
+def test_quality_of_repeated_ids_clashing_columns_and_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    from framelake.llm.quality import quality_scores
+
+    r = random.Random(43)
+    rows = [(i, " ".join(r.choice(["aa", "bb"] if i % 2 else ["cc", "dd"]) for _ in range(10))) for i in range(100)]
+    rows += [(1, "aa bb"), (1, "cc dd"), (1, "cc dd"), (None, "aa"), (None, None), (200, "aa bb " * 400_000), (201, "ab" * 1_000_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    df = frame(spark, rows).selectExpr("*", "1 as quality", "2 as _y", "3 as _t", "4 as _i", "5 as label")
+    got = quality_scores(df, labels, sample=50, sample_chars=1000)
+    assert got.columns == [*df.columns, "score", "held_out", "predicted"]
+    got = got.collect()
+    assert len(got) == len(rows) and len({x["score"] for x in got if x["text"] == "cc dd"}) == 1
+    assert all(0 <= x["score"] <= 1 for x in got)
+    long = {x["doc_id"]: x["score"] for x in got}[200]
+    assert long > 0.5
+    with pytest.raises(ValueError):
+        quality_scores(df.withColumn("score", F.lit(1)), labels)
+
+
 def test_quality_reads_the_whole_of_long_words():
     from framelake.llm import quality as q
 
