@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -61,8 +62,13 @@ def best_alignments(a, b, n: int, cost=None):
     return out
 
 
-def edit_cost():
-    """A UDF for the cost of aligning two arrays of strings."""
+def edit_cost(a: Column, b: Column) -> Column:
+    """Cost of aligning two strings, each insertion, deletion and change of a character being 1."""
+    return F.levenshtein(a, b)
+
+
+def edit_cost_of_lists():
+    """A UDF for the cost of aligning two arrays of strings, item by item."""
 
     @F.pandas_udf("int")
     def cost(a, b):

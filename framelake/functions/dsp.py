@@ -165,11 +165,14 @@ def spectrum(n: int | None = None):
         import numpy as np
         import pandas as pd
 
-        out = []
-        for s in signals:
-            size = n or 1 << max(0, (len(s) - 1).bit_length())
-            out.append(np.abs(np.fft.rfft(np.asarray(s, float), size)))
-        return pd.Series(out)
+        sizes = signals.map(len)
+        full = sizes.map(lambda k: n or 1 << max(0, (k - 1).bit_length()))
+        out = pd.Series([None] * len(signals), index=signals.index, dtype=object)
+        for k, size in set(zip(sizes, full)):  # signals of one length are one array
+            mine = signals[(sizes == k) & (full == size)]
+            rows = np.abs(np.fft.rfft(np.array(mine.tolist(), float).reshape(len(mine), -1), size, axis=1))
+            out[mine.index] = pd.Series(list(rows), index=mine.index)
+        return out
 
     return magnitude
 
@@ -192,14 +195,16 @@ def cepstra(rate: float, n_fft: int, channels: int = 24, n_ceps: int = 12, low:
         import numpy as np
         import pandas as pd
 
-        out = []
-        for s in signals:
-            x = np.asarray(s, float)
-            x = np.concatenate([[x[0] * (1 - alpha)], x[1:] - alpha * x[:-1]]) if len(x) else x
-            mag = np.abs(np.fft.rfft(x * np.array(hamming(len(x))), n_fft))
-            logs = np.log(np.maximum(bank @ (mag * mag if power else mag), 1e-10))
-            c = (rows @ logs) * lift_w
-            out.append(np.concatenate([c, zero @ logs]) if with_zero else c)
-        return pd.Series(out)
+        sizes = signals.map(len)
+        out = pd.Series([None] * len(signals), index=signals.index, dtype=object)
+        for k in set(sizes):  # signals of one length are one array
+            mine = signals[sizes == k]
+            x = np.array(mine.tolist(), float).reshape(len(mine), -1)
+            x = np.concatenate([x[:, :1] * (1 - alpha), x[:, 1:] - alpha * x[:, :-1]], axis=1)
+            mag = np.abs(np.fft.rfft(x * np.array(hamming(k)), n_fft, axis=1))
+            logs = np.log(np.maximum((mag * mag if power else mag) @ bank.T, 1e-10))
+            c = (logs @ rows.T) * lift_w
+            out[mine.index] = pd.Series(list(np.concatenate([c, logs @ zero.T], axis=1) if with_zero else c), index=mine.index)
+        return out
 
     return ceps

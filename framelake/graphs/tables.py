@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut_lineage
+from ..plans.lineage import cut_lineage, drop_cut
 
 
 def degrees(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
@@ -40,32 +40,75 @@ def arc_ngrams(arcs: DataFrame, n: int) -> DataFrame:
 
 
 def closure(arcs: DataFrame, most: int = 64) -> DataFrame:
-    """(src, dst) reachable by one arc or more; path lengths double each round until nothing is new."""
+    """(src, dst) reachable by one arc or more; path lengths double each round until nothing is new.
+
+    All pairs are the result, so its size is that of the output.
+    """
     reach = cut_lineage(arcs.select("src", "dst").distinct())
     count = reach.count()
     for _ in range(most):
         a, b = reach.select("src", F.col("dst").alias("_k")), reach.select(F.col("src").alias("_k"), "dst")
-        reach = cut_lineage(reach.union(a.join(b, "_k").select("src", "dst")).distinct())
-        now = reach.count()
+        after = cut_lineage(reach.union(a.join(b, "_k").select("src", "dst")).distinct())
+        drop_cut(reach)
+        reach, now = after, after.count()
         if now == count:
             return reach
         count = now
     raise RuntimeError("closure did not settle")
 
 
+def components(arcs: DataFrame, most: int = 100) -> DataFrame:
+    """(id, component): the smallest node that each node with an arc is connected with, whatever the arcs' direction.
+
+    Each round every node points to the smallest node that it or a neighbour
+    points to, and then to what that one points to; rows are those of the arcs.
+    """
+    both = arcs.select("src", "dst").union(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    now = cut_lineage(both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).withColumnRenamed("src", "id"))
+    for _ in range(most):
+        heard = both.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("_m"))
+        # a node's old root hears of the smaller one as well
+        least = now.join(heard, "id").select("id", "component", F.least("component", "_m").alias("_m"))
+        told = least.select("id", "_m").union(least.select(F.col("component").alias("id"), "_m")).groupBy("id").agg(F.min("_m").alias("_m"))
+        jump = told.select(F.col("id").alias("_m"), F.col("_m").alias("component"))
+        after = cut_lineage(told.join(jump, "_m").select("id", "component"))
+        moved = after.join(now, ["id", "component"], "left_anti").limit(1).count()
+        drop_cut(now)
+        now = after
+        if not moved:
+            return now
+    raise RuntimeError("components did not settle")
+
+
+def cyclic_core(arcs: DataFrame, most: int = 10_000) -> DataFrame:
+    """Arcs between different nodes that are left once nodes without arcs in or out have gone, again and again; none without a cycle of two nodes or more."""
+    now = cut_lineage(arcs.where("src <> dst").select("src", "dst").distinct())
+    count = now.count()
+    for _ in range(most):
+        if not count:
+            break
+        after = cut_lineage(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        drop_cut(now)
+        now, left = after, after.count()
+        if left == count:
+            break
+        count = left
+    else:
+        raise RuntimeError("nodes were still leaving")
+    return now
+
+
 def predicates(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """One row of facts: self_loop, multiarcs, cycle, starts, ends, join, connected, tree, lattice."""
     deg = degrees(nodes, arcs)
-    reach = closure(arcs)
     loops = arcs.agg(F.coalesce(F.bool_or(F.col("src") == F.col("dst")), F.lit(False)).alias("self_loop"))
     multi = arcs.groupBy("src", "dst").count().agg(F.coalesce(F.max("count") > 1, F.lit(False)).alias("multiarcs"))
-    cycle = reach.agg(F.coalesce(F.bool_or(F.col("src") == F.col("dst")), F.lit(False)).alias("cycle"))
-    mutual = reach.where("src <> dst").alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).agg((F.count(F.lit(1)) > 0).alias("wide_cycle"))
+    wide = cyclic_core(arcs).agg((F.count(F.lit(1)) > 0).alias("wide_cycle"))
     ends = deg.agg(F.count_if(F.col("n_in") == 0).alias("starts"), F.count_if(F.col("n_out") == 0).alias("ends"), F.coalesce(F.bool_or(F.col("n_in") > 1), F.lit(False)).alias("join"), F.count(F.lit(1)).alias("nodes"))
-    both = arcs.select("src", "dst").union(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    parts = closure(both).where("dst < src").select("src").distinct().agg(F.count(F.lit(1)).alias("followers"))
-    one = loops.crossJoin(multi).crossJoin(cycle).crossJoin(mutual).crossJoin(ends).crossJoin(parts)  # single rows
-    return one.select("self_loop", "multiarcs", "cycle", "starts", "ends", F.col("join").alias("has_join"), (F.col("nodes") - F.col("followers") <= 1).alias("connected"), ((F.col("starts") == 1) & ~F.col("join") & ~F.col("cycle")).alias("tree"), (~F.col("wide_cycle") & (F.col("starts") == 1) & (F.col("ends") == 1)).alias("lattice"))
+    parts = components(arcs).agg(F.count_if(F.col("id") != F.col("component")).alias("followers"))
+    one = loops.crossJoin(multi).crossJoin(wide).crossJoin(ends).crossJoin(parts)  # single rows
+    cycle = F.col("self_loop") | F.col("wide_cycle")
+    return one.select("self_loop", "multiarcs", cycle.alias("cycle"), "starts", "ends", F.col("join").alias("has_join"), (F.col("nodes") - F.col("followers") <= 1).alias("connected"), ((F.col("starts") == 1) & ~F.col("join") & ~cycle).alias("tree"), (~F.col("wide_cycle") & (F.col("starts") == 1) & (F.col("ends") == 1)).alias("lattice"))
 
 
 def topological_depth(arcs: DataFrame, most: int = 1000) -> DataFrame:

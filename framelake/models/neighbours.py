@@ -7,46 +7,75 @@ from pyspark.sql import functions as F
 
 from ..functions.dsp import distance_sq, doubles
 
-BLOCK = 2048
+#: Bytes of queries that are sent to all tasks at once, and queries compared with a batch of points at once.
+SLICE_BYTES, AT_ONCE = 1 << 25, 512
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, id_col: str, x: str, label: str, leave_self: bool = False) -> DataFrame:
     """The k nearest points of each query: query, rank, id, distance squared, label; ties to the smaller id.
 
-    Both sides go in blocks; a pair of blocks keeps k a query, and the blocks' lists are merged.
+    Points stay where they are read; queries go to them in slices of bounded
+    size.  A task keeps k points a query, and the tasks' lists are merged.
     """
-    n_q, n_p = max(1, -(-queries.count() // BLOCK)), max(1, -(-points.count() // BLOCK))
-    q = queries.select(F.col(id_col).alias("query"), F.col(x).alias("qx")).withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(n_q)).cast("int"))
-    p = points.select(F.col(id_col).alias("id"), F.col(x).alias("px"), F.col(label).alias("label")).withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(n_p)).cast("int"))
-    q = q.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))))
-    p = p.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    kinds = dict(p.dtypes)
-
-    def block(key, a, b):
-        import numpy as np
-        import pandas as pd
-
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "id": [], "d": [], "label": []})
-        u, v = np.array(a["qx"].tolist(), float), np.array(b["px"].tolist(), float)
-        d = np.maximum((u * u).sum(1)[:, None] + (v * v).sum(1) - 2 * u @ v.T, 0)
-        ids, labels, out = b["id"].to_numpy(), b["label"].to_numpy(), []
-        near = np.argpartition(d, min(k + 8, len(b)) - 1, axis=1)[:, : k + 8] if len(b) > k + 8 else np.broadcast_to(np.arange(len(b)), d.shape)
-        for i, name in enumerate(a["query"]):
-            cut = d[i, near[i]].max() if len(b) > k + 8 else np.inf
-            some = np.flatnonzero(d[i] <= cut + 1e-9) if len(b) > k + 8 else near[i]
-            if leave_self:
-                some = some[ids[some] != name]
-            exact = np.array([((u[i] - v[j]) ** 2).sum() for j in some])
-            for j in np.lexsort((ids[some], np.round(exact, 9)))[:k]:
-                out.append((name, ids[some[j]], exact[j], labels[some[j]]))
-        return pd.DataFrame(out, columns=["query", "id", "d", "label"])
-
-    found = q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(block, f"query {dict(q.dtypes)['query']}, id {kinds['id']}, d double, label {kinds['label']}")
+    kinds = {**dict(points.dtypes), "query": dict(queries.dtypes)[id_col]}
+    asks = queries.select(F.col(id_col).alias("query"), F.col(x).cast("array<double>").alias("qx"))
+    held = points.select(F.col(id_col).alias("id"), F.col(x).cast("array<double>").alias("px"), F.col(label).alias("label"))
+    size = asks.agg(F.sum(8 * F.size("qx"))).first()[0] or 0
+    slices = max(1, -(-size // SLICE_BYTES))
+    found = None
+    for s in range(slices):
+        mine = asks.where(F.pmod(F.xxhash64("query", "qx"), F.lit(slices)) == s) if slices > 1 else asks
+        some = _nearest_of(mine.toArrow(), held, k, kinds, id_col, label, leave_self)
+        found = some if found is None else found.unionByName(some)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.round("d", 9), "id")))
     return ranked.where(F.col("rank") <= k).select("query", "rank", "id", "d", "label")
 
 
+def _nearest_of(table, points: DataFrame, k: int, kinds: dict, id_col: str, label: str, leave_self: bool) -> DataFrame:
+    """The k nearest of each task for the queries of one slice."""
+    import numpy as np
+
+    names = table.column("query").to_numpy()
+    vectors = np.array(table.column("qx").to_pylist(), float).reshape(len(names), -1)
+    shared = points.sparkSession.sparkContext.broadcast((names, vectors))  # at most about SLICE_BYTES
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        asked, u = shared.value
+        best = None  # (query's place, rounded distance, id, distance, label) of the k nearest so far
+
+        def kept(parts):
+            q, r, i, d, y = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((i, r, q))
+            q, r, i, d, y = (c[order] for c in (q, r, i, d, y))
+            few = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return tuple(c[few] for c in (q, r, i, d, y))
+
+        for batch in batches:
+            if not batch.num_rows or not len(asked):
+                continue
+            ids, labels = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for lo in range(0, len(asked), AT_ONCE):
+                w = u[lo : lo + AT_ONCE]
+                d = np.maximum((w * w).sum(1)[:, None] + (v * v).sum(1) - 2 * w @ v.T, 0)
+                if leave_self:
+                    d[asked[lo : lo + AT_ONCE][:, None] == ids[None, :]] = np.inf
+                least = min(k, len(ids)) - 1
+                cut = np.partition(d, least, axis=1)[:, least]
+                q, j = np.nonzero((d <= cut[:, None] + 1e-9 * (1 + cut[:, None])) & np.isfinite(d))
+                exact = ((w[q] - v[j]) ** 2).sum(axis=1)
+                new = (q + lo, np.round(exact, 9), ids[j], exact, labels[j])
+                best = kept([new] if best is None else [best, new])
+        if best is not None:
+            q, _, i, d, y = best
+            yield pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(i), pa.array(d), pa.array(y)], names=["query", "id", "d", "label"])
+
+    return points.select("id", "px", "label").mapInArrow(work, f"query {kinds['query']}, id {kinds[id_col]}, d double, label {kinds[label]}")
+
+
 def vote_shares(neighbours: DataFrame, sizes: list[int], labels: list) -> DataFrame:
     """For each query, size n and class: votes among the first n and their share."""
     rows = neighbours.withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where("rank <= n")

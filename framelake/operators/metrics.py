@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
+
 
 def confusion(df: DataFrame, ref: str, hyp: str, part: list[str] = ()) -> DataFrame:
     """Counts of (ref, hyp)."""
@@ -36,15 +38,25 @@ def det_points(df: DataFrame, ref: Column, value: str, part: list[str] = ()) ->
 
     At t: fp is the share of negatives above t, miss that of positives not above t.
     Of adjacent rows with equal fp the first stays, then of those with equal miss the last.
-    Values are counted before any ordering, so the ordered part has one row a distinct value.
+    Values are counted before any ordering and dealt by ranges; running sums are taken
+    within a range, and those of the ranges before it (one row a range) are added.
     """
     by = df.groupBy(*part, F.col(value).alias("threshold")).agg(F.count_if(ref).alias("_p"), F.count_if(~ref).alias("_n"))
-    whole = Window.partitionBy(*part)
-    above = whole.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, -1)
-    rate = by.select(*part, "threshold", (100.0 * F.coalesce(F.sum("_n").over(above), F.lit(0)) / F.sum("_n").over(whole)).alias("fp"), (100.0 * (1 - F.coalesce(F.sum("_p").over(above), F.lit(0)) / F.sum("_p").over(whole))).alias("miss"))
-    down = whole.orderBy(F.desc("threshold"))
-    first = rate.withColumn("_k", ~F.col("fp").eqNullSafe(F.lag("fp").over(down))).where("_k").drop("_k")
-    return first.withColumn("_k", ~F.col("miss").eqNullSafe(F.lead("miss").over(down))).where("_k").drop("_k")
+    dealt = cut_lineage(by.repartitionByRange(*part, F.desc("threshold")).withColumn("_range", F.spark_partition_id()))
+    key, inside = [*part, "_range"], Window.partitionBy(*part, "_range").orderBy(F.desc("threshold"))
+    ranges = Window.partitionBy(*part).orderBy("_range")
+    before, whole = ranges.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*part)
+    sums = dealt.groupBy(*key).agg(F.sum("_p").alias("_sp"), F.sum("_n").alias("_sn"), F.min_by("_n", "threshold").alias("_end"))
+    sums = sums.select(*key, F.sum("_sp").over(whole).alias("_all_p"), F.sum("_sn").over(whole).alias("_all_n"), F.coalesce(F.sum("_sp").over(before), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_bn"), F.lag("_end").over(ranges).alias("_prev"))
+    above = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.join(sums, key)
+    rows = rows.withColumns({"_p": F.col("_bp") + F.coalesce(F.sum("_p").over(above), F.lit(0)), "_up": F.coalesce(F.lag("_n").over(inside), F.col("_prev")), "_n": F.col("_bn") + F.coalesce(F.sum("_n").over(above), F.lit(0))})
+    rows = rows.where("_up is null or _up > 0")  # fp is not that of the row above
+    heads = rows.groupBy(*key).agg(F.max_by("_p", "threshold").alias("_head"))
+    heads = heads.select(*key, F.lead("_head").over(ranges).alias("_after"))
+    rows = rows.join(heads, key).withColumn("_down", F.coalesce(F.lead("_p").over(inside), F.col("_after")))
+    kept = rows.where("_down is null or _down <> _p")
+    return kept.select(*part, "threshold", (100.0 * F.col("_n") / F.col("_all_n")).alias("fp"), (100.0 * (1 - F.col("_p") / F.col("_all_p"))).alias("miss"))
 
 
 def roc_points(df: DataFrame, ref: Column, value: str, part: list[str] = ()) -> DataFrame:

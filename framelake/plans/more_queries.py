@@ -91,7 +91,7 @@ def g8_random_arcs(spark, d):
 
 @query()
 def m19_discriminant(spark, d):
-    f = frames(spark, d).select("label", F.slice("x", 1, 6).alias("x"))
+    f = frames(spark, d).select("label", "x")
     a = toolbox.discriminant_transform(f, "label", "x", 2, 3)
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(a)], "i int, row array<double>")
 

@@ -59,24 +59,24 @@ def a7_run_merge(spark, d):
     return segments.merge_runs(segs(spark, d), ["user_id"], ["event_id"], "label", "start", "stop").withColumn("run", F.col("run").cast("long"))
 
 
-@query(f"""WITH RECURSIVE {SEGS}, s AS (SELECT user_id, label, greatest(1, trunc(start / 25.0))::INTEGER AS a0, greatest(1, trunc(stop / 25.0) - 1)::INTEGER AS b0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM seg WHERE user_id % 10 = 0),
+@query(f"""WITH RECURSIVE {SEGS}, s AS (SELECT user_id, label, greatest(1, trunc(start / 25.0))::INTEGER AS a0, greatest(1, trunc(stop / 25.0) - 1)::INTEGER AS b0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM seg),
 f AS (SELECT user_id, k, label, greatest(a0, 1) AS a, greatest(b0, greatest(a0, 1)) AS b FROM s WHERE k = 1
 UNION ALL SELECT s.user_id, s.k, s.label, greatest(s.a0, f.b + 1), greatest(s.b0, greatest(s.a0, f.b + 1)) FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1),
 last AS (SELECT user_id, label, b + 1 AS frame FROM f WHERE (user_id, k) IN (SELECT user_id, max(k) FROM f GROUP BY user_id)),
 fr AS (SELECT user_id, label, unnest(range(a, b + 1)) AS frame FROM f UNION ALL SELECT user_id, label, frame FROM last)
 SELECT user_id, frame::INTEGER AS frame, label, row_number() OVER (PARTITION BY user_id ORDER BY frame)::INTEGER AS pos FROM fr""")
 def c1_timestamps_to_frames(spark, d):
-    s = segs(spark, d).where("user_id % 10 = 0")
+    s = segs(spark, d)
     return segments.segments_to_frames(s, ["user_id"], ["event_id"], "start", "stop", "label", 25.0).select("user_id", "frame", "label", "pos")
 
 
-@query(f"""WITH {SEGS}, len AS (SELECT user_id, 200 AS len FROM events GROUP BY user_id), sp AS (SELECT user_id, unnest(range(1, len + 1)) AS frame FROM len),
-v AS (SELECT user_id, least(200, greatest(1, floor((start - 15.0) / 10.0 + 0.5))) AS a, least(200, greatest(1, floor((start + 5.0 - 15.0) / 10.0 + 0.5))) AS b FROM seg WHERE label = 'view')
+@query(f"""WITH {SEGS}, len AS (SELECT user_id, (max(event_id) // 100 + 2)::INTEGER AS len FROM events GROUP BY user_id), sp AS (SELECT user_id, unnest(range(1, len + 1)) AS frame FROM len),
+v AS (SELECT user_id, least(len, greatest(1, floor((start - 1500.0) / 1000.0 + 0.5))) AS a, least(len, greatest(1, floor((start + 500.0 - 1500.0) / 1000.0 + 0.5))) AS b FROM seg JOIN len USING (user_id) WHERE label = 'view')
 SELECT sp.user_id, sp.frame::INTEGER AS frame, max(CASE WHEN v.a IS NULL THEN 0 ELSE 1 END)::INTEGER AS speech FROM sp LEFT JOIN v ON v.user_id = sp.user_id AND sp.frame BETWEEN v.a AND greatest(v.a, v.b) GROUP BY 1, 2""")
 def c3_times_to_indicator(spark, d):
-    s = segs(spark, d).where("label = 'view'").withColumn("stop", F.col("start") + 5.0)
-    lengths = events(spark, d).select("user_id").distinct().withColumn("len", F.lit(200))
-    return segments.timestamps_to_indicator(s, ["user_id"], "start", "stop", lengths, "len", 10.0, 25.0)
+    s = segs(spark, d).where("label = 'view'").withColumn("stop", F.col("start") + 500.0)
+    lengths = events(spark, d).groupBy("user_id").agg((F.floor(F.max("event_id") / 100) + 2).cast("int").alias("len"))
+    return segments.timestamps_to_indicator(s, ["user_id"], "start", "stop", lengths, "len", 1000.0, 2500.0)
 
 
 _SPEECH = f"""{POS}, i AS (SELECT user_id, pos + 1 AS frame, n, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS speech FROM pos),
@@ -100,9 +100,9 @@ def c5_frames_to_segments(spark, d):
     return out.select("user_id", F.col("run").cast("long").alias("run"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "speech")
 
 
-@query(f"""WITH {SEGS} SELECT user_id, coalesce(string_agg(repeat(left(label, 1) || ' ', least(5, trunc((stop - start) / 200.0))::INTEGER), '' ORDER BY event_id), '') AS symbols FROM seg GROUP BY user_id""".replace("coalesce(string_agg", "rtrim(coalesce(string_agg").replace("ORDER BY event_id), '')", "ORDER BY event_id), ''))"))
+@query(f"""WITH {SEGS} SELECT user_id, coalesce(string_agg(repeat(left(label, 1) || ' ', trunc((stop - start) / 200.0)::INTEGER), '' ORDER BY event_id), '') AS symbols FROM seg GROUP BY user_id""".replace("coalesce(string_agg", "rtrim(coalesce(string_agg").replace("ORDER BY event_id), '')", "ORDER BY event_id), ''))"))
 def c6_symbol_sequence(spark, d):
-    return segments.symbol_sequence(segs(spark, d), ["user_id"], ["event_id"], F.least(F.col("stop") - F.col("start"), F.lit(1000.0)), F.substring("label", 1, 1), 200.0)
+    return segments.symbol_sequence(segs(spark, d), ["user_id"], ["event_id"], F.col("stop") - F.col("start"), F.substring("label", 1, 1), 200.0)
 
 
 @query(f"""WITH {FRAMES}, s AS (SELECT vec_id // 50 AS utt, label, vec_id, (vec_id % 50) * 0.01::DOUBLE AS a, ((vec_id % 50) + 3) * 0.01::DOUBLE AS b FROM embeddings WHERE vec_id % 10 = 0)
@@ -338,11 +338,12 @@ def w9_signal_events(spark, d):
     return framing.signal_events(events(spark, d), ["user_id"], "event_id", "value", 1.5).select("user_id", "event_id", "peak", "valley", "up", "down")
 
 
-@query(f"""WITH {FRAMES}, v AS (SELECT utt, frame, x[1] AS x, first_value(x[1]) OVER w AS f, last_value(x[1]) OVER (PARTITION BY utt ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
-lag(x[1]) OVER w AS b1, lag(x[1], 2) OVER w AS b2, lead(x[1]) OVER w AS a1, lead(x[1], 2) OVER w AS a2 FROM frames WINDOW w AS (PARTITION BY utt ORDER BY frame))
-SELECT utt, frame, round((coalesce(a1, l) - coalesce(b1, f) + 2 * (coalesce(a2, l) - coalesce(b2, f))) / 10, 6) + 0.0 AS delta FROM v""")
+@query(f"""WITH {FRAMES}, e AS (SELECT utt, frame, unnest(range(64))::INTEGER AS i, unnest(x) AS x FROM frames), v AS (SELECT utt, frame, i, first_value(x) OVER w AS f, last_value(x) OVER (PARTITION BY utt, i ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
+lag(x) OVER w AS b1, lag(x, 2) OVER w AS b2, lead(x) OVER w AS a1, lead(x, 2) OVER w AS a2 FROM e WINDOW w AS (PARTITION BY utt, i ORDER BY frame))
+SELECT utt, frame, i, round((coalesce(a1, l) - coalesce(b1, f) + 2 * (coalesce(a2, l) - coalesce(b2, f))) / 10, 6) + 0.0 AS delta FROM v""")
 def w10_delta(spark, d):
-    return framing.delta(frames(spark, d), ["utt"], "frame", "x", 2).select("utt", "frame", (F.round(F.col("delta")[0], 6) + 0.0).alias("delta"))
+    out = framing.delta(frames(spark, d), ["utt"], "frame", "x", 2)
+    return out.select("utt", "frame", F.posexplode("delta").alias("i", "delta")).withColumn("delta", F.round("delta", 6) + 0.0)
 
 
 @query("SELECT event_id, value - 2 * lag(value) OVER w + lag(value, 2) OVER w AS difference FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)".replace("value - 2", "round(value - 2").replace("w AS difference", "w, 4) + 0.0 AS difference", 1))
@@ -361,24 +362,33 @@ def w16_sampling_window(spark, d):
     return framing.sampling_windows(events(spark, d), ["user_id"], "event_id", "value", 40, 100).withColumn("sum", F.round("sum", 4))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POS}, y AS (SELECT user_id, pos, event_id, value::DOUBLE AS y FROM pos WHERE pos = 0 UNION ALL SELECT p.user_id, p.pos, p.event_id, 0.9::DOUBLE * y.y + (1 - 0.9::DOUBLE) * p.value FROM y JOIN pos p ON p.user_id = y.user_id AND p.pos = y.pos + 1)
+SELECT user_id, event_id, round(y, 6) AS smooth FROM y WHERE pos > 0""")
 def w7_one_pole(spark, d):
-    return framing.one_pole(events(spark, d), ["user_id"], "event_id", "value", 0.9)
+    return framing.one_pole(events(spark, d), ["user_id"], "event_id", "value", 0.9).withColumn("smooth", F.round("smooth", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POS}, y AS (SELECT user_id, pos, event_id, value::DOUBLE AS x1, 0.0::DOUBLE AS x2, value::DOUBLE AS y1, 0.0::DOUBLE AS y2 FROM pos WHERE pos = 0
+UNION ALL SELECT p.user_id, p.pos, p.event_id, p.value, x1, p.value + 0.5::DOUBLE * x1 + 0.25::DOUBLE * x2 + 0.5::DOUBLE * y1 - 0.1::DOUBLE * y2, y1 FROM y JOIN pos p ON p.user_id = y.user_id AND p.pos = y.pos + 1)
+SELECT user_id, event_id, round(y1 * 0.7310585786300049::DOUBLE, 5) AS y FROM y""")
 def w13_second_order(spark, d):
-    return framing.second_order(events(spark, d), ["user_id"], "event_id", "value", (1.0, 0.5, 0.25), (-0.5, 0.1))
+    out = framing.second_order(events(spark, d), ["user_id"], "event_id", "value", (1.0, 0.5, 0.25), (-0.5, 0.1))
+    return out.select("user_id", "event_id", F.round(F.col("y") * 0.7310585786300049, 5).alias("y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POS}, y AS (SELECT user_id, pos, event_id, value::DOUBLE AS u, value::DOUBLE AS v FROM pos WHERE pos = 0
+UNION ALL SELECT user_id, pos, event_id, u, v + (CASE WHEN u > v THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END) * (u - v) FROM (SELECT p.user_id, p.pos, p.event_id, u + (CASE WHEN p.value > u THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END) * (p.value - u) AS u, v FROM y JOIN pos p ON p.user_id = y.user_id AND p.pos = y.pos + 1))
+SELECT user_id, event_id, round(v, 6) AS y FROM y""")
 def w13_two_pole(spark, d):
-    return framing.two_pole_tracker(events(spark, d), ["user_id"], "event_id", "value", 0.5, 0.1)
+    return framing.two_pole_tracker(events(spark, d), ["user_id"], "event_id", "value", 0.5, 0.1).withColumn("y", F.round("y", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {POS}, y AS (SELECT user_id, pos, event_id, CASE WHEN value < value + 0.1 THEN value END::DOUBLE AS low, value::DOUBLE - 0.1::DOUBLE AS high, true AS over FROM pos WHERE pos = 0
+UNION ALL SELECT user_id, pos, event_id, CASE WHEN x < low THEN x ELSE low END, CASE WHEN x > high AND over THEN x ELSE high END, x > high FROM (SELECT p.user_id, p.pos, p.event_id, p.value::DOUBLE AS x, low + 0.1::DOUBLE AS low, high - 0.1::DOUBLE AS high, over FROM y JOIN pos p ON p.user_id = y.user_id AND p.pos = y.pos + 1))
+SELECT user_id, event_id, round(low, 6) AS low, round(high, 6) AS high FROM y""")
 def w14_range_tracker(spark, d):
-    return framing.range_tracker(events(spark, d), ["user_id"], "event_id", "value", 0.1, -0.1)
+    out = framing.range_tracker(events(spark, d), ["user_id"], "event_id", "value", 0.1, -0.1)
+    return out.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
 @query()
@@ -415,13 +425,13 @@ def a6_simple_stats(spark, d):
     return s.select("event_type", "count", F.round("min", 4).alias("min"), F.round("max", 4).alias("max"), F.round("sum", 2).alias("sum"), F.round("sumsq", 1).alias("sumsq"))
 
 
-_DET = """b AS (SELECT floor(value) AS t, count(*) FILTER (event_type IN ('view', 'click')) AS p, count(*) FILTER (event_type NOT IN ('view', 'click')) AS n FROM events GROUP BY 1),
+_DET = """b AS (SELECT value AS t, count(*) FILTER (event_type IN ('view', 'click')) AS p, count(*) FILTER (event_type NOT IN ('view', 'click')) AS n FROM events GROUP BY 1),
 r AS (SELECT t, 100.0 * coalesce(sum(n) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(n) OVER ())::DOUBLE AS fp, 100.0 * (1 - coalesce(sum(p) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE / (sum(p) OVER ())::DOUBLE) AS miss FROM b),
 f AS (SELECT * FROM (SELECT *, lag(fp) OVER (ORDER BY t DESC) AS q FROM r) WHERE q IS NULL OR q <> fp), l AS (SELECT * FROM (SELECT *, lead(miss) OVER (ORDER BY t DESC) AS z FROM f) WHERE z IS NULL OR z <> miss)"""
 
 
 def scored(spark, d):
-    return events(spark, d).select(F.floor("value").cast("double").alias("v"), F.col("event_type").isin("view", "click").alias("ref"))
+    return events(spark, d).select(F.col("value").cast("double").alias("v"), F.col("event_type").isin("view", "click").alias("ref"))
 
 
 @query(f"WITH {_DET} SELECT t::DOUBLE AS threshold, round(fp, 6) AS fp, round(miss, 6) AS miss FROM l")
@@ -508,9 +518,10 @@ def a10_variance_floor(spark, d):
     return metrics.variance_floor(frames(spark, d), F.col("x"), 0.01, 0.0001).select("dim", F.round("floor", 6).alias("floor"))
 
 
-@query()
+@query(f"""WITH {POS}, b AS (SELECT user_id, value, length(bin(xor(pos, n))) - 1 AS bit FROM pos) SELECT user_id, bit::INTEGER AS bit, count(*) AS n, round(sum(value), 4) AS sum, round(sum(value * value), 3) AS sumsq FROM b GROUP BY 1, 2""")
 def a11_log_spaced(spark, d):
-    return metrics.log_spaced_sums(events(spark, d), ["user_id"], "event_id", "value")
+    out = metrics.log_spaced_sums(events(spark, d), ["user_id"], "event_id", "value")
+    return out.withColumns({"sum": F.round("sum", 4), "sumsq": F.round("sumsq", 3)})
 
 
 from . import model_queries, more_queries  # noqa: E402,F401  they register more
