@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
 
     tables = _tables(reps, m, r)
     low = tables.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key", "low")
-    members = keep(tables.join(low, "key"))
+    members = store(tables.join(low, "key"), "buckets")  # whose shuffles can go, as nothing is worked out from them again
     pairs = store(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct(), "pairs")
     links = store(_confirm(pairs, named(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent), "links")
 
