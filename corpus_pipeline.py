@@ -2,7 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; all but the last return the columns of ``documents``, with ``n_chars``
-the length of the text as it then is.
+the length of the text as it then is.  Other columns are left out at each stage,
+whatever their names.
+
+Defined cases, for every stage: an empty table gives an empty one; rows without
+an id are kept by the first four stages as they are by their operators (scored,
+lines looked up, never a near-duplicate to go, no passages cut) and packed first;
+null texts are scored as empty, keep one empty line, belong to no group and hold
+the end id only; rows that share an id are judged row by row in ``quality``,
+``passages`` and ``packing``, are one document in ``lines``, and go or stay
+together in ``near_duplicates``; texts of any length are read whole.
 """
 
 from __future__ import annotations

@@ -11,6 +11,12 @@ padding, any other is padded to ``size``.  With positions p and cheapest cost f,
 
 The first minimum is that of f[i] + p[i] over a sliding window, kept in a
 monotone queue, so each cut enters and leaves once.
+
+Defined cases: null and empty texts hold only the end id; null ids come first;
+rows with equal ids, repeated ones too, are documents of their own, in the order
+of their texts' hashes; an empty table gives no pieces; a text of any length is
+a run of its own if it is longer than one; columns other than the id and the
+text are not read, whatever their names.
 """
 
 from __future__ import annotations

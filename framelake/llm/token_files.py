@@ -5,11 +5,18 @@ pack 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2 or 1 values of 1, 2, 3, 4, 5, 6
 7, 8, 10, 12, 15, 20, 30 or 60 bits; selector 1 is a run of 120 zeros; selector
 0 is an escape, and the word after it holds one raw 64-bit value.  A block
 restarts the packing every ``MINI`` ids and stores the word offset of each
-restart, so blocks decode with whole-array operations and from any restart.
+restart, so blocks decode with whole-array operations and a stretch of ids is
+read from the restart before it to the one behind it (``read_ids``).
 
 Block payload, little-endian: ``S8B1``, then u32 documents, u32 restarts, u64
 ids, u64 words, then i64 doc_id, u8 doc_id present, u64 count of each document,
 u32 word offset of each restart, and the words.
+
+Defined cases: null and empty texts hold only the end id; null ids come first;
+rows with equal ids, repeated ones too, each have their ids, in the order of
+their texts' hashes; an empty table gives an empty file; a text of any length is
+encoded whole and is a block of its own if it is longer than one; columns other
+than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,15 +108,11 @@ def unpack(words):
     import numpy as np
 
     sel = (words >> np.uint64(60)).astype(np.int8)
-    if (sel == 0).any():  # a raw word follows an escape; find the true heads
-        raw, i, heads = np.zeros(len(words), bool), 0, sel.tolist()
-        while i < len(heads):
-            if heads[i] == 0:
-                raw[i + 1] = True
-                i += 1
-            i += 1
-        sel = sel.copy()
-        sel[raw] = -1
+    zero = sel == 0
+    if zero.any():  # a raw word follows an escape: of a stretch of such selectors every second one, or the word behind it, is raw
+        place = np.arange(len(words))
+        before = np.concatenate([[-1], np.maximum.accumulate(np.where(zero, -1, place))[:-1]])
+        sel = np.where((place - 1 - before) % 2 == 1, np.int8(-1), sel)
     counts = np.zeros(len(words), np.int64)
     for s, (count, _) in PACKS.items():
         counts[sel == s] = count
@@ -137,24 +140,43 @@ def write_block(doc_ids: list, counts: list, ids) -> bytes:
     return b"".join([head, docs.tobytes(), known.tobytes(), np.array(counts, "<u8").tobytes(), marks.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
 
 
-def read_block(blob: bytes) -> tuple:
-    """(doc ids, counts, ids) of a block."""
+def _parts(blob: bytes) -> tuple:
+    """(doc ids, presence, counts, restarts, words, number of ids) of a block."""
     import numpy as np
 
     if blob[:4] != b"S8B1":
         raise ValueError("not a token block")
     n_docs, n_marks, n_ids, n_words = struct.unpack_from("<IIQQ", blob, 4)
-    at = 28
-    docs = np.frombuffer(blob, "<i8", n_docs, at)
-    known = np.frombuffer(blob, "u1", n_docs, at + 8 * n_docs)
-    counts = np.frombuffer(blob, "<u8", n_docs, at + 9 * n_docs)
-    at += 17 * n_docs + 4 * n_marks
-    ids = unpack(np.frombuffer(blob, "<u8", n_words, at))
+    at, out = 28, []
+    for kind, n in (("<i8", n_docs), ("u1", n_docs), ("<u8", n_docs), ("<u4", n_marks), ("<u8", n_words)):
+        out.append(np.frombuffer(blob, kind, n, at))
+        at += out[-1].nbytes
+    return *out, n_ids
+
+
+def read_block(blob: bytes) -> tuple:
+    """(doc ids, counts, ids) of a block."""
+    import numpy as np
+
+    docs, known, counts, _, words, n_ids = _parts(blob)
+    ids = unpack(words)
     if len(ids) != n_ids:
         raise ValueError("a token block is damaged")
     return [int(d) if k else None for d, k in zip(docs, known)], counts.astype(np.int64), ids
 
 
+def read_ids(blob: bytes, start: int, stop: int):
+    """Ids ``start`` to ``stop`` of a block, decoded between the restarts around them."""
+    _, _, _, marks, words, n_ids = _parts(blob)
+    if not 0 <= start <= stop <= n_ids:
+        raise ValueError("no such ids")
+    if start == stop:
+        return unpack(words[:0])
+    first, last = start // MINI, -(-stop // MINI)
+    ids = unpack(words[marks[first] : marks[last] if last < len(marks) else None])
+    return ids[start - first * MINI : stop - first * MINI]
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Blocks of the token file, in ascending document order.
 
