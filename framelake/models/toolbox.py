@@ -32,9 +32,18 @@ def _sums(df: DataFrame, columns: list[str], part) -> "object":
 
 
 def class_scatter(df: DataFrame, label: str, x: str) -> dict:
-    """label -> (n, mean, population covariance), one aggregation a class."""
-    names = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-    return {k: (df.where(F.col(label) == k).count(), *covariance(df.where(F.col(label) == k), x)) for k in names}
+    """label (as a string) -> (n, mean, population covariance), from one pass of all classes."""
+    import numpy as np
+
+    from .gaussian import summed_parts
+
+    sums = summed_parts(df, F.col(label), [x], lambda _, m: np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()]))
+    out = {}
+    for k, v in sums.items():
+        d = int(round((-1 + (1 + 4 * (len(v) - 1)) ** 0.5) / 2))
+        mean = v[1 : 1 + d] / v[0]
+        out[k] = (int(v[0]), mean, v[1 + d :].reshape(d, d) / v[0] - np.outer(mean, mean))
+    return out
 
 
 def discriminant_transform(df: DataFrame, label: str, x: str, nuisance: int, iterations: int = 10):

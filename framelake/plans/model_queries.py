@@ -176,12 +176,48 @@ def m3_class_distances(spark, d):
     return r.select(*(F.round(c, 4).alias(c) for c in r.columns))
 
 
+@query(f"WITH {_LL} SELECT vec_id, c AS model, ll AS score FROM s")
+def m25_frame_scores(spark, d):
+    f = frames(spark, d)
+    return gaussian.frame_scores(f, gaussian.class_gaussians(f, "label", F.col("x")), "label", "x", ["vec_id"])
+
+
+@query(f"""WITH {_LL}, b AS (SELECT utt, (vec_id % 50 + 1)::INTEGER AS frame, (c = 1)::INTEGER AS decision FROM best),
+w AS (SELECT utt, frame, decision, list(decision) OVER (PARTITION BY utt ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS l FROM b)
+SELECT utt, frame, decision, list_sort(list_concat(l, list_transform(range(5 - len(l)), lambda k: 0)))[3] AS smoothed FROM w""")
+def m11_speech_decision(spark, d):
+    return gaussian.speech_decision(classified(spark, d), ["utt"], "frame", "hyp", 1, 5)
+
+
+def _noisy(k):
+    mom = f"u{k} AS (SELECT CASE WHEN vec_id % 10 < {k} THEN (label + 1) % 10 ELSE label END AS label, unnest(range(64)) AS dim, unnest(x) AS v FROM frames), m{k} AS (SELECT label, dim, avg(v) AS mean, greatest(var_pop(v), 1e-6) AS var FROM u{k} GROUP BY 1, 2)"
+    ll = f"g{k} AS (SELECT label AS c, list(mean ORDER BY dim) AS mean, list(var ORDER BY dim) AS var FROM m{k} GROUP BY 1), s{k} AS (SELECT f.vec_id, f.label, g.c, round(-0.5 * (list_sum(list_transform(list_zip(f.x, g.mean, g.var), lambda z: (z[1] - z[2]) * (z[1] - z[2]) / z[3] + ln(z[3]))) + 64 * ln(2 * pi())), 6) AS ll FROM frames f, g{k} g)"
+    return f"{mom}, {ll}, b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY ll DESC, c) AS k FROM s{k}) WHERE k = 1)"
+
+
+@query(f"WITH {FRAMES}, {', '.join(map(_noisy, (0, 2, 4)))} " + " UNION ALL ".join(f'SELECT {k} AS tenths, count(*) FILTER (label = c) AS "right", count(*) AS n, count(*) FILTER (label = c) / count(*)::DOUBLE AS accuracy FROM b{k}' for k in (0, 2, 4)))
+def m34_noise_sweep(spark, d):
+    return gaussian.noise_sweep(frames(spark, d), "label", "x", "vec_id", 10, [0, 2, 4])
+
+
 _TWO = gaussian.Mixture([0.5, 0.5], [[0.1] * 64, [-0.1] * 64], [[0.02] * 64, [0.03] * 64])
 _POST = f"""{FRAMES}, q AS (SELECT vec_id, x, ln(0.5) - 0.5 * (list_sum(list_transform(x, lambda v: (v - 0.1) * (v - 0.1) / 0.02)) + 64 * ln(0.02) + 64 * ln(2 * pi())) AS a,
 ln(0.5) - 0.5 * (list_sum(list_transform(x, lambda v: (v + 0.1) * (v + 0.1) / 0.03)) + 64 * ln(0.03) + 64 * ln(2 * pi())) AS b FROM frames),
 p AS (SELECT vec_id, x, exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))) AS p FROM q)"""
 
 
+_A9 = f"""{_POST}, l AS (SELECT p.*, f.label FROM p JOIN frames f USING (vec_id)), e AS (SELECT label, p, unnest(range(64))::INTEGER AS dim, unnest(x) AS v FROM l)"""
+
+
+@query(f"""WITH {_A9} SELECT label::VARCHAR AS label, comp::INTEGER AS comp, dim, round(sum(w), 4) AS zeroth, round(sum(w * v), 4) + 0.0 AS first, round(sum(w * v * v), 5) AS second
+FROM (SELECT label, dim, v, 0 AS comp, p AS w FROM e UNION ALL SELECT label, dim, v, 1, 1 - p FROM e) GROUP BY 1, 2, 3""")
+def a9_accumulators(spark, d):
+    f = frames(spark, d)
+    names = [str(r[0]) for r in f.select("label").distinct().orderBy("label").collect()]  # classes
+    rows = gaussian.accumulator_rows(spark, gaussian.accumulate(f, "label", "x", {k: _TWO for k in names}))
+    return rows.select("label", "comp", "dim", F.round("zeroth", 4).alias("zeroth"), (F.round("first", 4) + 0.0).alias("first"), F.round("second", 5).alias("second"))
+
+
 @query(f"WITH {_POST} SELECT vec_id, round(p, 5) AS p FROM p")
 def m5_posteriors(spark, d):
     return frames(spark, d).select("vec_id", F.round(gaussian.posterior_columns(F.col("x"), _TWO)[0], 5).alias("p"))
@@ -291,6 +327,20 @@ def m26_ngram_viterbi(spark, d):
     return hidden.ngram_viterbi(f, ["utt"], "frame", "costs", ["a", "b"], lm, 2)
 
 
+@query()
+def m13_initial_classes(spark, d):
+    found = gaussian.initial_classes(frames(spark, d), "label", "x", 2, 2)
+    rows = [(k, c, float(m.weights[c]), [float(v) for v in m.means[c]]) for k, m in sorted(found.items()) for c in range(m.size)]
+    return spark.createDataFrame(rows, "label string, comp int, weight double, mean array<double>")
+
+
+@query()
+def m17_hmm_classes(spark, d):
+    """Models of two classes of utterances (even and odd numbers), and what they call each."""
+    f = frames(spark, d).withColumn("kind", F.col("utt") % 2)
+    return hidden.train_classes(f, ["utt"], "frame", "x", "kind", 2, 2, 1).classify(f, ["utt"], "frame", "x")
+
+
 # ---- language models -----------------------------------------------------------
 _LM = f"""{_WORDS}, p AS (SELECT doc, list_concat(list_concat(['<s>'], t), ['</s>']) AS t FROM w), g AS (SELECT doc, unnest(list_transform(range(1, len(t)), lambda i: [t[i], t[i + 1]])) AS g FROM p),
 c AS (SELECT g[1] AS context, g[2] AS token, count(*) AS n FROM g GROUP BY 1, 2), x AS (SELECT *, sum(n) OVER (PARTITION BY context) AS cn FROM c)"""

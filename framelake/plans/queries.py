@@ -393,7 +393,7 @@ def w14_range_tracker(spark, d):
 
 @query()
 def w15_utterances(spark, d):
-    return framing.tag_utterances(events(spark, d), ["user_id"], "event_id", "value", 20.0, 50.0, 2, 4, 3, 5)
+    return framing.tag_utterances(events(spark, d), ["user_id"], "event_id", "value", 0.5, -0.5, 10.0, 0.4, 0.6, 4, 2, 5, 3)
 
 
 # ---- metrics -------------------------------------------------------------

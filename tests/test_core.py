@@ -5,6 +5,8 @@ import random
 import struct
 import wave
 
+from itertools import groupby
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,14 +99,20 @@ def test_framing(spark):
     assert [r["delta"] for r in delta_compat(v, ["k"], "t", "v", 2).orderBy("t").collect()] == [-1, -3, -6, -4]
     assert [r["smooth"] for r in one_pole(v, ["k"], "t", "v", 0.5).orderBy("t").collect()] == [1.5, 2.75, 5.375]
     assert [(r["low"], r["high"]) for r in range_tracker(stream(spark, [5, 3, 9, 9, 4]), ["k"], "t", "v", 0.0, 0.0).orderBy("t").collect()] == [(5, 5), (3, 5), (3, 5), (3, 9), (3, 9)]
-    tags = tag_utterances(stream(spark, [0, 9, 9, 9, 0, 0, 0]), ["k"], "t", "v", 1.0, 5.0, 2, 3, 2, 3).orderBy("t").collect()
-    assert [r["tag"] for r in tags] == ["BAC", "UTT", "UTT", "UTT", "UTT", "UTT", "BAC"]
+    values = [20, 25, *[60] * 50, *[20] * 40, *[60] * 50, *[20] * 40]
+    tags = tag_utterances(stream(spark, values), ["k"], "t", "v", *TAGGER).orderBy("t").collect()
+    assert [(t, len(list(g))) for t, g in groupby(r["tag"] for r in tags)] == TAGGED
     e = spark.createDataFrame([("p", t, 1.0) for t in (0, 3, 5, 12)], "k string, ts long, v double")
     assert [(r["at"], r["n"]) for r in sampling_windows(e, ["k"], "ts", "v", 5, 5).orderBy("at").collect()] == [(0, 0), (5, 3), (10, 1)]
     ev = signal_events(stream(spark, [1, 1, 1, 1, 1, 9, 1, 1]), ["k"], "t", "v", 1.5).orderBy("t").collect()
     assert [(r["peak"], r["up"]) for r in ev] == [(False, True), (True, False), (False, False)]
 
 
+#: Levels of the tagger and runs of its tags over a fixed stream; the last values stay undecided.
+TAGGER = (1.0, -2.0, 10.0, 0.2, 0.6, 20, 10, 25, 15)
+TAGGED = [('UTT', 55), ('BAC', 27), ('UTT', 64), ('BAC', 17), (None, 19)]
+
+
 def test_det_points(spark):
     from framelake.operators.metrics import det_points
 
@@ -350,11 +358,88 @@ def test_streaming(spark, tmp_path):
     assert len(bundles) == 4 and all(len(r["bundle"]) == 2 for r in bundles)
     windows = run(st.event_windows(src(), "ts", "10 seconds", "5 seconds", "1 minute", "tag"), "windows", "complete")
     assert sum(r["n"] for r in windows) == 20
-    assert {r["event"] for r in run(st.utterance_tags(src(), "user", "seq", "value", 2.0, 3.5, 1, 1), "tags")} <= {"start", "stop"}
-    store = {"models": {}, "results": []}
-    q = st.adapt_models(src().withColumn("x", F.array("value")), "tag", "x", store).trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/models").start()
+    q = st.adapt_models(src().withColumn("x", F.array("value")), "tag", "x", f"file://{tmp_path}/adapted", 4.0, ["seq"]).trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/models").start()
+    q.awaitTermination(120)
+    scored = {r["seq"]: r for r in spark.read.parquet(f"file://{tmp_path}/adapted/scored").collect()}
+    assert len(scored) == 10 and all(scored[k]["hyp"] is None for k in range(5)) and all(scored[k]["hyp"] in ("a", "b") for k in range(10, 15))
+    first = {"a": [0.0, 2.0, 4.0], "b": [1.0, 3.0]}
+    second = {"a": [10.0, 12.0, 14.0], "b": [11.0, 13.0]}
+    models = {r["label"] if "label" in r else r["tag"]: r for r in spark.read.parquet(f"file://{tmp_path}/adapted/models").where("epoch = 1").collect()}
+    for k in "ab":
+        f = len(second[k]) / (len(second[k]) + 4.0)
+        assert models[k]["n"] == len(first[k]) + len(second[k])
+        assert models[k]["mean"][0] == pytest.approx(f * np.mean(second[k]) + (1 - f) * np.mean(first[k]))
+        assert models[k]["var"][0] == pytest.approx(f * np.var(second[k]) + (1 - f) * np.var(first[k]))
+    acc = st.adapted_accuracy(spark, f"file://{tmp_path}/adapted", "tag").collect()
+    assert [(r["epoch"], r["n"]) for r in acc] == [(1, 5)]
+
+
+def test_streamed_tags_are_those_of_the_whole(spark, tmp_path):
+    from framelake.operators.framing import tag_utterances
+    from framelake.streaming import stateful as st
+
+    values = [20, 25, *[60] * 50, *[20] * 40, *[60] * 50, *[20] * 40]
+    source = st.PushSource(spark, f"file://{tmp_path}/pushed", "k string, t long, v double")
+    with pytest.raises(RuntimeError):
+        source.push([("u", 0, 1.0)])
+    source.start()
+    rows = [("u", t, float(v)) for t, v in enumerate(values)]
+    for lo in range(0, len(rows), 37):
+        if lo == 37:
+            source.pause()
+        source.push(rows[lo : lo + 37])
+        if lo == 37:
+            source.start()
+    q = st.collect_stream(st.utterance_tags(source.stream(), "k", "t", "v", *TAGGER), "pushed_tags", f"file://{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert set(store["models"]) == {"a", "b"}
+    got = {r["t"]: r["tag"] for r in spark.table("pushed_tags").collect()}
+    whole = {r["t"]: r["tag"] for r in tag_utterances(spark.createDataFrame(rows, "k string, t long, v double"), ["k"], "t", "v", *TAGGER).collect()}
+    assert got == {t: tag for t, tag in whole.items() if tag}
+    seen, figures = st.watch(spark.createDataFrame(rows, "k string, t long, v double"), "figures", F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    assert seen.count() == 182 and figures.get == {"n": 182, "top": 60.0}
+    source.done()
+    with pytest.raises(RuntimeError):
+        source.start()
+
+
+def test_sets_of_models_are_trained_in_order(spark):
+    from framelake.models import gaussian as g
+    from framelake.models import hidden as h
+
+    rng = np.random.default_rng(8)
+    rows = [(u, t, "ab"[u % 2], (rng.normal(3 * (u % 2) + (t // 10 % 2), 0.3, 2)).tolist()) for u in range(12) for t in range(40)]
+    df = spark.createDataFrame(rows, "utt long, frame long, label string, x array<double>").persist()
+    start = g.one_gaussian_classes(df, "label", "x")
+    for k in "ab":
+        x = np.array([r[3] for r in rows if r[2] == k])
+        assert np.allclose(start[k].means[0], x.mean(axis=0)) and np.allclose(start[k].covs[0], x.var(axis=0))
+    whole = g.MixtureSet({k: m.split(2) for k, m in start.items()})
+    with pytest.raises(RuntimeError):
+        whole.accumulate(df, "label", "x")
+    halves = g.MixtureSet(whole.models)
+    for s, parts in ((whole, [df]), (halves, [df.where("utt < 5"), df.where("utt >= 5")])):
+        s.begin()
+        for part in parts:
+            s.accumulate(part, "label", "x")
+        before = s.apply()
+    for k in "ab":  # sums of parts are those of the whole, and equal a step of the class alone
+        alone, loglik, n = g.em_step(df.where(F.col("label") == k), "x", start[k].split(2))
+        for m in (whole.models[k], halves.models[k]):
+            assert np.allclose(m.means, alone.means) and np.allclose(m.covs, alone.covs) and np.allclose(m.weights, alone.weights)
+        assert before[k] == pytest.approx(loglik) and n == 240
+    found = g.initial_classes(df, "label", "x", 2, 5)
+    assert all(sorted(round(c[0]) for c in found[k].means) == [3 * i, 3 * i + 1] for i, k in enumerate("ab"))
+    grown = g.train_classes(df, "label", "x", 4, 2)
+    assert all(m.size == 4 for m in grown.values())
+    hmms = h.train_classes(df, ["utt"], "frame", "x", "label", 2, 2, 1)
+    with pytest.raises(RuntimeError):
+        hmms.apply()
+    assert {r["utt"]: r["hyp"] for r in hmms.classify(df, ["utt"], "frame", "x").collect()} == {u: "ab"[u % 2] for u in range(12)}
+    trace = hmms.train(df, ["utt"], "frame", "x", "label", 2)
+    assert all(trace[1][k] >= trace[0][k] - 1e-6 for k in "ab")
+    one = h.train_step(df.where("label = 'a'"), ["utt"], "frame", "x", hmms.hmms["a"])
+    assert np.isfinite(one[1]) and sum(one[0].start) == pytest.approx(1)
+    df.unpersist()
 
 
 def test_toolbox(spark, tmp_path):
