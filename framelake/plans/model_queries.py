@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import alignment, dsp
+from ..functions import alignment, dsp, extraction
 from ..graphs import tables
 from ..models import gaussian, hidden, language, neighbours
 from ..operators import metrics
@@ -132,6 +132,22 @@ def f3_cepstra(spark, d):
     return rows.select("vec_id", F.posexplode("ceps").alias("i", "c")).withColumn("c", F.round("c", 4) + 0.0)
 
 
+def audio(spark, d):
+    """Each utterance's vectors, one behind the other, as samples."""
+    rows = frames(spark, d).groupBy("utt").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("frame", "x"))), lambda s: s["x"])).alias("samples"))
+    return rows.select("utt", F.lit(16000).alias("rate"), F.lit(0).alias("channel"), "samples")
+
+
+@query()
+def f1_extraction(spark, d):
+    return extraction.extract(audio(spark, d), extraction.extraction_specs("MFCC_0_D_A", 39), "utt")
+
+
+@query()
+def f2_plp(spark, d):
+    return extraction.extract(audio(spark, d), extraction.plp_specs(), "utt")
+
+
 @query()
 def f20_float_text(spark, d):
     return events(spark, d).select("event_id", dsp.float_text("hex")("value").alias("hex"))

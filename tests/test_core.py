@@ -485,3 +485,98 @@ def test_best_paths_raises_where_paths_are_left(spark):
     assert t.best_paths(chain, 0, 4, 2, most=5).first()["path"] == [0, 1, 2, 3, 4]
     with pytest.raises(RuntimeError):
         t.best_paths(chain, 0, 4, 2, most=4)
+
+
+SPECS = """
+CEPLIFTER      = 22
+ENORMALISE     = FALSE
+# ESCALE       = 1.0
+HIFREQ         = 3800
+LOFREQ         = 125
+NUMCHANS       24
+SOURCEKIND     = WAVEFORM
+TARGETKIND     = MFCC_0
+TARGETRATE     = 100000
+USEPOWER       = TRUE
+WINDOWSIZE     = 250000.0
+ZMEANSOURCE    = T
+SAVEWITHCRC    = FALSE
+"""
+
+
+def test_extraction_specs():
+    from framelake.functions import extraction as e
+
+    specs = e.parse_specs(SPECS)
+    assert specs["NUMCHANS"] == 24 and specs["WINDOWSIZE"] == 250000.0 and specs["ZMEANSOURCE"] is True and "ESCALE" not in specs
+    chain = e.Chain({**specs, "SOURCERATE": 226.757}, 1e7 / 226.757)
+    assert (chain.slide, chain.window, chain.n_fft) == (441, 1102, 2048)
+    assert chain.features(np.sin(np.arange(100_000) / 9)).shape == (225, 13)
+    assert e.Chain({**e.MANDATORY, "TARGETKIND": "MFCC", "TARGETRATE": 100000.0}, 44100).window == 1129
+    for bad in ({"Foobar": 1}, {"TRACE": 3}, {"TARGETKIND": "MFCC_D_S"}, {"TARGETKIND": "LPC"}, {"TARGETKIND": "MFCC_A"}, {"TARGETKIND": None}, {"SOURCEKIND": None}):
+        with pytest.raises(ValueError):
+            e.Chain({**e.MANDATORY, "TARGETKIND": "MFCC", "TARGETRATE": 100000.0, **bad}, 16000)
+    with pytest.raises(ValueError):
+        e.parse_specs("A = 1 2")
+    assert e.extraction_specs("PLP_0_D_A", 39)["NUMCEPS"] == 12 and e.extraction_specs("MFCC_D", 24)["NUMCEPS"] == 12
+
+
+def test_extraction_equals_sums_written_out(spark):
+    from framelake.functions import dsp
+    from framelake.functions import extraction as e
+
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(700)
+    specs = {**e.MANDATORY, "TARGETKIND": "MFCC_0_E_D_A", "TARGETRATE": 100000, "WINDOWSIZE": 250000, "NUMCHANS": 10, "NUMCEPS": 5, "ZMEANSOURCE": True}
+    got = e.Chain(specs, 8000).features(x)
+    y = [x[1] - 0.97 * x[0]] + [x[i] - 0.97 * x[i - 1] for i in range(1, 700)]
+    bank, statics = dsp.mel_filters(10, 129, 8000, 0.0, 4000.0), []
+    for start in range(0, 700 - 200 + 1, 80):
+        w = y[start : start + 200]
+        mean = sum(w) / 200
+        w = [(v - mean) * (0.54 - 0.46 * math.cos(2 * math.pi * i / 199)) for i, v in enumerate(w)]
+        mag = [abs(sum(v * complex(math.cos(2 * math.pi * k * i / 256), -math.sin(2 * math.pi * k * i / 256)) for i, v in enumerate(w))) for k in range(129)]
+        logs = [math.log(max(sum(a * b for a, b in zip(f, mag)), 1e-10)) for f in bank]
+        c = [math.sqrt(2 / 10) * sum(v * math.cos(math.pi / 10 * n * (k + 0.5)) for k, v in enumerate(logs)) for n in range(6)]
+        energy = math.log(sum(v * v for v in x[start : start + 200]))
+        statics.append([c[n] * (1 + 11 * math.sin(math.pi * n / 22)) for n in range(1, 6)] + [c[0], energy])
+    at = lambda rows, t: rows[min(max(t, 0), len(rows) - 1)]
+    slope = lambda rows: [[sum(k * (at(rows, t + k)[j] - at(rows, t - k)[j]) for k in (1, 2)) / 10 for j in range(7)] for t in range(len(rows))]
+    d = slope(statics)
+    want = np.concatenate([statics, d, slope(d)], axis=1)
+    zero = got[:, 5] / want[:, 5]  # C0 by the scale of the transform's first row
+    assert got.shape == want.shape and np.allclose(zero, zero[0])
+    keep = [j for j in range(21) if j % 7 != 5]
+    assert np.allclose(got[:, keep], want[:, keep], atol=1e-8)
+    df = spark.createDataFrame([("a", 8000, 0, x.tolist()), ("a", 8000, 1, (2 * x).tolist()), ("b", 8000, 0, [0.0] * 10)], "path string, rate int, channel int, samples array<double>")
+    rows_ = e.extract(df, specs).orderBy("frame").collect()
+    assert np.allclose([r["features"] for r in rows_], got) and {r["path"] for r in rows_} == {"a"}
+    right = e.extract(df, {**specs, "STEREOMODE": "RIGHT", "ADDDITHER": 0.001})
+    assert [r["features"] for r in right.orderBy("frame").collect()] == [r["features"] for r in right.orderBy("frame").collect()]
+
+
+def test_linear_prediction_finds_a_known_process():
+    from framelake.functions import extraction as e
+
+    rng = np.random.default_rng(10)
+    a = np.array([-1.2, 0.7, -0.2])
+    x = np.zeros(60_000)
+    noise = rng.standard_normal(60_000)
+    for t in range(3, 60_000):
+        x[t] = noise[t] - a @ x[t - 3 : t][::-1]
+    r = np.array([[x[: len(x) - k] @ x[k:] / len(x) for k in range(4)]])
+    got, gain = e.linear_prediction(r, 3)
+    solved = np.linalg.solve([[r[0, abs(i - j)] for j in range(3)] for i in range(3)], -r[0, 1:])
+    assert np.allclose(got[0], solved) and np.allclose(got[0], a, atol=0.03) and gain[0] == pytest.approx(1, abs=0.05)
+    # cepstra of the all-pole model are the coefficients of the logarithm of its spectrum
+    chain = e.Chain({**e.plp_specs(), "CEPLIFTER": 0}, 16000)
+    mel = rng.uniform(1, 9, (3, 24))
+    c, zero = chain._predicted(mel)
+    heard = (mel * chain.loudness) ** 0.33
+    heard = np.concatenate([heard[:, :1], heard, heard[:, -1:]], axis=1)
+    full = np.concatenate([heard, heard[:, -2:0:-1]], axis=1)
+    lpc, g = e.linear_prediction(np.fft.ifft(full, axis=1).real[:, :13], 12)
+    model = np.abs(np.fft.fft(np.concatenate([np.ones((3, 1)), lpc], axis=1), 4096, axis=1)) ** -2
+    logs = np.fft.ifft(np.log(model), axis=1).real
+    assert np.allclose(logs[:, 1:13], c, atol=1e-6)
+    assert np.allclose(zero, np.log(g))
