@@ -8,7 +8,7 @@ from ..functions import alignment
 from ..graphs import tables
 from ..models import gaussian, toolbox
 from ..operators import metrics, segments, streams
-from ..sources import annotations
+from ..sources import annotations, feature_files, text_data
 from .model_queries import _ARCS, arcs
 from .queries import SEGS, events, frames, query, segs, table
 
@@ -20,6 +20,30 @@ def s13_list_columns(spark, d):
     return cut.select("page_id", F.get("f", F.lit(2)).alias("host"), F.when(F.get("f", F.lit(3)) != "", F.get("f", F.lit(3))).alias("lang"))
 
 
+@query("SELECT c_nationkey::VARCHAR AS file, 'names' AS file_type, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS row, [c_name, '# ' || c_mktsegment, ''] AS tokens FROM customer")
+def s22_text_data(spark, d):
+    """Customers of each nation written as text data and read back: marks of comments, blanks and empty tokens survive."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("file"), F.col("c_custkey").alias("row"), F.array("c_name", F.concat(F.lit("# "), "c_mktsegment"), F.lit("")).alias("tokens"))
+    files = text_data.text_data_files(c, "file", "row", "tokens", "names", "0")
+    return text_data.parsed_files(files, "names", "0").select("file", "file_type", "row", "tokens")
+
+
+@query("SELECT (vec_id // 50)::VARCHAR AS utt, (vec_id % 50 + 1)::INTEGER AS frame, i - 1 AS i, round(embedding[i]::DOUBLE, 6) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)".replace("i - 1 AS i", "(i - 1)::INTEGER AS i"))
+def s1_feature_files(spark, d):
+    """Each utterance's vectors written as a feature file and read back."""
+    f = frames(spark, d).select(F.col("utt").cast("string").alias("utt"), "frame", F.col("x").cast("array<float>").alias("features"))
+    files = feature_files.encoded_files(f).select(F.concat("utt", F.lit(".fea")).alias("path"), "content")
+    rows = feature_files.decoded_files(files).select("utt", "frame", F.posexplode("features").alias("i", "value"))
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
+@query(f"WITH {SEGS} SELECT '*/' || user_id || '.rec' AS name, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS seg, (start * 100000)::BIGINT AS start_100ns, (stop * 100000)::BIGINT AS end_100ns, label FROM seg")
+def s7_label_blocks(spark, d):
+    """Each user's segments written as a container and read back."""
+    s = segs(spark, d).select(F.col("user_id").cast("string").alias("utt"), (F.col("start") * 100000).cast("long").alias("start_100ns"), (F.col("stop") * 100000).cast("long").alias("end_100ns"), "label")
+    return annotations.label_blocks_of(annotations.container_text(s)).drop("score")
+
+
 @query("SELECT 'sad/' || c_name || '.lab' AS \"to\", 'audio/' || c_name || '_16000.wav' AS path FROM customer WHERE c_custkey % 3 = 0")
 def s15_corresponding(spark, d):
     c = table(spark, d, "customer")

@@ -39,7 +39,11 @@ def label_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     Lines have 1, 3 or 4 fields (label; start end label; with score); others raise.
     """
-    text = spark.read.text(path, wholetext=True)
+    return label_blocks_of(spark.read.text(path, wholetext=True))
+
+
+def label_blocks_of(text: DataFrame) -> DataFrame:
+    """The rows of containers given as (value)."""
     blocks = text.select(F.posexplode(F.split(F.regexp_replace("value", r"\A\s*#!MLF!#\s*", ""), r"(?m)^\.\s*$")).alias("block", "body")).where(F.trim(F.regexp_replace("body", r"\s+", " ")) != "")
     rows = blocks.select(F.regexp_extract("body", r'"([^"]*)"', 1).alias("name"), F.posexplode(F.filter(F.split(F.regexp_replace("body", r'\A\s*"[^"]*"', ""), r"\r?\n"), lambda v: F.trim(v) != "")).alias("seg", "line"))
     f = F.split(F.trim("line"), r"\s+")
@@ -103,3 +107,10 @@ def zip_files(a: DataFrame, b: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("line_no")
     x, y = (d.withColumn("k", F.row_number().over(w)) for d in (a, b))
     return x.select("k", F.col("line").alias("a")).join(y.select("k", F.col("line").alias("b")), "k", "full")
+
+
+def joined_containers(files: DataFrame, order: str, value: str = "value") -> DataFrame:
+    """One container text of several: the blocks of each file in the files' order, under one magic line."""
+    body = F.regexp_replace(F.rtrim(value), r"\A\s*#!MLF!#\s*", "")
+    rows = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), body.alias("v")))), lambda s: s["v"]), "\n").alias("value"))
+    return rows.select(F.concat(F.lit("#!MLF!#\n"), "value").alias("value"))

@@ -63,7 +63,11 @@ def encode(vectors, period: int, kind: int) -> bytes:
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """One row a frame of all files under ``path``; a file is one task's at most."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return decoded_files(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def decoded_files(files: DataFrame) -> DataFrame:
+    """The frames of files given as (path, content)."""
 
     def work(batches):
         import pandas as pd
@@ -140,3 +144,47 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"path": name, "rate": w.getframerate(), "channel": range(c), "samples": [x[:, k].astype("float32") for k in range(c)]})
 
     return files.mapInPandas(work, "path string, rate int, channel int, samples array<float>")
+
+
+def parse_sphere(content: bytes) -> tuple[dict, object]:
+    """(header, samples by channel) of a NIST file of linear or mu-law samples; compressed ones raise. Full scale is 1."""
+    import numpy as np
+
+    if content[:7] != b"NIST_1A":
+        raise ValueError("not a NIST file")
+    size, head = int(content[8:16].split()[0]), {}
+    for line in content[16:size].decode("latin-1").split("\n"):
+        parts = line.split(None, 2)
+        if parts[:1] == ["end_head"]:
+            break
+        if len(parts) == 3 and parts[1][:2] in ("-i", "-r", "-s"):
+            head[parts[0]] = int(parts[2]) if parts[1] == "-i" else float(parts[2]) if parts[1] == "-r" else parts[2][: int(parts[1][2:])]
+    coding, width, channels = head.get("sample_coding", "pcm"), head.get("sample_n_bytes", 2), head.get("channel_count", 1)
+    if coding == "pcm":
+        order = ">" if head.get("sample_byte_format", "01") == "10" else "<"
+        x = np.frombuffer(content, f"{order}i{width}", (len(content) - size) // width, size) / 2.0 ** (8 * width - 1)
+    elif coding in ("ulaw", "mu-law"):
+        u = ~np.frombuffer(content, np.uint8, len(content) - size, size)
+        level = (((u & 15).astype(int) << 3) + 132 << ((u >> 4) & 7)) - 132
+        x = np.where(u & 128, -level, level) / 32768.0
+    else:
+        raise ValueError(f"samples are coded as {coding}")
+    x = x[: len(x) // channels * channels].reshape(-1, channels)
+    return head, x[: head.get("sample_count", len(x))]
+
+
+def read_sphere(spark: SparkSession, path: str, start: float = 0.0, stop: float | None = None) -> DataFrame:
+    """NIST files: path, rate, channel, samples, from ``start`` to ``stop`` seconds."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def work(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                head, x = parse_sphere(content)
+                rate = head["sample_rate"]
+                x = x[round(start * rate) : None if stop is None else round(stop * rate)]
+                yield pd.DataFrame({"path": name, "rate": rate, "channel": range(x.shape[1]), "samples": [x[:, k].astype("float32") for k in range(x.shape[1])]})
+
+    return files.mapInPandas(work, "path string, rate int, channel int, samples array<float>")

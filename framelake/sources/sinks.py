@@ -23,7 +23,12 @@ def list_lines(paths: DataFrame, *columns: str) -> DataFrame:
 
 def result_xml(segments: DataFrame, utt: str = "utt") -> DataFrame:
     """(utt, value): an element an utterance with its segments in seconds."""
-    row = F.format_string('  <segment start="%.2f" end="%.2f" label="%s"/>', F.col("start_100ns") * 1e-7, F.col("end_100ns") * 1e-7, F.col("label"))
+    def safe(c):
+        for mark, word in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(mark), F.lit(word))
+        return c
+
+    row = F.format_string('  <segment start="%.2f" end="%.2f" label="%s"/>', F.col("start_100ns") * 1e-7, F.col("end_100ns") * 1e-7, safe(F.col("label")))
     rows = segments.select(utt, F.struct("start_100ns", row.alias("t")).alias("s"))
     lists = rows.groupBy(utt).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), "\n").alias("body"))
-    return lists.select(utt, F.concat(F.lit('<file name="'), F.col(utt), F.lit('">\n'), F.col("body"), F.lit("\n</file>")).alias("value"))
+    return lists.select(utt, F.concat(F.lit('<file name="'), safe(F.col(utt)), F.lit('">\n'), F.col("body"), F.lit("\n</file>")).alias("value"))

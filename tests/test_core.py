@@ -580,3 +580,64 @@ def test_linear_prediction_finds_a_known_process():
     logs = np.fft.ifft(np.log(model), axis=1).real
     assert np.allclose(logs[:, 1:13], c, atol=1e-6)
     assert np.allclose(zero, np.log(g))
+
+
+def test_text_data(spark, tmp_path):
+    from framelake.sources import text_data as t
+
+    rows_ = [["a", "b c", ""], ["#x", "50%", "tab\there"], ["é"], ["__textdata__version"]]
+    text = t.text_data(rows_, "kind", "2")
+    assert text.startswith("__textdata__version 1\n__textdata__comment_prefix #\n__textdata__escape_char %\n__textdata__file_type kind\n")
+    head, got = t.parse_text_data("\n\n" + text.replace("\na ", "\n# a comment\n\n  a  ") + "after the end\n", "kind", "2")
+    assert got == rows_ and head["file_version"] == "2"
+    assert t.parse_text_data("a %41\n; b\n", header=False, comment=";")[1] == [["a", "A"]]
+    for bad in ("a b\n", text.replace("version 1", "version 2"), text.replace("%", "''"), text.replace("__textdata__end_of_header\n", ""), text.replace("tab%09", "tab%0"), text.replace("kind", "a b")):
+        with pytest.raises(ValueError):
+            t.parse_text_data(bad, "kind")
+    with pytest.raises(ValueError):
+        t.text_data([["\0"]])
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"file://{tmp_path}/td")
+    assert [r["tokens"] for r in t.read_text_data(spark, f"file://{tmp_path}/td", "kind").orderBy("row").collect()] == rows_
+    a = spark.createDataFrame([("f", 3, " x  1 "), ("f", 5, "y\t2")], "file string, line_no int, line string")
+    b = spark.createDataFrame([("g", 1, "p"), ("g", 2, "q"), ("g", 3, "r")], "file string, line_no int, line string")
+    assert [r["line"] for r in t.normalised(a).orderBy("line_no").collect()] == ["x 1", "y 2"]
+    assert [(r["source"], r["line_no"]) for r in t.chained(a, b).orderBy("source", "line_no").collect()] == [(0, 3), (0, 5), (1, 1), (1, 2), (1, 3)]
+    assert [r["lines"] for r in t.zipped([a, b]).orderBy("row").collect()] == [[" x  1 ", "p"], ["y\t2", "q"]]
+    assert {r["key"]: r["values"] for r in t.keyed(a).collect()} == {"x": ["1"], "y": ["2"]}
+    with pytest.raises(Exception, match="comes twice"):
+        t.keyed(a.union(a)).collect()
+    spark.createDataFrame([('<all><corpus id="1"><name>First</name><year> 1999 </year></corpus><corpus id="2"/></all>',)], "value string").coalesce(1).write.text(f"file://{tmp_path}/cat")
+    assert [r["fields"] for r in t.catalogue(spark, f"file://{tmp_path}/cat").orderBy("entry").collect()] == [{"id": "1", "name": "First", "year": "1999"}, {"id": "2"}]
+
+
+def test_sphere_files(spark, tmp_path):
+    from framelake.sources import feature_files as ff
+
+    def file(fields, data):
+        head = "NIST_1A\n   1024\n" + "".join(f"{k} {t} {v}\n" for k, t, v in fields) + "end_head\n"
+        return head.encode().ljust(1024) + data
+
+    x = np.arange(-800, 800, 2, dtype="<i2").reshape(-1, 2)
+    common = [("sample_rate", "-i", 100), ("channel_count", "-i", 2), ("sample_n_bytes", "-i", 2), ("sample_count", "-i", 400)]
+    (tmp_path / "little.sph").write_bytes(file([*common, ("sample_byte_format", "-s2", "01")], x.tobytes()))
+    (tmp_path / "big.sph").write_bytes(file([*common, ("sample_byte_format", "-s2", "10")], x.astype(">i2").tobytes()))
+    for name in ("little", "big"):
+        got = {r["channel"]: r for r in ff.read_sphere(spark, f"file://{tmp_path}/{name}.sph", 1.0, 3.0).collect()}
+        assert got[1]["rate"] == 100 and np.allclose(got[1]["samples"], x[100:300, 1] / 32768)
+    head, y = ff.parse_sphere(file([("sample_coding", "-s4", "ulaw"), ("sample_n_bytes", "-i", 1)], bytes([0xFF, 0x7F, 0x80, 0x00, 0xF0])))
+    assert (y[:, 0] * 32768).tolist() == [0, 0, 32124, -32124, 120]
+    with pytest.raises(ValueError):
+        ff.parse_sphere(file([("sample_coding", "-s26", "pcm,embedded-shorten-v2.00")], b""))
+    with pytest.raises(ValueError):
+        ff.parse_sphere(b"RIFF" + bytes(2000))
+
+
+def test_containers_join_and_results_are_escaped(spark):
+    from framelake.sources import annotations, sinks
+
+    parts = spark.createDataFrame([(1, '#!MLF!#\n"*/b.lab"\n0 5 x\n.\n'), (0, '#!MLF!#\n"*/a.lab"\n0 5 y\n.\n')], "k int, value string")
+    whole = annotations.joined_containers(parts, "k")
+    assert whole.first()["value"].count("#!MLF!#") == 1
+    assert [(r["name"], r["label"]) for r in annotations.label_blocks_of(whole).orderBy("name").collect()] == [("*/a.lab", "y"), ("*/b.lab", "x")]
+    seg = spark.createDataFrame([('u"', 0, 10000000, "<S&T>")], "utt string, start_100ns long, end_100ns long, label string")
+    assert sinks.result_xml(seg).first()["value"] == '<file name="u&quot;">\n  <segment start="0.00" end="1.00" label="&lt;S&amp;T&gt;"/>\n</file>'
