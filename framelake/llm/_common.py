@@ -55,8 +55,9 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Edges that a part of a written edge table holds, and the nodes at most that count as hubs.
-EDGES, HUBS = 500_000, 1000
+#: Edges that a part of a written edge table holds, the nodes at most that count as hubs, and the edges of all below
+#: which a hub has too few to be told apart.
+EDGES, HUBS, LEAST = 500_000, 1000, 100_000
 
 
 def _to_least(edges: DataFrame, low: DataFrame, count: int) -> DataFrame:
@@ -64,7 +65,10 @@ def _to_least(edges: DataFrame, low: DataFrame, count: int) -> DataFrame:
 
     Nodes with more than a thousandth of all edges are at most HUBS, so they are
     sent to all tasks and their edges stay where they are; the others are joined.
+    Of LEAST edges and fewer all are joined, as no node can have more.
     """
+    if count <= LEAST:
+        return edges.join(low.select("u", "m"), "u")
     hub = F.col("k") > max(1000, -(-count // HUBS))
     hubs = F.broadcast(low.where(hub).select("u", F.col("m").alias("h")))
     marked = edges.join(hubs, "u", "left")

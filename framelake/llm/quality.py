@@ -6,7 +6,8 @@ a word that repeats the one before it counts as one more feature.  A softmax ove
 two classes reads the average.  Vectors and softmax are trained by stochastic
 gradient descent in numpy on a bounded sample of labelled documents
 (``sample`` ids, taken in the order of a hash of their ids, with texts of at most
-``sample_chars`` characters, so at most their product comes to the driver).
+``sample_chars`` characters, so at most their product comes to the one task that
+trains).
 Scoring reads whole texts of all rows: as the softmax is linear in the average,
 each word needs one number, which workers keep in a bounded cache; words of more
 than ``LONG`` characters are taken in chunks of ``CHUNK`` and not kept.
@@ -213,8 +214,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_co
     ids = labels.where(y.isNotNull() & key.isNotNull()).select(key.alias("_i"), y.alias("_v")).where(usable).groupBy("_i").agg(F.max("_v").cast("int").alias("_y"))
     ids = ids.join(docs.select(key.alias("_i")).distinct(), "_i", "left_semi").orderBy(F.xxhash64("_i"), "_i").limit(sample)
     texts = docs.select(key.alias("_i"), F.col(f"`{text_col}`").cast("string").alias("_t")).where(F.coalesce(F.length("_t"), F.lit(0)) <= sample_chars)
-    rows = texts.join(F.broadcast(ids), "_i").groupBy("_i").agg(F.first("_y").alias("_y"), F.min("_t").alias("_t")).orderBy("_i").toArrow()  # at most ``sample`` ids
-    return train(rows.column("_t").to_pylist(), rows.column("_y").to_pylist())
+    rows = texts.join(F.broadcast(ids), "_i").groupBy("_i").agg(F.first("_y").alias("_y"), F.min("_t").alias("_t"))  # at most ``sample`` ids
+
+    def learn(batches):
+        import pyarrow as pa
+
+        held = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), key=lambda row: row[0])
+        model = train([t for _, _, t in held], [y for _, y, _ in held])
+        yield pa.RecordBatch.from_arrays([pa.array([model["value"].astype("<f8").tobytes()]), pa.array([model["bias"]])], names=["value", "bias"])
+
+    import numpy as np
+
+    found = rows.select("_i", "_y", "_t").coalesce(1).mapInArrow(learn, "value binary, bias double").first()  # one task trains
+    if found is None:
+        return train([], [])
+    return {"value": np.frombuffer(found["value"], "<f8"), "bias": found["bias"]}
 
 
 def score_documents(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -62,6 +62,22 @@ def components(nodes, links):
     return {n: top(n) for n in nodes}
 
 
+@pytest.mark.parametrize("least", [100_000, 0])
+def test_components_of_hubs_and_chains(spark, monkeypatch, least):
+    """By joins, and with hubs told apart, of which one has half of all edges."""
+    from framelake.llm import _common as c
+
+    monkeypatch.setattr(c, "LEAST", least)
+    r = random.Random(50)
+    links = [(7, 100 + i) for i in range(3000)] + [(i, i + 1) for i in range(5000, 5060)] + [(5030, 3099), (6000, 6001), (6001, 6000), (6002, 6002)]
+    links += [(r.randrange(7000, 9000), r.randrange(7000, 9000)) for _ in range(900)]
+    r.shuffle(links)
+    got = {x["node"]: x["component"] for x in c.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    links = [(a, b) for a, b in links if a != b]
+    assert got == components({n for e in links for n in e}, links)
+    assert c.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 # ---- 1 ------------------------------------------------------------------
 def vectors():
     rng = np.random.default_rng(1)
