@@ -19,13 +19,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm._common import write_stage
+from framelake.llm._common import files_for, write_stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents scored below this are taken as label 0.
 CUTOFF = 0.3
 
 
+def _sized(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """``docs`` in parts of some thousand of the documents that were ``before``, so that no stage writes a tiny file a task."""
+    return docs.coalesce(files_for(before.count()))
+
+
 def _shaped(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
@@ -35,28 +40,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from framelake.llm.quality import quality_scores
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    return quality_scores(docs.select(*COLUMNS), labels, cutoff=CUTOFF).where("predicted = 1").select(*COLUMNS)
+    return _sized(quality_scores(docs.select(*COLUMNS), labels, cutoff=CUTOFF).where("predicted = 1").select(*COLUMNS), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines stay only in the largest document that holds them."""
     from framelake.llm.line_dedup import dedup_lines
 
-    return _shaped(dedup_lines(docs.select(*COLUMNS)))
+    return _sized(_shaped(dedup_lines(docs.select(*COLUMNS))), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near-duplicates (five-word shingles, 0.8)."""
     from framelake.llm.minhash import keep_one
 
-    return keep_one(docs.select(*COLUMNS), words=5, percent=80).select(*COLUMNS)
+    return _sized(keep_one(docs.select(*COLUMNS), words=5, percent=80).select(*COLUMNS), docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes stay only in the smallest document that holds them."""
     from framelake.llm.suffix_dedup import remove_repeats
 
-    return _shaped(remove_repeats(docs.select(*COLUMNS), width=50))
+    return _sized(_shaped(remove_repeats(docs.select(*COLUMNS), width=50)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,9 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
+#: Documents, or what was made of them, that a file of a written table holds, and the files that a table has at least.
+DOCUMENTS, FILES = 20_000, 16
+
+
+def files_for(documents: int) -> int:
+    """How many files a table made of so many documents has: small tables are not cut into a file a task."""
+    return max(FILES, documents // DOCUMENTS)
+
+
+def write_stage(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in at most ``files`` files, and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

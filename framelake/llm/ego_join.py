@@ -99,14 +99,13 @@ def _intervals(classes: DataFrame, axes: dict, eps: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first, pa.int64()), pa.array(keys, pa.binary())], names=["label", "id", "x", "w", "n", "cell"])
 
     keyed = classes.select("label", "id", "x", "w").mapInArrow(cells, "label long, id long, x binary, w long, n long, cell binary")
-    dealt = keyed.repartitionByRange("label", "n", "cell", "id").sortWithinPartitions("label", "n", "cell", "id")
+    dealt = keyed.repartitionByRange("label", "n", "cell", "id").sortWithinPartitions("label", "n", "cell", "id").withColumn("p", F.spark_partition_id())
 
     def cut(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        task, seq = TaskContext.get().partitionId(), 0
+        task, seq = None, 0
 
         def done(label, n, ids, xs, ws):
             m = np.frombuffer(b"".join(xs), "<f8").reshape(len(ids), n)
@@ -117,6 +116,8 @@ def _intervals(classes: DataFrame, axes: dict, eps: float) -> DataFrame:
 
         now, ids, xs, ws = None, [], [], []
         for batch in batches:
+            if task is None and batch.num_rows:
+                task = batch.column(6)[0].as_py()
             for label, i, x, w, n in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if ids and ((label, n) != now or len(ids) >= INTERVAL):
                     yield done(*now, ids, xs, ws)

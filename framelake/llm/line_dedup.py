@@ -25,7 +25,7 @@ import io
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, drop_stage, write_stage
+from ._common import ascii_lower, drop_stage, files_for, write_stage
 
 SHARD_KEYS = 200_000
 SALTS = 8
@@ -166,7 +166,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         raise ValueError("the columns n_lines and n_dropped are taken")
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(f"`{id_col}`").alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    counts = write_stage(line_counts(rows, min_chars), "lines")
+    counts = write_stage(line_counts(rows, min_chars), "lines", files_for(docs.count()))
     n_keys = counts.count()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_shards = -(-max(n_keys, 1) // SHARD_KEYS)

@@ -27,11 +27,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, drop_stage, hold, write_stage
+from ._common import components, drop_stage, files_for, hold, write_stage
 
 BLOCK = 1024
-#: Documents for each file of an intermediate table.
-DOCUMENTS = 20_000
 #: Salts of a text that others are compared with, and partners a salt of those that have very many.
 SALTS, PARTNERS = 16, 256
 #: Cells of the sketches that stray pairs are compared by, and how far below the threshold, in percent, such a
@@ -322,13 +320,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
         return held[-1]
 
     def store(df, name):
-        """In files of the work on some thousand documents each, as tables of pairs are small beside the texts."""
-        written.append(write_stage(df.coalesce(files), name))
+        written.append(write_stage(df, name, files))
         return written[-1]
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
     sets = keep(_sketches(rows, words, count))
-    files = max(16, sets.count() // DOCUMENTS)
+    files = files_for(sets.count())
     reps = keep(sets.where("n > 0 and d is not null").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("sig").alias("sig"), F.first("n").alias("n")))
 
     def named(ids):
@@ -360,7 +357,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     classes = reps.select("s1", "s2", "d").join(comp, "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component"))
     out = sets.select("d", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("d")).otherwise(F.coalesce("component", "d"))
-    done = write_stage(out.select("d", "n", component.alias("component")).coalesce(files), "groups")
+    done = write_stage(out.select("d", "n", component.alias("component")), "groups", files)
     for df in held:
         df.unpersist()
     for df in written:

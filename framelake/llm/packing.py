@@ -126,18 +126,17 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
         raise ValueError("size must be a power of two")
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"), "t")
+    rows = rows.withColumn("p", F.spark_partition_id())  # not the task's, which may take several partitions
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
         from .byte_bpe import load
 
         bpe, stops = load(tokenizer), sentence_ends(tokenizer)
         end = np.array([end_id], "<u2").tobytes()
-        number = TaskContext.get().partitionId() << 36
-        names, parts, held = [], [], 0
+        number, names, parts, held = None, [], [], 0
 
         def flush(number):
             ids = np.frombuffer(b"".join(parts), "<u2")
@@ -156,6 +155,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
             return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PIECES.split(", ")]), number + len(cuts)
 
         for batch in batches:
+            if number is None and batch.num_rows:
+                number = batch.column(2)[0].as_py() << 36
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = bpe.encode(t.as_py()) + end
                 if held and held + len(ids) // 2 > RUN:

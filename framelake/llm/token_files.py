@@ -187,15 +187,15 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: s
     """
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"), "t")
+    rows = rows.withColumn("p", F.spark_partition_id())  # not the task's, which may take several partitions
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
         from .byte_bpe import load
 
-        bpe, part, block, start = load(tokenizer), TaskContext.get().partitionId(), 0, 0
+        bpe, part, block, start = load(tokenizer), None, 0, 0
         end = np.array([end_id], "<u2").tobytes()
         names, counts, parts, held = [], [], [], 0
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("n_ids", pa.int64()), ("start_in_part", pa.int64()), ("payload", pa.binary())])
@@ -205,6 +205,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: s
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, block, names[0], held, start, write_block(names, counts, ids)), schema)], schema=schema)
 
         for batch in batches:
+            if part is None and batch.num_rows:
+                part = batch.column(2)[0].as_py()
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 parts.append(bpe.encode(t.as_py()) + end)
                 names.append(d)

@@ -60,9 +60,8 @@ def _nodes(rows: DataFrame, scale: float, k: int) -> DataFrame:
     def work(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        held, number = {}, TaskContext.get().partitionId() << 32
+        held, number = {}, None
 
         def done(n, number):
             ids, m = (np.concatenate(x) for x in zip(*held.pop(n)))
@@ -79,6 +78,10 @@ def _nodes(rows: DataFrame, scale: float, k: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["n", "list", "block", "ids", "ints"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            if number is None:
+                number = batch.column(2)[0].as_py() << 32
             ids, v = batch.column(0).to_numpy(), batch.column(1)
             sizes, flat = np.diff(v.offsets.to_numpy()), _integers(v.flatten().to_numpy(zero_copy_only=False), scale)
             first = np.cumsum(sizes) - sizes
@@ -94,7 +97,7 @@ def _nodes(rows: DataFrame, scale: float, k: int) -> DataFrame:
             yield done(n, number)
             number += 1
 
-    return write_stage(rows.select("id", "v").mapInArrow(work, "n int, list int, block long, ids binary, ints binary"), "nodes")
+    return write_stage(rows.select("id", "v", F.spark_partition_id().alias("p")).mapInArrow(work, "n int, list int, block long, ids binary, ints binary"), "nodes")
 
 
 class Queries:

@@ -773,6 +773,33 @@ def test_packing(spark, docs):
     assert pack_documents(frame(spark, docs).limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_sequences_and_starts_hold_when_partitions_are_merged(spark, docs):
+    """A caller's coalesce puts several partitions into one task, which must not number them alike."""
+    from framelake.llm.packing import pack_documents
+    from framelake.llm.token_files import encode_documents, read_token_files
+
+    many = frame(spark, docs * 3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pieces = pack_documents(many, P.path("byte_bpe_50k.json"), 1, 256).coalesce(1).collect()
+        tokens = read_token_files(encode_documents(many, P.path("byte_bpe_50k.json"), 0).coalesce(1)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    by = {}
+    for x in pieces:
+        by.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for parts in by.values():
+        at = 0
+        for a, n in sorted(parts):
+            assert a == at
+            at += n
+        assert at <= 256
+    at = 0
+    for start, n in sorted((x["start"], x["n_tokens"]) for x in tokens):
+        assert start == at
+        at += n
+
+
 def test_plan_is_the_cheapest():
     from framelake.llm.packing import plan
 
