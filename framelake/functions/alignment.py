@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,21 @@ def edit_cost_of_lists():
         return pd.Series([edit_path(list(x), list(y))[0] for x, y in zip(a, b)], dtype="int32")
 
     return cost
+
+
+def best_alignment_rows(df: DataFrame, keep: list[str], a: str, b: str, n: int) -> DataFrame:
+    """(keep, rank, cost, pairs): the n cheapest alignments of two strings by characters, a row each."""
+    kinds = dict(df.dtypes)
+
+    def work(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for *key, x, y in pdf[[*keep, a, b]].itertuples(index=False, name=None):
+                for rank, (cost, pairs) in enumerate(best_alignments(x or "", y or "", n), 1):
+                    out.append((*key, rank, float(cost), [{"a": p, "b": q} for p, q in pairs]))
+            yield pd.DataFrame(out, columns=[*keep, "rank", "cost", "pairs"])
+
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in keep)
+    return df.select(*keep, a, b).mapInPandas(work, f"{ddl}, rank int, cost double, pairs array<struct<a:string,b:string>>")

@@ -176,6 +176,32 @@ def compose(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "_m").select(F.struct("s1", "s2").alias("src"), F.struct("d1", "d2").alias("dst"), "ilabel", "olabel")
 
 
+def compose_reachable(a: DataFrame, b: DataFrame, start: tuple, epsilon: str, most: int = 10_000) -> DataFrame:
+    """Arcs of the composition that a pair of start nodes reaches: s1, s2, d1, d2, ilabel, olabel.
+
+    ``a``, ``b``: src, dst, ilabel, olabel.  An arc of a that puts out epsilon, and one of b
+    that takes it in, is taken without the other machine moving.  Each round
+    extends the pairs found in the round before, so what no path reaches is never made.
+    """
+    kinds = dict(a.dtypes)["src"], dict(b.dtypes)["src"]
+    left = a.select(F.col("src").alias("s1"), F.col("dst").alias("_d1"), F.col("ilabel").alias("_i"), F.col("olabel").alias("_m"))
+    right = b.select(F.col("src").alias("s2"), F.col("dst").alias("_d2"), F.col("ilabel").alias("_m"), F.col("olabel").alias("_o"))
+    seen = cut_lineage(a.sparkSession.range(1).select(F.lit(start[0]).cast(kinds[0]).alias("s1"), F.lit(start[1]).cast(kinds[1]).alias("s2")))
+    new, out = seen, None
+    for _ in range(most):
+        moves = new.join(left, "s1")
+        both = moves.where(F.col("_m") != epsilon).join(right.where(F.col("_m") != epsilon), ["s2", "_m"]).select("s1", "s2", F.col("_d1").alias("d1"), F.col("_d2").alias("d2"), F.col("_i").alias("ilabel"), F.col("_o").alias("olabel"))
+        first = moves.where(F.col("_m") == epsilon).select("s1", "s2", F.col("_d1").alias("d1"), F.col("s2").alias("d2"), F.col("_i").alias("ilabel"), F.lit(epsilon).alias("olabel"))
+        second = new.join(right.where(F.col("_m") == epsilon), "s2").select("s1", "s2", F.col("s1").alias("d1"), F.col("_d2").alias("d2"), F.lit(epsilon).alias("ilabel"), F.col("_o").alias("olabel"))
+        found = cut_lineage(both.unionByName(first).unionByName(second))
+        out = found if out is None else out.unionByName(found)
+        new = cut_lineage(found.select(F.col("d1").alias("s1"), F.col("d2").alias("s2")).distinct().join(seen, ["s1", "s2"], "left_anti"))
+        if not new.limit(1).count():
+            return out
+        seen = seen.unionByName(new)
+    raise RuntimeError("pairs were still being reached")
+
+
 def product_sizes(n1: int, arcs1: DataFrame, n2: int, arcs2: DataFrame) -> dict[str, int]:
     """Arc counts of five products of simple graphs of n1 and n2 nodes."""
     e1, e2 = arcs1.select("src", "dst").distinct().count(), arcs2.select("src", "dst").distinct().count()

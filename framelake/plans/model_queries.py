@@ -317,14 +317,23 @@ def _hmm():
     return hidden.ergodic([gaussian.Mixture([1.0], [[m] * 64], [[0.02] * 64]) for m in (0.03, -0.03)])
 
 
-@query()
+_VITERBI = f"""{FRAMES}, e AS (SELECT utt, frame, -0.5 * (list_sum(list_transform(x, lambda v: (v - 0.03::DOUBLE) * (v - 0.03::DOUBLE) / 0.02::DOUBLE)) + 64 * (ln(0.02::DOUBLE) + ln(2 * pi()))) AS a, -0.5 * (list_sum(list_transform(x, lambda v: (v + 0.03::DOUBLE) * (v + 0.03::DOUBLE) / 0.02::DOUBLE)) + 64 * (ln(0.02::DOUBLE) + ln(2 * pi()))) AS b FROM frames),
+v AS (SELECT utt, frame, ln(0.5::DOUBLE) + a AS a, ln(0.5::DOUBLE) + b AS b, [0] AS pa, [1] AS pb FROM e WHERE frame = 1
+UNION ALL SELECT utt, frame, CASE WHEN aa >= ba THEN aa ELSE ba END + ea, CASE WHEN ab >= bb THEN ab ELSE bb END + eb, list_append(CASE WHEN aa >= ba THEN pa ELSE pb END, 0), list_append(CASE WHEN ab >= bb THEN pa ELSE pb END, 1)
+FROM (SELECT e.utt, e.frame, v.a + ln(0.9::DOUBLE) AS aa, v.b + ln(0.05::DOUBLE) AS ba, v.a + ln(0.05::DOUBLE) AS ab, v.b + ln(0.9::DOUBLE) AS bb, e.a AS ea, e.b AS eb, pa, pb FROM v JOIN e ON e.utt = v.utt AND e.frame = v.frame + 1)),
+best AS (SELECT utt, greatest(a, b) + ln(0.05::DOUBLE) AS score, CASE WHEN a >= b THEN pa ELSE pb END AS path FROM v WHERE (utt, frame) IN (SELECT utt, max(frame) FROM e GROUP BY utt))
+SELECT utt, unnest(range(1, len(path) + 1))::INTEGER AS frame, unnest(path)::INTEGER AS state, round(score, 4) AS score FROM best"""
+
+
+@query(f"WITH RECURSIVE {_VITERBI}")
 def m24_viterbi(spark, d):
-    return hidden.decode_utterances(frames(spark, d), ["utt"], "frame", "x", _hmm())
+    return hidden.decode_utterances(frames(spark, d), ["utt"], "frame", "x", _hmm()).withColumn("score", F.round("score", 4))
 
 
-@query()
+@query(f"WITH RECURSIVE {_VITERBI}")
 def m27_beam(spark, d):
-    return hidden.decode_utterances(frames(spark, d), ["utt"], "frame", "x", _hmm(), 50.0)
+    """A beam that drops a state at over a quarter of these frames and still finds the best path."""
+    return hidden.decode_utterances(frames(spark, d), ["utt"], "frame", "x", _hmm(), 4.0).withColumn("score", F.round("score", 4))
 
 
 @query()

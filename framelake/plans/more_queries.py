@@ -16,8 +16,8 @@ from .queries import SEGS, events, frames, query, segs, table
 @query("SELECT page_id, split_part(url, '/', 3) AS host, nullif(split_part(url, '/', 4), '') AS lang FROM pages WHERE url LIKE '%://%/%'")
 def s13_list_columns(spark, d):
     p = table(spark, d, "pages").where("url like '%://%/%'")
-    cut = p.select("page_id", "url", F.split("url", "/").alias("f"))
-    return cut.select("page_id", F.get("f", F.lit(2)).alias("host"), F.when(F.get("f", F.lit(3)) != "", F.get("f", F.lit(3))).alias("lang"))
+    cut = annotations.list_columns(p, "url", ["scheme", "none", "host", "lang"], "/", ["page_id"])
+    return cut.select("page_id", "host", F.when(F.col("lang") != "", F.col("lang")).alias("lang"))
 
 
 @query("SELECT c_nationkey::VARCHAR AS file, 'names' AS file_type, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INTEGER AS row, [c_name, '# ' || c_mktsegment, ''] AS tokens FROM customer")
@@ -102,10 +102,34 @@ def j14_product_sizes(spark, d):
     return spark.createDataFrame([tuple(sizes.values())], ", ".join(f"{k} long" for k in sizes))
 
 
-@query()
+@query("SELECT r_regionkey, n_nationkey, levenshtein(r_name, n_name)::DOUBLE AS best, 3 AS n, true AS ascending FROM region, nation")
 def t5_best_alignments(spark, d):
-    rows = [(k, float(c), len(p)) for k, (c, p) in enumerate(alignment.best_alignments("kitten", "sitting", 5))]
-    return spark.createDataFrame(rows, "rank int, cost double, length int")
+    """The three cheapest alignments of each region's name with each nation's: the best cost, and that they ascend."""
+    r, n = table(spark, d, "region"), table(spark, d, "nation")
+    pairs = r.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").select("r_regionkey", "n_nationkey", "r_name", "n_name")  # five by twenty-five names
+    rows = alignment.best_alignment_rows(pairs, ["r_regionkey", "n_nationkey"], "r_name", "n_name", 3)
+    costs = F.transform(F.array_sort(F.collect_list(F.struct("rank", "cost"))), lambda s: s["cost"])
+    return rows.groupBy("r_regionkey", "n_nationkey").agg(F.min("cost").alias("best"), F.count(F.lit(1)).cast("int").alias("n"), (costs == F.array_sort(costs)).alias("ascending"))
+
+
+@query("SELECT c_custkey AS id, min(c_custkey) OVER (PARTITION BY c_nationkey) AS component FROM customer UNION ALL SELECT 1000000000 + c_nationkey, min(c_custkey) FROM customer GROUP BY c_nationkey")
+def g7_components(spark, d):
+    """Customers joined to their nations: a connected part a nation."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (F.lit(1_000_000_000) + F.col("c_nationkey")).cast("long").alias("dst"))
+    return tables.components(c)
+
+
+@query(f"""WITH RECURSIVE {_ARCS}, a AS (SELECT DISTINCT src, dst, label FROM arcs), top AS (SELECT max(src) AS s FROM arcs),
+p AS (SELECT s AS s1, s AS s2 FROM top UNION SELECT d1, d2 FROM (
+SELECT x.dst AS d1, y.dst AS d2 FROM p JOIN a x ON x.src = p.s1 JOIN a y ON y.src = p.s2 AND y.label = x.label WHERE x.label <> '1'
+UNION ALL SELECT x.dst, p.s2 FROM p JOIN a x ON x.src = p.s1 WHERE x.label = '1' UNION ALL SELECT p.s1, y.dst FROM p JOIN a y ON y.src = p.s2 WHERE y.label = '1'))
+SELECT p.s1, p.s2, x.dst AS d1, y.dst AS d2, x.label AS ilabel, y.label AS olabel FROM p JOIN a x ON x.src = p.s1 JOIN a y ON y.src = p.s2 AND y.label = x.label WHERE x.label <> '1'
+UNION ALL SELECT p.s1, p.s2, x.dst, p.s2, '1', '1' FROM p JOIN a x ON x.src = p.s1 WHERE x.label = '1' UNION ALL SELECT p.s1, p.s2, p.s1, y.dst, '1', '1' FROM p JOIN a y ON y.src = p.s2 WHERE y.label = '1'""")
+def j14_reachable(spark, d):
+    """The graph composed with itself from its largest node, arcs of label 1 moving alone."""
+    a = tables.set_graph(arcs(spark, d).select("src", "dst", "label")).select("src", "dst", F.col("label").alias("ilabel"), F.col("label").alias("olabel"))
+    start = a.agg(F.max("src")).first()[0]
+    return tables.compose_reachable(a, a, (start, start), "1")
 
 
 @query()

@@ -64,10 +64,10 @@ def container_text(segments: DataFrame, utt: str = "utt") -> DataFrame:
     return label_lines(segments, utt).select(F.concat(F.lit('"*/'), F.col(utt), F.lit('.rec"\n'), F.col("value"), F.lit("\n.")).alias("value"))
 
 
-def list_columns(rows: DataFrame, line: str, names: list[str], sep: str = " ") -> DataFrame:
-    """A list file's columns by name."""
+def list_columns(rows: DataFrame, line: str, names: list[str], sep: str = " ", keep: list[str] = ()) -> DataFrame:
+    """A list file's columns by name, behind the columns to keep."""
     f = F.split(F.col(line), sep)
-    return rows.select(*(F.get(f, F.lit(k)).alias(n) for k, n in enumerate(names)))
+    return rows.select(*keep, *(F.get(f, F.lit(k)).alias(n) for k, n in enumerate(names)))
 
 
 def corresponding(paths: DataFrame, path: str, existing: DataFrame, other: str, rewrite: list[tuple[str, str]], suffix: str) -> DataFrame:

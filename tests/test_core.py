@@ -641,3 +641,18 @@ def test_containers_join_and_results_are_escaped(spark):
     assert [(r["name"], r["label"]) for r in annotations.label_blocks_of(whole).orderBy("name").collect()] == [("*/a.lab", "y"), ("*/b.lab", "x")]
     seg = spark.createDataFrame([('u"', 0, 10000000, "<S&T>")], "utt string, start_100ns long, end_100ns long, label string")
     assert sinks.result_xml(seg).first()["value"] == '<file name="u&quot;">\n  <segment start="0.00" end="1.00" label="&lt;S&amp;T&gt;"/>\n</file>'
+
+
+def test_composition_reaches_what_paths_reach(spark):
+    from framelake.graphs import tables as t
+
+    kind = "src long, dst long, ilabel string, olabel string"
+    a = spark.createDataFrame([(0, 1, "x", "p"), (1, 2, "y", ""), (2, 0, "z", "q"), (9, 8, "x", "p")], kind)
+    b = spark.createDataFrame([(0, 0, "p", "P"), (0, 1, "", "E"), (1, 1, "q", "Q")], kind)
+    got = {tuple(r) for r in t.compose_reachable(a, b, (0, 0), "").select("s1", "s2", "d1", "d2", "ilabel", "olabel").collect()}
+    want = {(0, 0, 1, 0, "x", "P"), (0, 0, 0, 1, "", "E"), (1, 0, 2, 0, "y", ""), (1, 0, 1, 1, "", "E"), (2, 0, 2, 1, "", "E"), (1, 1, 2, 1, "y", ""), (2, 1, 0, 1, "z", "Q")}
+    assert got == want
+    core = t.cyclic_core(spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3), (4, 4)], "src long, dst long"))
+    assert {tuple(r) for r in core.collect()} == {(1, 2), (2, 1)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (101, 99)], "src long, dst long")
+    assert {r["id"]: r["component"] for r in t.components(chain).collect()} == {**{i: 0 for i in range(41)}, 99: 99, 100: 99, 101: 99}
