@@ -59,7 +59,7 @@ def a7_run_merge(spark, d):
     return segments.merge_runs(segs(spark, d), ["user_id"], ["event_id"], "label", "start", "stop").withColumn("run", F.col("run").cast("long"))
 
 
-@query(f"""WITH RECURSIVE {SEGS}, s AS (SELECT user_id, label, greatest(1, trunc(start / 25.0))::INTEGER AS a0, greatest(1, trunc(stop / 25.0) - 1)::INTEGER AS b0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM seg),
+@query(f"""WITH RECURSIVE {SEGS}, s AS (SELECT user_id, label, greatest(1, trunc(start / 2500.0))::INTEGER AS a0, greatest(1, trunc(stop / 2500.0) - 1)::INTEGER AS b0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM seg),
 f AS (SELECT user_id, k, label, greatest(a0, 1) AS a, greatest(b0, greatest(a0, 1)) AS b FROM s WHERE k = 1
 UNION ALL SELECT s.user_id, s.k, s.label, greatest(s.a0, f.b + 1), greatest(s.b0, greatest(s.a0, f.b + 1)) FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1),
 last AS (SELECT user_id, label, b + 1 AS frame FROM f WHERE (user_id, k) IN (SELECT user_id, max(k) FROM f GROUP BY user_id)),
@@ -67,7 +67,7 @@ fr AS (SELECT user_id, label, unnest(range(a, b + 1)) AS frame FROM f UNION ALL
 SELECT user_id, frame::INTEGER AS frame, label, row_number() OVER (PARTITION BY user_id ORDER BY frame)::INTEGER AS pos FROM fr""")
 def c1_timestamps_to_frames(spark, d):
     s = segs(spark, d)
-    return segments.segments_to_frames(s, ["user_id"], ["event_id"], "start", "stop", "label", 25.0).select("user_id", "frame", "label", "pos")
+    return segments.segments_to_frames(s, ["user_id"], ["event_id"], "start", "stop", "label", 2500.0).select("user_id", "frame", "label", "pos")
 
 
 @query(f"""WITH {SEGS}, len AS (SELECT user_id, (max(event_id) // 100 + 2)::INTEGER AS len FROM events GROUP BY user_id), sp AS (SELECT user_id, unnest(range(1, len + 1)) AS frame FROM len),
