@@ -27,7 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Documents, or what was made of them, that a file of a written table holds, and the files that a table has at least.
-DOCUMENTS, FILES = 20_000, 16
+DOCUMENTS, FILES = 5_000, 16
+#: Texts in an Arrow batch, of which a task and its worker hold a few at once.
+BATCH = 2048
+
+
+def bound_batches(df: DataFrame) -> None:
+    """Have Arrow batches of at most BATCH rows in this session, where it has more: Spark's own 10,000 whole texts are many megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
 
 
 def files_for(documents: int) -> int:

@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ._common import bound_batches
+
 LEAF, RUN = 1024, 256
 #: Characters on each side of a join that its first window takes.
 REACH = 16
@@ -270,6 +272,7 @@ def load(path: str) -> TreeBPE:
 def _map(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, schema: str, row) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
     kind = to_arrow_schema(StructType.fromDDL(schema))
+    bound_batches(docs)
 
     def work(batches):
         import pyarrow as pa

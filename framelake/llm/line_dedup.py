@@ -25,7 +25,7 @@ import io
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, drop_stage, files_for, write_stage
+from ._common import ascii_lower, bound_batches, drop_stage, files_for, write_stage
 
 SHARD_KEYS = 200_000
 SALTS = 8
@@ -162,6 +162,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     or more stays only in the document with the largest id that holds it.
     """
     spark = docs.sparkSession
+    bound_batches(docs)
     if {"n_lines", "n_dropped"} & set(docs.columns):
         raise ValueError("the columns n_lines and n_dropped are taken")
     others = [c for c in docs.columns if c != text_col]

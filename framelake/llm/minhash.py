@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, drop_stage, files_for, hold, write_stage
+from ._common import bound_batches, components, drop_stage, files_for, hold, write_stage
 
 BLOCK = 1024
 #: Salts of a text that others are compared with, and partners a salt of those that have very many.
@@ -313,6 +313,7 @@ def _stray_pairs(members: DataFrame, facts: DataFrame, percent: int, m: int, r:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int = 8, r: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    bound_batches(docs)
     count, held, written = 2 * m * r, [], []
 
     def keep(df):

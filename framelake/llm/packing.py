@@ -27,6 +27,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bound_batches
+
 SIZE = 2048
 #: Tokens a worker plans at once; a run ends with a document.
 RUN = 1 << 20
@@ -124,6 +126,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"), "t")
     rows = rows.withColumn("p", F.spark_partition_id())  # not the task's, which may take several partitions

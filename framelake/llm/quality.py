@@ -34,8 +34,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import bound_batches
+
 CELLS, DIM = 1 << 17, 16
-CACHE = 200_000
+CACHE = 100_000
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000
 LONG, CHUNK = 64, 1 << 16
 _REPEAT = 0  # the cell of a repeated word
@@ -235,6 +237,7 @@ def score_documents(docs: DataFrame, model: dict, text_col: str = "text", score_
     """``docs`` with the score, 0 to 1, of each whole text."""
     if score_col in docs.columns:
         raise ValueError(f"the column {score_col} is taken")
+    bound_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS numbers
 
     @F.pandas_udf("double")

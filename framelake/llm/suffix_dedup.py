@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._common import FILES, write_stage
+from ._common import FILES, bound_batches, write_stage
 
 WIDTH, GRAM = 50, 16
 #: Bytes of contexts that one sort takes; an anchor's own are not split.
 CHUNK = 1 << 18
 #: Bytes of text whose anchors a bucket holds, and documents that send them together.
-BUCKET, BATCH = 1 << 24, 4096
+BUCKET, BATCH = 1 << 24, 2048
 _BASE = 0x9E3779B97F4A7C15
 #: bytes of an anchor in a blob: document, text's hash, position, anchor, context, halves
 _FIELDS = {"d": 8, "v": 8, "pos": 4, "h": 3, "c": 6, "lr": 3}
@@ -409,6 +409,7 @@ def cut_ranges(data: bytes, ranges) -> tuple[bytes, int, int]:
 
 def _apply(docs: DataFrame, width: int, id_col: str, text_col: str, others: list[str], schema: str, value) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, and what ``value`` makes of the remaining bytes) of every row; row holds the columns ``others``."""
+    bound_batches(docs)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
     part = rows.where("d is not null and t is not null")
     # one pass over the texts: their size, and whether an id names several

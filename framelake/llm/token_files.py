@@ -27,7 +27,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import write_stage
+from ._common import bound_batches, write_stage
 
 MINI = 4096
 BLOCK_IDS = 1 << 18
@@ -185,6 +185,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: s
     in the order of their texts.  Null and empty texts hold only ``end_id``.
     A worker holds one block, or one document where that is longer.
     """
+    bound_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     rows = rows.repartitionByRange(F.col("d").asc_nulls_first()).sortWithinPartitions(F.col("d").asc_nulls_first(), F.xxhash64("t"), "t")
     rows = rows.withColumn("p", F.spark_partition_id())  # not the task's, which may take several partitions
