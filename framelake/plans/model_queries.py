@@ -266,11 +266,17 @@ def m7_kmeans_assign(spark, d):
     return f.select(neighbours.assign(F.col("x"), centres).alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _lloyd(k):
+    near = f"a{k} AS (SELECT f.vec_id, any_value(f.x) AS x, arg_min(c.k, (round(list_sum(list_transform(list_zip(f.x, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) * 1e9)::BIGINT * 10 + c.k) AS k FROM frames f, c{k} c GROUP BY 1)"
+    return f"{near}, u{k} AS (SELECT k, unnest(range(64)) AS i, unnest(x) AS v FROM a{k}), c{k + 1} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT k, i, avg(v) AS m FROM u{k} GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(f"WITH {FRAMES}, c0 AS (SELECT vec_id AS k, x AS c FROM frames WHERE vec_id < 4), {', '.join(map(_lloyd, range(5)))} SELECT k::INTEGER AS cluster, (i - 1)::INTEGER AS i, round(c[i], 5) + 0.0 AS centre FROM (SELECT k, c, unnest(range(1, 65)) AS i FROM c5)")
 def m7_kmeans(spark, d):
     f = frames(spark, d)
     centres = neighbours.kmeans(f, "x", [r["x"] for r in f.where("vec_id < 4").orderBy("vec_id").collect()], 5)
-    return spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "cluster int, centre array<double>")
+    rows = spark.createDataFrame([(c, i, float(v)) for c, x in enumerate(centres) for i, v in enumerate(x)], "cluster int, i int, centre double")
+    return rows.withColumn("centre", F.round("centre", 5) + 0.0)
 
 
 _KNN = f"""{FRAMES}, n AS (SELECT q.vec_id AS query, p.vec_id AS id, p.label, list_sum(list_transform(list_zip(q.x, p.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM frames q JOIN frames p ON p.vec_id <> q.vec_id WHERE q.vec_id % 10 = 0),
@@ -336,6 +342,25 @@ def m27_beam(spark, d):
     return hidden.decode_utterances(frames(spark, d), ["utt"], "frame", "x", _hmm(), 4.0).withColumn("score", F.round("score", 4))
 
 
+def _forward(name, m):
+    """SQL of the log likelihood of each utterance under a model of two states with means m and -m."""
+    dens = lambda v: f"-0.5 * (list_sum(list_transform(x, lambda v: (v - ({v})::DOUBLE) * (v - ({v})::DOUBLE) / 0.02::DOUBLE)) + 64 * (ln(0.02::DOUBLE) + ln(2 * pi())))"
+    lse = lambda x, y: f"greatest({x}, {y}) + ln(1 + exp(-abs({x} - ({y}))))"
+    one, two = "v.a + ln(0.9::DOUBLE)", "v.b + ln(0.05::DOUBLE)"
+    three, four = "v.a + ln(0.05::DOUBLE)", "v.b + ln(0.9::DOUBLE)"
+    return f"""e{name} AS (SELECT utt, frame, {dens(m)} AS a, {dens(-m)} AS b FROM frames),
+v{name} AS (SELECT utt, frame, ln(0.5::DOUBLE) + a AS a, ln(0.5::DOUBLE) + b AS b FROM e{name} WHERE frame = 1 UNION ALL SELECT e.utt, e.frame, {lse(one, two)} + e.a, {lse(three, four)} + e.b FROM v{name} v JOIN e{name} e ON e.utt = v.utt AND e.frame = v.frame + 1),
+l{name} AS (SELECT utt, '{name}' AS hyp, {lse("a + ln(0.05::DOUBLE)", "b + ln(0.05::DOUBLE)")} AS score FROM v{name} WHERE (utt, frame) IN (SELECT utt, max(frame) FROM e{name} GROUP BY utt))"""
+
+
+@query(f"WITH RECURSIVE {FRAMES}, {_forward('far', 0.03)}, {_forward('near', 0.01)}, u AS (SELECT * FROM lfar UNION ALL SELECT * FROM lnear) SELECT utt, hyp, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY utt ORDER BY score DESC, hyp) AS k FROM u) WHERE k = 1")
+def m22_hmm_scores(spark, d):
+    """Which of two models each utterance is likelier under, and how likely."""
+    model = lambda m: hidden.ergodic([gaussian.Mixture([1.0], [[v] * 64], [[0.02] * 64]) for v in (m, -m)])
+    found = hidden.HmmSet({"far": model(0.03), "near": model(0.01)}).classify(frames(spark, d), ["utt"], "frame", "x")
+    return found.select("utt", "hyp", F.round("score", 4).alias("score"))
+
+
 @query()
 def m23_baum_welch(spark, d):
     hmm, out = _hmm(), []
@@ -345,11 +370,16 @@ def m23_baum_welch(spark, d):
     return spark.createDataFrame(out, "step int, loglik double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, e AS (SELECT utt, frame, abs(x[1]) AS a, abs(x[2]) AS b FROM frames),
+v AS (SELECT utt, frame, a + 0.7::DOUBLE AS a, b + 0.7::DOUBLE AS b, ['a'] AS pa, ['b'] AS pb FROM e WHERE frame = 1
+UNION ALL SELECT utt, frame, least(aa, ba), least(ab, bb), list_append(CASE WHEN aa <= ba THEN pa ELSE pb END, 'a'), list_append(CASE WHEN ab <= bb THEN pa ELSE pb END, 'b')
+FROM (SELECT e.utt, e.frame, v.a + e.a + 0.1::DOUBLE AS aa, v.b + e.a + 1.0::DOUBLE AS ba, v.a + e.b + 1.0::DOUBLE AS ab, v.b + e.b + 0.1::DOUBLE AS bb, pa, pb FROM v JOIN e ON e.utt = v.utt AND e.frame = v.frame + 1)),
+best AS (SELECT utt, least(a, b) AS cost, CASE WHEN a <= b THEN pa ELSE pb END AS path FROM v WHERE (utt, frame) IN (SELECT utt, max(frame) FROM e GROUP BY utt))
+SELECT utt, unnest(range(1, len(path) + 1))::INTEGER AS frame, unnest(path) AS label, round(cost, 6) AS cost FROM best""")
 def m26_ngram_viterbi(spark, d):
     lm = {"a": (0.7, 0.3), "b": (0.7, 0.3), "a a": (0.1, 0.0), "b b": (0.1, 0.0)}
     f = frames(spark, d).select("utt", "frame", F.array(F.abs(F.col("x")[0]), F.abs(F.col("x")[1])).alias("costs"))
-    return hidden.ngram_viterbi(f, ["utt"], "frame", "costs", ["a", "b"], lm, 2)
+    return hidden.ngram_viterbi(f, ["utt"], "frame", "costs", ["a", "b"], lm, 2).withColumn("cost", F.round("cost", 6))
 
 
 @query()

@@ -272,7 +272,10 @@ def j10_synchronising_join(spark, d):
     return streams.slot_join(events(spark, d), ["user_id"], "event_type", ["event_id"], "event_id", ["view", "click"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type IN ('view', 'click')),
+s AS (SELECT user_id, k, event_id, event_type, 0 AS bundle, event_type = 'view' AS v, event_type = 'click' AS c FROM e WHERE k = 1
+UNION ALL SELECT e.user_id, e.k, e.event_id, e.event_type, s.bundle + (s.v AND s.c)::INTEGER, e.event_type = 'view' OR (s.v AND NOT s.c), e.event_type = 'click' OR (s.c AND NOT s.v) FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+SELECT user_id, bundle, event_type, list(event_id ORDER BY event_id) AS items FROM s WHERE (user_id, bundle) IN (SELECT user_id, bundle FROM s WHERE v AND c) GROUP BY 1, 2, 3""")
 def j9_accumulating_join(spark, d):
     return streams.accumulate_slots(events(spark, d), ["user_id"], "event_type", "event_id", "event_id", ["view", "click"])
 
