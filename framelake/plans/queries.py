@@ -386,11 +386,11 @@ def w13_two_pole(spark, d):
     return framing.two_pole_tracker(events(spark, d), ["user_id"], "event_id", "value", 0.5, 0.1).withColumn("y", F.round("y", 6))
 
 
-@query(f"""WITH RECURSIVE {POS}, y AS (SELECT user_id, pos, event_id, CASE WHEN value < value + 0.1 THEN value END::DOUBLE AS low, value::DOUBLE - 0.1::DOUBLE AS high, true AS over FROM pos WHERE pos = 0
-UNION ALL SELECT user_id, pos, event_id, CASE WHEN x < low THEN x ELSE low END, CASE WHEN x > high AND over THEN x ELSE high END, x > high FROM (SELECT p.user_id, p.pos, p.event_id, p.value::DOUBLE AS x, low + 0.1::DOUBLE AS low, high - 0.1::DOUBLE AS high, over FROM y JOIN pos p ON p.user_id = y.user_id AND p.pos = y.pos + 1))
+@query(f"""WITH RECURSIVE {POS}, y AS (SELECT user_id, pos, event_id, value::DOUBLE AS low, value::DOUBLE AS high, false AS over FROM pos WHERE pos = 0
+UNION ALL SELECT user_id, pos, event_id, CASE WHEN x < low THEN x ELSE low END, CASE WHEN x > high AND over THEN x ELSE high END, x > high FROM (SELECT p.user_id, p.pos, p.event_id, p.value::DOUBLE AS x, low + 0.5::DOUBLE AS low, high - 1.5::DOUBLE AS high, over FROM y JOIN pos p ON p.user_id = y.user_id AND p.pos = y.pos + 1))
 SELECT user_id, event_id, round(low, 6) AS low, round(high, 6) AS high FROM y""")
 def w14_range_tracker(spark, d):
-    out = framing.range_tracker(events(spark, d), ["user_id"], "event_id", "value", 0.1, -0.1)
+    out = framing.range_tracker(events(spark, d), ["user_id"], "event_id", "value", 0.5, -1.5)
     return out.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
 
 
