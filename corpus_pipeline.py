@@ -70,7 +70,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from framelake.llm.packing import pack_documents
 
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return _sized(pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1), docs)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("passages", passages), ("packing", packing)]

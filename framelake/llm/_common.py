@@ -107,7 +107,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
 
     def store(df, count):
-        after = write_stage(df.coalesce(max(8, -(-count // EDGES))), "edges")
+        after = write_stage(df.coalesce(max(2, -(-count // EDGES))), "edges")
         return after, after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()

@@ -320,13 +320,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
         held.append(hold(df))
         return held[-1]
 
-    def store(df, name):
+    def store(df, name, files):
         written.append(write_stage(df, name, files))
         return written[-1]
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t"))
     sets = keep(_sketches(rows, words, count))
     files = files_for(sets.count())
+    few = max(4, files // 10)  # for tables of ids, which are small beside texts
     reps = keep(sets.where("n > 0 and d is not null").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("sig").alias("sig"), F.first("n").alias("n")))
 
     def named(ids):
@@ -335,30 +336,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
 
     tables = _tables(reps, m, r)
     low = tables.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key", "low")
-    members = store(tables.join(low, "key"), "buckets")  # whose shuffles can go, as nothing is worked out from them again
-    pairs = store(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct(), "pairs")
-    links = store(_confirm(pairs, named(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent), "links")
+    members = store(tables.join(low, "key"), "buckets", files)  # whose shuffles can go, as nothing is worked out from them again
+    pairs = store(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct(), "pairs", few)
+    links = store(_confirm(pairs, named(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent), "links", files)
 
     comp = components(links).select(F.col("node").alias("d"), "component")
     placed = members.join(comp, "d", "left").select("key", "place", "d", F.coalesce("component", "d").alias("c"))
     open_ = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("k")).where("a < b and k > 2").select("key")
-    placed = store(placed.join(open_, "key", "left_semi"), "open")
+    placed = store(placed.join(open_, "key", "left_semi"), "open", few)
     ids = placed.select("d").distinct()
     for _ in range(ROUNDS):  # who is left has fewer to share with
         facts = reps.join(ids, "d", "left_semi").join(_shared_shingles(named(ids), words), "d", "left").select("d", "n", F.col("sig").alias("mins"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-        facts = store(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts")
+        facts = store(facts.where(100 * F.col("shared") >= percent * F.col("n")), "facts", few)
         ids = facts.select("d")
     facts = facts.join(_binned(named(ids), words), "d")
     placed = placed.join(facts.select("d"), "d", "left_semi")
-    more = store(_stray_pairs(placed, facts, percent, m, r).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    more = store(_stray_pairs(placed, facts, percent, m, r).join(pairs, ["u", "v"], "left_anti"), "pairs", few)
     if more.limit(1).count():
-        found = store(_confirm(more, named(more.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent), "links")
+        found = store(_confirm(more, named(more.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent), "links", files)
         comp = components(links.unionByName(found)).select(F.col("node").alias("d"), "component")
 
     classes = reps.select("s1", "s2", "d").join(comp, "d", "left").select("s1", "s2", F.coalesce("component", "d").alias("component"))
     out = sets.select("d", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("n") == 0, F.col("d")).otherwise(F.coalesce("component", "d"))
-    done = write_stage(out.select("d", "n", component.alias("component")), "groups", files)
+    done = write_stage(out.select("d", "n", component.alias("component")), "groups", few)
     for df in held:
         df.unpersist()
     for df in written:

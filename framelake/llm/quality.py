@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._common import bound_batches
 
 CELLS, DIM = 1 << 17, 16
-CACHE = 100_000
+CACHE = 200_000
 SAMPLE, SAMPLE_CHARS = 4_000, 20_000
 LONG, CHUNK = 64, 1 << 16
 _REPEAT = 0  # the cell of a repeated word
