@@ -8,6 +8,7 @@ from ..functions import alignment, dsp, extraction
 from ..graphs import tables
 from ..models import gaussian, hidden, language, neighbours
 from ..operators import metrics
+from ..sources import model_files
 from .queries import _MOM, _WORDS, FRAMES, events, frames, query, table, words
 
 # ---- functions ----------------------------------------------------------
@@ -54,6 +55,14 @@ def f11_hamming(spark, d):
     return frames(spark, d).select("vec_id", F.posexplode(F.zip_with("x", w, lambda a, b: a * b)).alias("i", "y")).select("vec_id", "i", (F.round("y", 5) + 0.0).alias("y"))
 
 
+_BESSEL = "list_sum(list_transform(range(0, 25), lambda k: pow(pow(({0}) / 2.0, k) / gamma(k + 1), 2)))"
+
+
+@query("SELECT n::INTEGER AS n, round(" + _BESSEL.format("6.0 * sqrt(1 - pow(2.0 * n / 31 - 1, 2))") + " / " + _BESSEL.format("6.0") + ", 6) AS w FROM range(32) t(n)")
+def f11_kaiser(spark, d):
+    return spark.range(1).select(F.posexplode(dsp.doubles(dsp.kaiser(32, 6.0))).alias("n", "w")).withColumn("w", F.round("w", 6))
+
+
 @query(f"WITH {FRAMES} SELECT vec_id, (i - 1)::INTEGER AS i, round(x[i] - m, 5) + 0.0 AS y FROM (SELECT vec_id, x, list_avg(x) AS m, unnest(range(1, 65)) AS i FROM frames)")
 def f12_remove_dc(spark, d):
     return frames(spark, d).select("vec_id", F.posexplode(dsp.remove_dc(F.col("x"))).alias("i", "y")).withColumn("y", F.round("y", 5) + 0.0)
@@ -99,6 +108,19 @@ def f19_factors(spark, d):
     return p.select("p_partkey", dsp.factors(n).alias("f"), dsp.is_prime(n).alias("prime"))
 
 
+@query("SELECT p_partkey, list_filter(list_filter(range(2, p_partkey + 2), lambda k: (p_partkey + 1) % k = 0), lambda k: len(list_filter(range(2, k), lambda j: k % j = 0)) = 0) AS primes FROM part")
+def f19_prime_factors(spark, d):
+    return table(spark, d, "part").select("p_partkey", dsp.prime_factors(F.col("p_partkey") + 1).alias("primes"))
+
+
+@query(f"WITH {FRAMES}, s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda v: abs(v))) / 2 AS half FROM frames), c AS (SELECT vec_id, half, list_transform(range(1, 65), lambda i: list_sum(list_transform(x[1:i], lambda v: abs(v)))) AS sums FROM s) SELECT vec_id, len(list_filter(sums, lambda v: round(v, 9) <= round(half, 9)))::INTEGER AS k FROM c")
+def f19_cumulative_index(spark, d):
+    """Where half of a vector's absolute sum is passed."""
+    size = F.transform("x", lambda v: F.abs(v))
+    half = F.aggregate(size, F.lit(0.0), lambda s, v: s + v) / 2
+    return frames(spark, d).select("vec_id", dsp.cumulative_index(size, half).alias("k"))
+
+
 @query("SELECT c_custkey, levenshtein(c_name, c_mktsegment)::INTEGER AS cost FROM customer")
 def f21_edit_cost(spark, d):
     return table(spark, d, "customer").select("c_custkey", alignment.edit_cost(F.col("c_name"), F.col("c_mktsegment")).alias("cost"))
@@ -192,6 +214,16 @@ def m3_class_distances(spark, d):
     return r.select(*(F.round(c, 4).alias(c) for c in r.columns))
 
 
+@query(f"WITH {_MOM} SELECT label::VARCHAR AS label, dim::INTEGER AS dim, round(mean, 6) + 0.0 AS mean, round(greatest(var, 1e-6), 6) AS var FROM m")
+def k4_model_text(spark, d):
+    """The Gaussian of each class written as macro text and parsed again."""
+    rows = gaussian.class_gaussians(frames(spark, d), "label", F.col("x")).collect()  # classes
+    text = model_files.macro_text({str(r["label"]): gaussian.Mixture([1.0], [r["mean"]], [r["var"]]) for r in rows})
+    found = {k: next(iter(m["states"].values())) for k, m in model_files.parse_macros(text).items()}
+    out = [(k, i, a, b) for k, m in found.items() for i, (a, b) in enumerate(zip(m.means[0], m.covs[0]))]
+    return spark.createDataFrame(out, "label string, dim int, mean double, var double").select("label", "dim", (F.round("mean", 6) + 0.0).alias("mean"), F.round("var", 6).alias("var"))
+
+
 @query(f"WITH {_LL} SELECT vec_id, c AS model, ll AS score FROM s")
 def m25_frame_scores(spark, d):
     f = frames(spark, d)
