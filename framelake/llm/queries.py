@@ -81,8 +81,33 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op6_quality, op7_minhash, op8_token_files, op9_packing, op10_line_dedup)}
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge_texts
+
+    return judge_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("failed")
+
+
+QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op6_quality, op7_minhash, op8_token_files, op9_packing, op10_line_dedup, op13_quality_rules)}
+_STOPS = ["a", "an", "and", "are", "avec", "be", "con", "dans", "das", "de", "del", "dem", "den", "der", "des", "die", "du", "ein", "eine", "el", "en", "es", "est", "et", "for", "für", "have", "in", "is", "ist", "it", "la", "las", "le", "les", "los", "mit", "nicht", "of", "on", "para", "por", "pour", "que", "se", "sich", "sur", "that", "the", "to", "un", "una", "und", "une", "von", "was", "with", "y", "zu"]
 ORACLE_SQL: dict[str, str] = {
+    "op13_quality_rules": f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+p AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM d)),
+r AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM p),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS j FROM r WHERE k > 1) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+    len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}', '{x.capitalize()}'" for x in _STOPS)}))) AS n_stops,
+    len(list_filter(l, lambda x: ltrim(x, ' ')[1] IN ('-', '*', '•'))) AS n_bullets, len(list_filter(l, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) AS n_ellipses
+  FROM d LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  CASE WHEN base_failed THEN false ELSE word_chars / n_words BETWEEN 3 AND 10 AND n_symbols / n_words <= 0.1 AND n_stops / n_words >= 0.02
+    AND n_dup_lines / n_lines <= 0.5 AND n_bullets / n_lines <= 0.9 AND n_ellipses / n_lines <= 0.3 END AS kept
+FROM b""",
     "op4_topk": """
 WITH v AS MATERIALIZED (
   SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)) AS x FROM embeddings
