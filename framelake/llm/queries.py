@@ -81,13 +81,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import align_tokenizers
+
+    return align_tokenizers(spark.read.parquet(f"{sf_dir}/documents.parquet"), _path("byte_bpe_50k.json"), _path("piece_bpe_32k.model"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge_texts
 
     return judge_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op6_quality, op7_minhash, op8_token_files, op9_packing, op10_line_dedup, op13_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op6_quality, op7_minhash, op8_token_files, op9_packing, op10_line_dedup, op12_token_alignment, op13_quality_rules)}
 _STOPS = ["a", "an", "and", "are", "avec", "be", "con", "dans", "das", "de", "del", "dem", "den", "der", "des", "die", "du", "ein", "eine", "el", "en", "es", "est", "et", "for", "für", "have", "in", "is", "ist", "it", "la", "las", "le", "les", "los", "mit", "nicht", "of", "on", "para", "por", "pour", "que", "se", "sich", "sur", "that", "the", "to", "un", "una", "und", "une", "von", "was", "with", "y", "zu"]
 ORACLE_SQL: dict[str, str] = {
     "op13_quality_rules": f"""
