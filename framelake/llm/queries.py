@@ -81,6 +81,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import rank_documents
+
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return rank_documents(docs, items, k=50)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_alignment import align_tokenizers
 
@@ -93,9 +100,23 @@ def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op6_quality, op7_minhash, op8_token_files, op9_packing, op10_line_dedup, op12_token_alignment, op13_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ego_join, op2_url_lm, op3_suffix_array, op4_topk, op5_bpe_tree, op6_quality, op7_minhash, op8_token_files, op9_packing, op10_line_dedup, op11_ranked_search, op12_token_alignment, op13_quality_rules)}
 _STOPS = ["a", "an", "and", "are", "avec", "be", "con", "dans", "das", "de", "del", "dem", "den", "der", "des", "die", "du", "ein", "eine", "el", "en", "es", "est", "et", "for", "für", "have", "in", "is", "ist", "it", "la", "las", "le", "les", "los", "mit", "nicht", "of", "on", "para", "por", "pour", "que", "se", "sich", "sur", "that", "the", "to", "un", "una", "und", "une", "von", "was", "with", "y", "zu"]
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": """
+WITH t AS MATERIALIZED (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+q AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), c),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN n USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50""",
     "op13_quality_rules": f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
