@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bound_batches, components, drop_stage, files_for, hold, write_stage
+from ._common import HUBS, bound_batches, components, drop_stage, files_for, hold, write_stage
 
 BLOCK = 1024
 #: Salts of a text that others are compared with, and partners a salt of those that have very many.
@@ -37,7 +37,7 @@ SALTS, PARTNERS = 16, 256
 BINS, SLACK = 1024, 5
 #: Times that documents are left out for what they share.
 ROUNDS = 1
-#: odd multipliers for word hashes, word places and set functions (public constants of splitmix64 and xxhash)
+#: odd multipliers for byte blocks, word places and set functions (public constants of splitmix64 and xxhash)
 _BASE, _PLACES = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
@@ -49,6 +49,37 @@ def _fmix(x):
     return x ^ (x >> np.uint64(33))
 
 
+#: Longer spans are hashed one by one by xxh3.
+LONG = 256
+
+
+def hash_spans(raw, start, stop):
+    """64-bit hashes of ``raw[start[k] : stop[k]]``.
+
+    Eight bytes at a time are mixed, added to what is mixed already and mixed
+    again, so spans of one length up to eight bytes never collide, and no pattern
+    of longer ones does but by chance.
+    """
+    import numpy as np
+    import xxhash
+
+    size = (stop - start).astype(np.int64)
+    out = _fmix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+    long = np.flatnonzero(size > LONG)
+    for k in long.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k] : stop[k]].tobytes(), seed=1)
+    todo = np.flatnonzero((size > 0) & (size <= LONG))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
+    at, left = start[todo], size[todo]
+    while len(todo):
+        block = eight[at].view("<u8").ravel()
+        block &= np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * np.minimum(left, 8).astype(np.uint64))
+        out[todo] = _fmix(out[todo] * np.uint64(_PLACES[0]) + _fmix(block + np.uint64(_PLACES[1])))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return out
+
+
 class Shingler:
     """64-bit hashes of the distinct n-word shingles of texts."""
 
@@ -58,24 +89,10 @@ class Shingler:
         self.words = words
         mul = [_PLACES[k % 5] * (2 * (k // 5) + 1) & (2**64 - 1) for k in range(words)]
         self.mul = np.array(mul, np.uint64)
-        self.table = _fmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
         self.blank = np.zeros(256, bool)
         self.blank[[32, *range(9, 14)]] = True
-        lower = np.arange(256, dtype=np.uint8)
-        lower[65:91] += 32
-        self.lower, self.powers, self.inverse = lower, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _grow(self, n: int):
-        import numpy as np
-
-        if len(self.powers) < n:
-            base, inv = _BASE | 1, pow(_BASE | 1, -1, 2**64)
-            for name, b in (("powers", base), ("inverse", inv)):
-                x, have = np.ones(1, np.uint64), 1
-                while have < n:  # b^0..b^(2k-1) from b^0..b^(k-1)
-                    x = np.concatenate([x, x * np.uint64(pow(b, have, 2**64))])
-                    have *= 2
-                setattr(self, name, x)
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
 
     def word_hashes(self, data: bytes):
         """Hashes of the words of UTF-8 text, A-Z lowered."""
@@ -85,11 +102,7 @@ class Shingler:
         gap = np.concatenate([[True], self.blank[raw], [True]])
         edge = np.diff(gap.astype(np.int8))
         start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        self._grow(len(raw) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.table[raw] * self.powers[: len(raw)], dtype=np.uint64)])
-        return _fmix((total[stop] - total[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
+        return hash_spans(raw, start, stop)
 
     def shingles(self, text: str | None):
         """Sorted distinct hashes; of a text with fewer words, one for the whole sequence."""
@@ -173,6 +186,19 @@ def _tables(reps: DataFrame, m: int, r: int) -> DataFrame:
     return reps.select("d", "sig").mapInArrow(work, "key long, d long, place int")
 
 
+def _in_buckets(tables: DataFrame, low: DataFrame, rows: int) -> DataFrame:
+    """(key, d, place, low) of the rows of ``tables`` in buckets of two and more; rows: a bound of those of ``tables``.
+
+    A bucket with more than a thousandth of all rows, of which there are at most
+    HUBS, is not dealt by its key: its smallest member is sent to all tasks.
+    """
+    large = F.col("k") > max(BLOCK, -(-rows // HUBS))
+    hubs = F.broadcast(low.where(large).select("key", F.col("low").alias("h")))
+    marked = tables.join(hubs, "key", "left")
+    others = marked.where("h is null").drop("h").join(low.where(~large).select("key", "low"), "key")
+    return marked.where("h is not null").select("key", "d", "place", F.col("h").alias("low")).unionByName(others.select("key", "d", "place", "low"))
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * |both| >= percent * |either|.
 
@@ -331,12 +357,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, m: int =
     reps = keep(sets.where("n > 0 and d is not null").groupBy("s1", "s2").agg(F.min("d").alias("d"), F.first("sig").alias("sig"), F.first("n").alias("n")))
 
     def named(ids):
-        """Texts of the ids, one an id."""
-        return rows.join(ids.hint("merge"), "d", "left_semi").groupBy("d").agg(F.min("t").alias("t"))
+        """Texts of the ids, one an id: the smallest with a word."""
+        return rows.where(F.col("t").rlike("[^ \\t-\\r]")).join(ids.hint("merge"), "d", "left_semi").groupBy("d").agg(F.min("t").alias("t"))
 
     tables = _tables(reps, m, r)
-    low = tables.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high").select("key", "low")
-    members = store(tables.join(low, "key"), "buckets", files)  # whose shuffles can go, as nothing is worked out from them again
+    low = tables.groupBy("key").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count(F.lit(1)).alias("k")).where("low < high").select("key", "low", "k")
+    members = store(_in_buckets(tables, low, m * m * sets.count()), "buckets", files)  # whose shuffles can go, as nothing is worked out from them again
     pairs = store(members.where("low < d").select(F.col("low").alias("u"), F.col("d").alias("v")).distinct(), "pairs", few)
     links = store(_confirm(pairs, named(pairs.select(F.explode(F.array("u", "v")).alias("d")).distinct()), words, percent), "links", files)
 

@@ -644,6 +644,66 @@ def test_minhash(spark, docs, words, percent):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_of_a_pattern_and_its_complement_differ(spark):
+    """Polynomials modulo 2^64 give both one value, whatever the base."""
+    from framelake.llm.minhash import hash_spans, near_duplicates
+
+    swap = str.maketrans("ab", "ba")
+    rows = []
+    for k in range(4, 13):
+        word = thue_morse(1 << k)
+        rows += [(2 * k, word), (2 * k + 1, word.translate(swap))]
+    got = near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
+    found = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    hashes = [int(hash_spans(x, np.array([0]), np.array([len(x)]))[0]) for x in found]
+    assert len(set(hashes)) == len(rows) and len({h & 0xFFFFFFFF for h in hashes}) == len(rows)
+
+
+def test_hashes_of_spans_are_those_of_their_bytes():
+    from framelake.llm.minhash import hash_spans
+
+    r = np.random.default_rng(6)
+    raw = r.integers(97, 99, 5000, dtype=np.uint8)
+    start = r.integers(0, 4600, 3000)
+    stop = start + r.integers(0, 400, 3000)
+    of = {}
+    for a, b, h in zip(start, stop, hash_spans(raw, start, stop)):
+        assert of.setdefault(raw[a:b].tobytes(), h) == h
+    assert len(set(of.values())) == len(of)
+
+
+@pytest.mark.parametrize("blank", ["", " ", "\n\t "])
+def test_minhash_of_an_id_with_an_empty_row(spark, blank):
+    """The smallest text of an id that has words is the one confirmed."""
+    from framelake.llm.minhash import near_duplicates
+
+    r = random.Random(41)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"]))]
+    for more in ([], [(1, blank)], [(2, blank), (1, blank), (1, None)]):
+        got = near_duplicates(frame(spark, rows + more), 3, 85).collect()
+        assert {(x["doc_id"], x["component_id"]) for x in got if x["n_shingles"]} == {(1, 1), (2, 1)}
+
+
+def test_a_bucket_of_a_third_of_all_rows_is_not_dealt_by_its_key(spark):
+    """Its rows meet the smallest member where they are; the shuffled join has no bucket of over a thousandth."""
+    from pyspark.sql import functions as F
+
+    from framelake.llm import minhash as m
+
+    tables = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.floor(F.col("id") / 4) + 100).alias("key"), F.col("id").alias("d"), F.lit(0).alias("place"))
+    low = tables.groupBy("key").agg(F.min("d").alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    got = m._in_buckets(tables, low.select("key", "low", "k"), 30_000)
+    want = tables.join(low.select("key", "low"), "key").select("key", "d", "place", "low")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("key = 7").count() == 10_000
+
+
 def test_minhash_links_a_pair_that_its_bucket_is_left_with(spark):
     """Forty texts of smaller ids share 150 of 200 shingles with a near-copy pair and so every bucket, but cannot match."""
     from framelake.llm.minhash import near_duplicates
