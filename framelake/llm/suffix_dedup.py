@@ -57,11 +57,11 @@ class Anchors:
     def __init__(self, width: int, gram: int = GRAM):
         import numpy as np
 
-        from .minhash import _fmix
+        from .minhash import _fmix, hash_spans
 
         if width < gram:
             raise ValueError("width is below the gram's")
-        self.width, self.gram, self.mix = width, gram, _fmix
+        self.width, self.gram, self.mix, self.spans = width, gram, _fmix, hash_spans
         self.half = (width - gram + 1) // 2
         self.table = _fmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
         self.powers = self.inverse = np.ones(1, np.uint64)
@@ -106,7 +106,7 @@ class Anchors:
         edge = np.zeros(w - 1, np.uint64)
         at = np.flatnonzero(self._slide(np.concatenate([edge, low, edge]), w, np.maximum) == grams)
         a, b = np.maximum(at - (w - 1), 0), np.minimum(at + self.width, n)
-        context = self.mix((total[b] - total[a]) * self.inverse[a] + ((b - a) * 4096 + (at - a)).astype(np.uint64))
+        context = self.mix(self.spans(raw, a, b) + (at - a).astype(np.uint64) * np.uint64(_BASE))
 
         def half(a, b):
             inside = (a >= 0) & (b <= n)
