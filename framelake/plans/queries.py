@@ -525,8 +525,3 @@ def a10_variance_floor(spark, d):
 def a11_log_spaced(spark, d):
     out = metrics.log_spaced_sums(events(spark, d), ["user_id"], "event_id", "value")
     return out.withColumns({"sum": F.round("sum", 4), "sumsq": F.round("sumsq", 3)})
-
-
-from . import model_queries, more_queries  # noqa: E402,F401  they register more
-
-FLAGSHIP = QUERIES["m3_gaussian_confusion"]
