@@ -113,6 +113,15 @@ def decode_utterances(df: DataFrame, part: list[str], order: str, x: str, hmm: H
     return df.select(*part, order, x).groupBy(*part).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*part, order]) + ", state int, score double")
 
 
+def empty_frame(schema: str):
+    """An empty frame with the columns of a schema."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = {"long": "int64", "bigint": "int64", "int": "int32", "double": "float64"}
+    return pd.DataFrame({c: np.zeros(0, kinds.get(k, "object")) for c, k in (x.split(" ") for x in schema.split(", "))})
+
+
 def _gather(hmm: Hmm, m):
     """Accumulators of one utterance as a vector; None if it has no likelihood."""
     import numpy as np
@@ -161,7 +170,7 @@ def accumulate(df: DataFrame, part: list[str], order: str, x: str, hmms: dict[st
 
         name = pdf["_label"].iloc[0]
         v = _gather(hmms[name], np.array(pdf.sort_values(order)[x].tolist(), float)) if name in hmms else None
-        return pd.DataFrame({"label": [], "i": [], "v": []}) if v is None else pd.DataFrame({"label": name, "i": np.arange(len(v)), "v": v})
+        return empty_frame("label string, i long, v double") if v is None else pd.DataFrame({"label": name, "i": np.arange(len(v)), "v": v})
 
     parts = df.select(*part, order, x, of.alias("_label")).where("_label is not null").groupBy(*part, "_label").applyInPandas(run, "label string, i long, v double")
     out: dict = {}

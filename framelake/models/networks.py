@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .gaussian import Mixture
-from .hidden import Hmm, _updated
+from .hidden import Hmm, _updated, empty_frame
 
 #: Nodes and arcs that a network may have, as every task holds it.
 MOST_ROWS = 2_000_000
@@ -331,6 +331,9 @@ def _lattice_sums(arcs, hmms, m, start, end):
     return total, out
 
 
+SUMS = "model string, i long, v double"
+
+
 def _by_utterance(df: DataFrame, lattices: DataFrame, part: list[str], order: str, x: str, run, schema: str) -> DataFrame:
     """``run(key, arcs, frames in order)`` of each utterance that has frames and a lattice."""
 
@@ -339,7 +342,7 @@ def _by_utterance(df: DataFrame, lattices: DataFrame, part: list[str], order: st
         import pandas as pd
 
         if not len(frames) or not len(arcs):
-            return pd.DataFrame({c.split(" ")[0]: [] for c in schema.split(", ")})
+            return empty_frame(schema)
         rows = [(s, d, None if pd.isna(m) else m, p) for s, d, m, p in zip(arcs["src"], arcs["dst"], arcs["model"], arcs["prob"])]
         return run(key, sorted(rows, key=str), np.array(frames.sort_values(order)[x].tolist(), float))
 
@@ -378,12 +381,12 @@ def train_on_lattices(df: DataFrame, lattices: DataFrame, part: list[str], order
 
             total, sums = _lattice_sums(arcs, now, m, start, end)
             if not sums:
-                return pd.DataFrame({"model": [], "i": [], "v": []})
-            rows = [pd.DataFrame({"model": k, "i": np.arange(len(v)), "v": v}) for k, v in sums.items()]
-            return pd.concat([*rows, pd.DataFrame({"model": [""], "i": [0], "v": [total]})])
+                return empty_frame(SUMS)
+            sums = {"": [total], **sums}
+            return pd.DataFrame({"model": [k for k, v in sums.items() for _ in v], "i": [i for v in sums.values() for i in range(len(v))], "v": np.concatenate(list(sums.values()))})
 
         found: dict = {}
-        sums = _by_utterance(df, lattices, part, order, x, run, "model string, i long, v double")
+        sums = _by_utterance(df, lattices, part, order, x, run, SUMS)
         for r in sums.groupBy("model", "i").agg(F.sum("v").alias("v")).orderBy("model", "i").collect():  # the models' sizes
             found.setdefault(r["model"], []).append(r["v"])
         trace.append(found.pop("", [0.0])[0])

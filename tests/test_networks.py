@@ -220,3 +220,12 @@ def test_network_tables_and_decoded_utterances(spark):
         assert [got[u, t]["tokens"] for t in range(12)] == counts
     dead = network_from_tables(nodes, arcs.where("src <> 40 or dst <> 50"), 10, 50, ["b", "a"])[0]
     assert all(r["node"] is None and r["score"] is None for r in decode_network(df, ["u"], "t", "x", dead, mixtures).collect())
+
+
+def test_utterances_without_a_model_are_left_out(spark):
+    from framelake.models.hidden import accumulate
+
+    r = random.Random(1)
+    df = spark.createDataFrame([(u, t, [0.5 * u, 0.1 * t], "x" if u else "other") for u in range(3) for t in range(4)], "u int, t int, x array<double>, label string")
+    found = accumulate(df, ["u"], "t", "x", {"x": models(r)["x"]}, "label")
+    assert list(found) == ["x"] and found["x"][1] == 8
