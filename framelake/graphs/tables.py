@@ -111,28 +111,6 @@ def predicates(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     return one.select("self_loop", "multiarcs", cycle.alias("cycle"), "starts", "ends", F.col("join").alias("has_join"), (F.col("nodes") - F.col("followers") <= 1).alias("connected"), ((F.col("starts") == 1) & ~F.col("join") & ~cycle).alias("tree"), (~F.col("wide_cycle") & (F.col("starts") == 1) & (F.col("ends") == 1)).alias("lattice"))
 
 
-def topological_depth(arcs: DataFrame, most: int = 1000) -> DataFrame:
-    """Longest-path depth of each node from the start nodes; a cycle raises."""
-    nodes = arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    starts = nodes.join(arcs.select(F.col("dst").alias("id")), "id", "left_anti")
-    depth, k, bound = starts.withColumn("depth", F.lit(0)), 0, nodes.count()
-    if not starts.limit(1).count() and bound:
-        raise ValueError("the graph has a cycle")
-    while True:
-        # a round lengthens the longest known path to each node by one arc
-        k += 1
-        if k > min(bound, most):
-            raise ValueError("the graph has a cycle")
-        step = arcs.join(depth.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth"))
-        after = cut_lineage(depth.union(step).groupBy("id").agg(F.max("depth").alias("depth")))
-        if not after.join(depth, ["id", "depth"], "left_anti").limit(1).count():
-            break
-        depth = after
-    if depth.count() < bound:
-        raise ValueError("the graph has a cycle")
-    return depth
-
-
 def best_paths(arcs: DataFrame, start, end, n: int, most: int = 100) -> DataFrame:
     """The n cheapest paths of a DAG: rank, cost, path (node ids); ``arcs`` has src, dst, cost.
 

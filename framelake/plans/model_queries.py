@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import alignment, dsp, extraction
-from ..graphs import tables
+from ..graphs import orders, tables
 from ..models import gaussian, hidden, language, neighbours
 from ..operators import metrics
 from ..sources import model_files
@@ -516,7 +516,42 @@ def g1_predicates(spark, d):
 
 @query(f"WITH RECURSIVE {_ARCS}, r AS (SELECT id, 0 AS depth FROM nodes WHERE id NOT IN (SELECT dst FROM arcs) UNION SELECT a.dst, r.depth + 1 FROM r JOIN arcs a ON a.src = r.id) SELECT id, max(depth)::INTEGER AS depth FROM r GROUP BY 1")
 def t6_topological_depth(spark, d):
-    return tables.topological_depth(arcs(spark, d))
+    return orders.topological_depth(arcs(spark, d))
+
+
+_DEPTH = f"{_ARCS}, r AS (SELECT id, 0 AS depth FROM nodes WHERE id NOT IN (SELECT dst FROM arcs) UNION SELECT a.dst, r.depth + 1 FROM r JOIN arcs a ON a.src = r.id), n AS (SELECT id, depth, row_number() OVER (ORDER BY depth, id) - 1 AS node FROM (SELECT id, max(depth)::INTEGER AS depth FROM r GROUP BY 1))"
+
+
+@query(f"WITH RECURSIVE {_DEPTH} SELECT id, depth, node FROM n")
+def g3_canonical_nodes(spark, d):
+    """Nodes numbered in a topological order."""
+    return orders.canonical_dag(arcs(spark, d))[0]
+
+
+@query(f"WITH RECURSIVE {_DEPTH} SELECT a.id, row_number() OVER (ORDER BY y.node, a.id) - 1 AS arc, x.node AS src, y.node AS dst, a.label FROM arcs a JOIN n x ON x.id = a.src JOIN n y ON y.id = a.dst")
+def g3_canonical_arcs(spark, d):
+    """Arcs by the numbers of their nodes, in the order of the canonical graph."""
+    return orders.canonical_dag(arcs(spark, d))[1]
+
+
+@query(f"""WITH RECURSIVE {_ARCS}, f AS (SELECT id FROM nodes WHERE id % 7 = 3 UNION SELECT a.dst FROM f JOIN arcs a ON a.src = f.id),
+b AS (SELECT id FROM nodes WHERE id < 9 UNION SELECT a.src FROM b JOIN arcs a ON a.dst = b.id)
+SELECT id, src, dst, label FROM arcs WHERE src IN (SELECT id FROM f) AND dst IN (SELECT id FROM f) AND src IN (SELECT id FROM b) AND dst IN (SELECT id FROM b)""")
+def g3_closure_lattice(spark, d):
+    """The arcs between every seventh customer and the smallest numbers."""
+    a = arcs(spark, d)
+    return orders.closure_lattice(a, nodes(a).where("id % 7 = 3"), nodes(a).where("id < 9"))[1]
+
+
+@query(f"""WITH RECURSIVE {_ARCS}, w AS (SELECT * FROM arcs UNION ALL SELECT -id - 1, dst, src, label FROM arcs WHERE id % 3 = 0),
+r AS (SELECT src AS a, dst AS b FROM w UNION SELECT r.a, w.dst FROM r JOIN w ON w.src = r.b), c AS (SELECT a FROM r WHERE a = b),
+core AS (SELECT b AS id FROM r WHERE a IN (SELECT a FROM c) INTERSECT SELECT a FROM r WHERE b IN (SELECT a FROM c))
+SELECT id, src, dst, label FROM w WHERE NOT (src > dst AND src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core))""")
+def g3_without_cycles(spark, d):
+    """Every third order also leads back; the cycles are broken where they lead to smaller numbers."""
+    a = arcs(spark, d)
+    back = a.where("id % 3 = 0").select((-F.col("id") - 1).alias("id"), F.col("dst").alias("src"), F.col("src").alias("dst"), "label")
+    return orders.without_cycles(a.unionByName(back))
 
 
 @query(f"WITH RECURSIVE {_ARCS}, e AS (SELECT src, dst, min(id % 13)::DOUBLE AS cost FROM arcs GROUP BY 1, 2), p AS (SELECT dst AS node, cost FROM e WHERE src = (SELECT max(src) FROM e) UNION ALL SELECT e.dst, p.cost + e.cost FROM p JOIN e ON e.src = p.node) SELECT k::INTEGER AS rank, cost FROM (SELECT cost, row_number() OVER (ORDER BY cost) AS k FROM p WHERE node = 0) WHERE k <= 5")

@@ -275,11 +275,12 @@ def test_kmeans_and_pca(spark):
 
 def test_graphs_and_grammars(spark):
     from framelake.graphs import grammar as g
+    from framelake.graphs import orders
     from framelake.graphs import tables as t
 
     cyc = spark.createDataFrame([(0, 1, "a"), (1, 0, "b")], "src long, dst long, label string")
     with pytest.raises(ValueError):
-        t.topological_depth(cyc)
+        orders.topological_depth(cyc)
     p = t.predicates(t.degrees(cyc.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), cyc).select("id"), cyc).first()
     assert p["cycle"] and not p["lattice"] and p["connected"] and not p["self_loop"]
     k4 = spark.createDataFrame([(i, j) for i in range(4) for j in range(i)] + [(3, 0), (5, 5)], "u long, v long")
