@@ -29,6 +29,7 @@ their names.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -50,12 +51,11 @@ _loaded: dict[tuple[str, str], "Aligner"] = {}
 
 #: Token intervals ``a`` and ``b`` (stretch, pos, id, s, e) with positions and bytes that go on from stretch to stretch.
 LINKS = """
-CREATE OR REPLACE TEMP TABLE links AS
 WITH found AS (
-  SELECT a.stretch, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s
+  SELECT a.stretch, a.id * 65536 + b.id AS pair FROM a ASOF JOIN b ON a.s >= b.s
   UNION ALL
-  SELECT a.stretch, a.id, b.id FROM a JOIN b ON b.s > a.s AND b.s < a.e)
-SELECT stretch, a, b, count(*)::INTEGER AS k FROM found GROUP BY ALL"""
+  SELECT a.stretch, a.id * 65536 + b.id FROM a JOIN b ON b.s > a.s AND b.s < a.e)
+SELECT stretch, pair, count(*) AS k FROM found GROUP BY ALL ORDER BY ALL"""
 #: The group of each token of {x}, in order: the sum of the ends that both have before it.
 GROUPS = """
 SELECT coalesce(sum((o.e IS NOT NULL)::INTEGER) OVER (ORDER BY x.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g
@@ -78,11 +78,11 @@ class Aligner:
             raise ValueError("more than 65536 ids")
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("pieces go across spaces")
-        self.bytes_a = self.a.surface
+        self.bytes_a = [self.a.surface.get(i, b"") for i in range(1 << 16)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.size_a = np.zeros(1 << 16, np.int64)
-        self.size_a[list(self.bytes_a)] = [len(x) for x in self.bytes_a.values()]
-        self.size_b = np.array([len(x) for x in self.bytes_b])
+        self.size_a, self.size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.opens = np.array([p[:1] == "▁" for p in pieces])
+        self.names = list(map(str, range(1 << 16)))
         # nothing is spilled: a call's tables are bounded by BYTES, or one stretch
         self.db = duckdb.connect(":memory:", config={"threads": 1, "temp_directory": ""})
         self.forget()
@@ -119,39 +119,64 @@ class Aligner:
                 self._align(new[at : k + 1])
                 at, size = k + 1, 0
 
+    def _together(self, new: list[str]):
+        """Ids of stretches that hold no space, encoded as one text: (A ids, their number, B ids, their number), or None if that cannot be told."""
+        import numpy as np
+
+        text = " ".join(new)
+        if _EDGY.search(text) or text.count(" ") != len(new) - 1 or len(max(new, key=len)) > 256:
+            return None
+        a, b = self.a.fast.encode_to_numpy(" " + text).astype(np.int64), np.array(self.b.encode(text), np.int64)
+        at = [np.flatnonzero(opens[ids]) for opens, ids in ((self.a.opens, a), (self.opens, b))]
+        if len(at[0]) != len(new) or len(at[1]) != len(new):
+            return None
+        return a, np.diff(at[0], append=len(a)), b, np.diff(at[1], append=len(b))
+
+    def _encode(self, new: list[str]):
+        """As ``_together``, and which stretches both tokenizers give back."""
+        import numpy as np
+
+        size = np.array([len(u.encode("utf-8", "surrogatepass")) + 1 for u in new])
+        found = self._together(new)
+        if found:
+            a, n_a, b, n_b = found
+        else:
+            each_a = [np.frombuffer(self.a.piece(" " + u), "<u2").astype(np.int64) for u in new]
+            each_b = [np.array(x, np.int64) for x in self.b.encode(new, num_threads=1)]
+            (a, n_a), (b, n_b) = ((np.concatenate(x), np.array(list(map(len, x)))) for x in (each_a, each_b))
+        sums = [np.bincount(np.repeat(np.arange(len(new)), n), weights=of[ids], minlength=len(new)) for of, ids, n in ((self.size_a, a, n_a), (self.size_b, b, n_b))]
+        given = (sums[0] == size) & (sums[1] == size)
+        joined = [b"".join(map(of.__getitem__, ids.tolist())) for of, ids in ((self.bytes_a, a), (self.bytes_b, b))]
+        if not given.all() or joined[0] != joined[1] or joined[0] != ("".join(" " + u for u in new)).encode("utf-8", "surrogatepass"):
+            ends = [np.concatenate([[0], np.cumsum(x)]).astype(int).tolist() for x in sums]
+            given &= [(" " + u).encode("utf-8", "surrogatepass") == joined[0][p:q] == joined[1][r:t] for u, p, q, r, t in zip(new, ends[0], ends[0][1:], ends[1], ends[1][1:])]
+        return a, n_a, b, n_b, given
+
     def _align(self, new: list[str]):
         import numpy as np
         import pyarrow as pa
 
-        whole = [(" " + u).encode("utf-8", "surrogatepass") for u in new]
-        ids_a = [np.frombuffer(self.a.piece(" " + u), "<u2").astype(np.int64) for u in new]
-        ids_b = [np.array(x, np.int64) for x in self.b.encode(new, num_threads=1)]
-        given = [b"".join(map(self.bytes_a.__getitem__, x.tolist())) == w == b"".join(map(self.bytes_b.__getitem__, y.tolist())) for x, y, w in zip(ids_a, ids_b, whole)]
-        good = np.flatnonzero(given)
+        a, n_a, b, n_b, given = self._encode(new)
         facts, texts = np.full((len(new), 4), -1, np.int64), [""] * len(new)
         counts, pair, times = np.zeros(len(new), np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(good):
-            for name, ids, size in (("a", ids_a, self.size_a), ("b", ids_b, self.size_b)):
-                flat = np.concatenate([ids[k] for k in good])
-                end = np.cumsum(size[flat])
-                self.db.register(name, pa.table({"stretch": np.repeat(good, [len(ids[k]) for k in good]), "pos": np.arange(len(flat)), "id": flat, "s": end - size[flat], "e": end}))
-            self.db.execute(LINKS)
-            links = self.db.execute("SELECT stretch, a * 65536 + b AS pair, k FROM links ORDER BY stretch, pair").fetchnumpy()
-            groups = [np.asarray(self.db.execute(GROUPS.format(x=x, o=o)).fetchnumpy()["g"], np.int64) for x, o in (("a", "b"), ("b", "a"))]
+        if given.any():
+            of = [np.repeat(np.arange(len(new)), n) for n in (n_a, n_b)]
+            ids = [x[given[k]] for x, k in zip((a, b), of)]
+            of = [k[given[k]] for k in of]
+            for name, x, k, size in zip("ab", ids, of, (self.size_a, self.size_b)):
+                end = np.cumsum(size[x])
+                self.db.register(name, pa.table({"stretch": k, "pos": np.arange(len(x)), "id": x, "s": end - size[x], "e": end}))
+            links = {k: np.asarray(v).astype(np.int64) for k, v in self.db.execute(LINKS).fetchnumpy().items()}
+            groups = [np.asarray(self.db.execute(GROUPS.format(x=x, o=o)).fetchnumpy()["g"], np.int64) for x, o in ("ab", "ba")]
             self.db.unregister("a")
             self.db.unregister("b")
-            of = np.repeat(good, [len(ids_a[k]) for k in good])[np.flatnonzero(np.diff(groups[0], prepend=-1))]  # each group's stretch
-            facts[:, 2] = np.bincount(of, minlength=len(new))
-            at = np.asarray(links["stretch"], np.int64)
-            pair, times = np.asarray(links["pair"]).astype(np.uint32), np.asarray(links["k"]).astype(np.int64)
-            counts = np.bincount(at, minlength=len(new))
-            facts[good, 0], facts[good, 1] = [len(ids_a[k]) for k in good], [len(ids_b[k]) for k in good]
-            facts[:, 3] = np.bincount(at, weights=times, minlength=len(new)).astype(np.int64)
-            facts[~np.array(given)] = -1
-            named = [f"{x}|{y}" for x, y in zip(_joined(ids_a, good, groups[0]), _joined(ids_b, good, groups[1]))]
-            ends = np.cumsum(np.bincount(of, minlength=len(new))[good]).tolist()
-            for k, lo, hi in zip(good.tolist(), [0, *ends], ends):
-                texts[k] = ";".join(named[lo:hi])
+            pair, times = links["pair"].astype(np.uint32), links["k"]
+            counts = np.bincount(links["stretch"], minlength=len(new))
+            held = np.bincount(of[0][np.flatnonzero(np.diff(groups[0], prepend=-1))], minlength=len(new))  # groups of each stretch
+            facts[given] = np.stack([n_a, n_b, held, np.bincount(links["stretch"], weights=times, minlength=len(new)).astype(np.int64)], axis=1)[given]
+            named = list(map("|".join, zip(*(self._joined(x, g) for x, g in zip(ids, groups)))))
+            ends = np.cumsum(held).tolist()
+            texts = [";".join(named[lo:hi]) for lo, hi in zip([0, *ends], ends)]
         have = len(self.text)
         self.number.update(zip(new, range(have, have + len(new))))
         self.text += texts
@@ -159,6 +184,14 @@ class Aligner:
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         self.pair, self.times = np.concatenate([self.pair, pair]), np.concatenate([self.times, times])
 
+    def _joined(self, ids, group) -> list[str]:
+        """The decimal ids of each group with commas between."""
+        import numpy as np
+
+        names = list(map(self.names.__getitem__, ids.tolist()))
+        at = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+        return [names[lo] if hi == lo + 1 else ",".join(names[lo:hi]) for lo, hi in zip(at, [*at[1:], len(names)])]
+
     def documents(self, texts: list):
         """(facts, digests, pairs' row, pair, times) of some texts; the pairs by row and ascending."""
         import numpy as np
@@ -166,11 +199,14 @@ class Aligner:
         cut = [[] if not t else t.split(" ") if not _EDGY.search(t) else [(p := _SAFE.split(" " + t))[0][1:], *p[1:]] for t in texts]
         if len(self.number) > KEPT:
             self.shrink()
-        new = {u for units in cut for u in units if u not in self.number}
-        if new:
-            self.learn(sorted(new))
+        new = set().union(*cut).difference(self.number)
+        if new:  # those with a space inside, or white space at an end, by themselves
+            odd = {u for u in new if not u or " " in u or _EDGY.search(u)}
+            self.learn(sorted(new - odd))
+            self.learn(sorted(odd))
         at = [list(map(self.number.__getitem__, units)) for units in cut]
-        flat, row = np.array([k for x in at for k in x], np.int64), np.repeat(np.arange(len(texts)), [len(x) for x in at])
+        row = np.repeat(np.arange(len(texts)), list(map(len, at)))
+        flat = np.fromiter(itertools.chain.from_iterable(at), np.int64, len(row))
         self.hits += np.bincount(flat, minlength=len(self.hits))
         bad = np.zeros(len(texts), bool)
         bad[row[self.facts[flat, 0] < 0]] = True
@@ -186,15 +222,6 @@ class Aligner:
         return sums, digests, keys >> 32, (keys & 0xFFFFFFFF).astype(np.uint32), times
 
 
-def _joined(ids: list, good, group) -> list[str]:
-    """The decimal ids of each group with commas between."""
-    import numpy as np
-
-    names = list(map(str, np.concatenate([ids[k] for k in good]).tolist()))
-    at = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
-    return [names[lo] if hi == lo + 1 else ",".join(names[lo:hi]) for lo, hi in zip(at, [*at[1:], len(names)])]
-
-
 def _ranges(first, sizes):
     """Indices first[k], first[k] + 1, ... of each k in turn, and the sizes."""
     import numpy as np

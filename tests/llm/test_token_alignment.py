@@ -123,6 +123,7 @@ def test_stretches_are_forgotten_and_aligned_again(monkeypatch):
             for k, w in enumerate(want[at : at + 16]):
                 assert (*sums[k].tolist(), digests[k]) == (*w[1:5], w[7])
                 assert times[who == k].sum() == w[4]
+    assert own._together(["two", "words"]) and not own._together(["two words"]) and not own._together([" x", "y"])
     assert len(own.number) < len({u for x in found for u in (x or "").split(" ")}) + 60
 
 
