@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import alignment, dsp, extraction
-from ..graphs import orders, tables
+from ..graphs import dynamic, orders, tables
 from ..models import gaussian, hidden, language, neighbours
 from ..operators import metrics
 from ..sources import model_files
@@ -519,6 +519,40 @@ def t6_topological_depth(spark, d):
     return orders.topological_depth(arcs(spark, d))
 
 
+def _changes(spark, d):
+    """Orders as edges in four batches: the first three add a third of all each, each after the first takes every fifth of the one before away."""
+    e = arcs(spark, d).select("id", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
+    for batch in range(4):
+        come = e.where(F.col("id") % 3 == batch).select("u", "v", F.lit(1).alias("delta"))
+        gone = e.where((F.col("id") % 3 == batch - 1) & (F.col("id") % 5 == 0)).select("u", "v", F.lit(-1).alias("delta"))
+        yield batch, come.unionByName(gone)
+
+
+@query(f"""WITH {_ARCS}, m AS (SELECT least(src, dst) AS u, greatest(src, dst) AS v, id % 3 AS come, CASE WHEN id % 5 = 0 THEN id % 3 + 1 ELSE 9 END AS gone FROM arcs),
+e AS MATERIALIZED (SELECT DISTINCT b.batch, u, v FROM m, range(4) b(batch) WHERE come <= batch AND gone > batch),
+deg AS (SELECT batch, n, count(*) AS d FROM (SELECT batch, unnest([u, v]) AS n FROM e) GROUP BY 1, 2),
+t AS (SELECT x.batch, x.u AS a, x.v AS b, y.v AS c FROM e x JOIN e y ON x.batch = y.batch AND x.v = y.u JOIN e z ON z.batch = x.batch AND z.u = x.u AND z.v = y.v),
+p AS (SELECT batch, n, count(*) AS t FROM (SELECT batch, unnest([a, b, c]) AS n FROM t) GROUP BY 1, 2)
+SELECT batch::INTEGER AS batch, (SELECT count(*) FROM e WHERE e.batch = deg.batch) AS size, count(*) AS "order", max(d) AS max_degree, (SELECT count(*) FROM t WHERE t.batch = deg.batch) AS num_triangles, max(d + coalesce(p.t, 0)) AS scan1
+FROM deg LEFT JOIN p USING (batch, n) GROUP BY batch""")
+def g9_dynamic(spark, d):
+    """Invariants of the graph of all orders after each batch of changes."""
+    graph, out = dynamic.DynamicGraph(spark), None
+    for batch, changes in _changes(spark, d):
+        graph.apply(changes)
+        row = graph.invariants().withColumn("batch", F.lit(batch))
+        row = spark.createDataFrame(row.collect(), row.schema)  # one row
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def g9_mad_lower_k(spark, d):
+    """1000 times a lower bound of the largest average degree among customers linked by orders."""
+    e = arcs(spark, d).where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    return spark.createDataFrame([(dynamic.mad_lower_k(e),)], "mad_lower_k long")
+
+
 _DEPTH = f"{_ARCS}, r AS (SELECT id, 0 AS depth FROM nodes WHERE id NOT IN (SELECT dst FROM arcs) UNION SELECT a.dst, r.depth + 1 FROM r JOIN arcs a ON a.src = r.id), n AS (SELECT id, depth, row_number() OVER (ORDER BY depth, id) - 1 AS node FROM (SELECT id, max(depth)::INTEGER AS depth FROM r GROUP BY 1))"
 
 
