@@ -147,14 +147,32 @@ def bit_fields(value: Column, widths: list[int]) -> Column:
     return F.array(*out)
 
 
-def float_text(kind: str = "hex"):
-    """A UDF for exact float text."""
-
-    @F.pandas_udf("string")
-    def text(values):
-        return values.map(lambda v: None if v != v else (float(v).hex() if kind == "hex" else repr(float(v))))
-
-    return text
+def float_hex(value: Column) -> Column:
+    """Exact text of doubles: 0x1.<13 hexadecimal digits>p<exponent>; inf and -inf; null for NaN."""
+    v, sign = F.abs(value), F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    guess = F.greatest(F.floor(F.log2(v)), F.lit(-1022)).cast("int")  # one off at most, next to powers of two
+    half = F.floor(guess / 2).cast("int")  # in two steps, as a power of 1074 is out of range
+    scaled = v * two(-half) * two(half - guess)
+    e = guess + F.when(scaled >= 2, 1).when((scaled < 1) & (guess > -1022), -1).otherwise(0)
+    half = F.floor(e / 2).cast("int")
+    m = v * two(-half) * two(half - e)
+    whole = F.when(m >= 1, F.lit(1)).otherwise(F.lit(0))
+    digits = F.lpad(F.lower(F.hex(((m - whole) * F.lit(2.0**52)).cast("long"))), 13, "0")
+    text = F.concat(sign, F.lit("0x"), whole.cast("string"), F.lit("."), digits, F.lit("p"), F.when(e < 0, F.lit("")).otherwise(F.lit("+")), e.cast("string"))
+    return F.when(F.isnan(value) | value.isNull(), F.lit(None)).when(v == float("inf"), F.concat(sign, F.lit("inf"))).when(v == 0, F.lit("0x0.0p+0")).otherwise(text)
+
+
+def hex_float(text: Column) -> Column:
+    """The double that ``float_hex`` wrote; null for other text."""
+    pattern = r"^(-?)0x([01])\.([0-9a-f]+)p([+-]\d+)$"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    e = F.expr("1") * F.when(part(4) == "", None).otherwise(part(4)).cast("int")
+    half = F.floor(e / 2).cast("int")
+    m = part(2).cast("double") + F.conv(F.rpad(part(3), 13, "0"), 16, 10).cast("double") / F.lit(2.0**52)
+    value = m * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (e - half).cast("double"))
+    value = F.when(part(1) == "-", -value).otherwise(value)
+    return F.when(text.rlike(pattern), value).when(text.isin("inf", "-inf"), text.cast("double"))
 
 
 def spectrum(n: int | None = None):

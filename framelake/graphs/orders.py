@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut_lineage, drop_cut
+from ..plans.lineage import cut_lineage, drop_cut, numbered
 from .tables import cyclic_core
 
 #: Arcs that one task works on.
@@ -84,22 +84,6 @@ def topological_depth(arcs: DataFrame, small: int | None = None) -> DataFrame:
     return depth
 
 
-def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """``df`` with the place, from 0, of each row in the order of ``by`` as column ``name``.
-
-    Rows are dealt by ranges and sorted within them; each range starts where those
-    before it end, so no window goes over all rows.
-    """
-    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
-    dealt = cut_lineage(dealt)
-    part = F.shiftright("_at", 33)
-    sizes = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + low).alias(name))
-
-
 def canonical_dag(arcs: DataFrame, small: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, depth, node) and arcs (id, arc, src, dst, label) numbered in a topological order.
 

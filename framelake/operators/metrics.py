@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import numbered
+
 from ..plans.lineage import cut_lineage
 
 
@@ -102,6 +104,15 @@ def ngram_index(df: DataFrame, doc: str, tokens: Column, n: int) -> DataFrame:
     return rows.groupBy("ngram").agg(F.count_distinct("doc").alias("docs"), F.array_sort(F.collect_list(F.struct("doc", "start"))).alias("places"))
 
 
+def ngram_places(df: DataFrame, doc: str, tokens: Column, n: int) -> DataFrame:
+    """The inverted index with a row for each place: ngram, k (from 0, in the order of doc and start), doc, start.
+
+    However frequent an n-gram is, no row and no task holds all its places.
+    """
+    rows = df.select(F.col(doc).alias("doc"), F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - (n - 1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).alias("start", "ngram"))
+    return places(rows, ["ngram"], ["doc", "start"], "k")
+
+
 def bit_majority(bits: DataFrame, context: list[str], bit: str) -> DataFrame:
     """The majority bit of each context, 1 when 2 * ones >= total."""
     return bits.groupBy(*context).agg(F.sum(bit).alias("ones"), F.count(F.lit(1)).alias("n")).withColumn("bit", (2 * F.col("ones") >= F.col("n")).cast("int"))
@@ -120,9 +131,24 @@ def collate(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("all"), F.sort_array(F.collect_set(value)).alias("distinct"), F.count_distinct(value).alias("n"))
 
 
+def places(df: DataFrame, key: list[str], by: list[str], name: str) -> DataFrame:
+    """``df`` with the place, from 0, of each row among those of its key; a key's rows are dealt over many tasks."""
+    rows = numbered(df, [*key, *by], "_place")
+    first = rows.groupBy(*key).agg(F.min("_place").alias("_first"))
+    return rows.join(first, key).select(*df.columns, (F.col("_place") - F.col("_first")).alias(name))
+
+
+def collated(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Values by key in order, as rows: key, k (from 0), value, first (whether it is the first of equal ones)."""
+    rows = numbered(df.select(key, value), [key, value], "_place")
+    first, new = rows.groupBy(key).agg(F.min("_place").alias("_first")), rows.groupBy(key, value).agg(F.min("_place").alias("_new"))
+    both = rows.join(first, key).join(new, [key, value])
+    return both.select(key, (F.col("_place") - F.col("_first")).alias("k"), value, (F.col("_place") == F.col("_new")).alias("first"))
+
+
 def label_ids(df: DataFrame, label: str) -> DataFrame:
     """A number from 0 for each distinct label, in their order (one row a label)."""
-    return df.select(label).distinct().withColumn("id", F.row_number().over(Window.orderBy(label)) - 1)
+    return numbered(df.select(label).distinct(), [label], "id").withColumn("id", F.col("id").cast("int"))
 
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:

@@ -170,9 +170,12 @@ def f2_plp(spark, d):
     return extraction.extract(audio(spark, d), extraction.plp_specs(), "utt")
 
 
-@query()
+@query("""WITH v AS (SELECT event_id, value, abs(value) AS v, floor(log2(abs(value)))::INTEGER AS g FROM events), s AS (SELECT *, g + CASE WHEN v / pow(2.0::DOUBLE, g) >= 2 THEN 1 WHEN v / pow(2.0::DOUBLE, g) < 1 THEN -1 ELSE 0 END AS e FROM v)
+SELECT event_id, CASE WHEN value = 0 THEN '0x0.0p+0' ELSE CASE WHEN value < 0 THEN '-' ELSE '' END || '0x1.' || lpad(lower(to_hex(((v / pow(2.0::DOUBLE, e) - 1) * pow(2.0::DOUBLE, 52))::BIGINT)), 13, '0') || 'p' || CASE WHEN e < 0 THEN '' ELSE '+' END || e END AS hex, value AS again FROM s""")
 def f20_float_text(spark, d):
-    return events(spark, d).select("event_id", dsp.float_text("hex")("value").alias("hex"))
+    """Exact text of every value, and the value read back from it."""
+    text = events(spark, d).select("event_id", dsp.float_hex(F.col("value")).alias("hex"))
+    return text.withColumn("again", dsp.hex_float(F.col("hex")))
 
 
 # ---- Gaussians and neighbours -------------------------------------------------
@@ -606,11 +609,11 @@ def u4_set_graph(spark, d):
     return tables.set_graph(arcs(spark, d)).select("src", "dst", "label")
 
 
-@query(f"WITH {_ARCS} SELECT a.src AS s1, b.src AS s2, a.dst AS d1, b.dst AS d2, a.label AS ilabel, b.label AS olabel FROM arcs a JOIN arcs b ON a.id % 5000 = (b.id + 1) % 5000")
+@query(f"WITH {_ARCS} SELECT a.src AS s1, b.src AS s2, a.dst AS d1, b.dst AS d2, a.label AS ilabel, b.label AS olabel FROM arcs a JOIN arcs b ON a.id // 3 = (b.id + 1) // 3")
 def j14_compose(spark, d):
     a = arcs(spark, d)
-    first = a.select("src", "dst", F.col("label").alias("ilabel"), (F.col("id") % 5000).alias("olabel"))
-    second = a.select("src", "dst", ((F.col("id") + 1) % 5000).alias("ilabel"), F.col("label").alias("olabel"))
+    first = a.select("src", "dst", F.col("label").alias("ilabel"), F.expr("id div 3").alias("olabel"))
+    second = a.select("src", "dst", F.expr("(id + 1) div 3").alias("ilabel"), F.col("label").alias("olabel"))
     return tables.compose(first, second).select(F.col("src.s1").alias("s1"), F.col("src.s2").alias("s2"), F.col("dst.d1").alias("d1"), F.col("dst.d2").alias("d2"), "ilabel", "olabel")
 
 

@@ -162,11 +162,10 @@ def m32_logistic(spark, d):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(toolbox.logistic_fit(f, "x", "y", 4))], "i int, weight double")
 
 
-@query()
-def c2_evaluated_frames(spark, d):
-    """Segments to frames and a positional comparison, over all users."""
-    s = segs(spark, d)
-    ref = segments.segments_to_frames(s, ["user_id"], ["event_id"], "start", "stop", "label", 50.0)
-    hyp = segments.segments_to_frames(s.withColumn("stop", F.col("stop") - 5.0), ["user_id"], ["event_id"], "start", "stop", "label", 50.0)
-    both = ref.drop("frame").join(hyp.select("user_id", "pos", F.col("label").alias("hyp")), ["user_id", "pos"])
-    return metrics.confusion(both, "label", "hyp")
+@query("""WITH f AS (SELECT c_nationkey AS o, c_custkey, unnest(['"' || c_custkey || '.lab"', c_mktsegment, '.']) AS line, unnest([0, 1, 2]) AS p FROM customer)
+SELECT 0::BIGINT AS line_no, '#!MLF!#' AS line UNION ALL SELECT row_number() OVER (ORDER BY o, c_custkey, p), line FROM f""")
+def k5_container_lines(spark, d):
+    """A container for each nation's customers, joined into one as lines."""
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('.lab"\n'), "c_mktsegment", F.lit("\n.")).alias("block"))
+    files = c.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "block"))), lambda x: x["block"]), "\n").alias("blocks"))
+    return annotations.container_lines(files.select("c_nationkey", F.concat(F.lit("#!MLF!#\n"), "blocks", F.lit("\n")).alias("value")), "c_nationkey")

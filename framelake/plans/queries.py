@@ -59,15 +59,39 @@ def a7_run_merge(spark, d):
     return segments.merge_runs(segs(spark, d), ["user_id"], ["event_id"], "label", "start", "stop").withColumn("run", F.col("run").cast("long"))
 
 
-@query(f"""WITH RECURSIVE {SEGS}, s AS (SELECT user_id, label, greatest(1, trunc(start / 2500.0))::INTEGER AS a0, greatest(1, trunc(stop / 2500.0) - 1)::INTEGER AS b0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM seg),
-f AS (SELECT user_id, k, label, greatest(a0, 1) AS a, greatest(b0, greatest(a0, 1)) AS b FROM s WHERE k = 1
-UNION ALL SELECT s.user_id, s.k, s.label, greatest(s.a0, f.b + 1), greatest(s.b0, greatest(s.a0, f.b + 1)) FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1),
-last AS (SELECT user_id, label, b + 1 AS frame FROM f WHERE (user_id, k) IN (SELECT user_id, max(k) FROM f GROUP BY user_id)),
-fr AS (SELECT user_id, label, unnest(range(a, b + 1)) AS frame FROM f UNION ALL SELECT user_id, label, frame FROM last)
-SELECT user_id, frame::INTEGER AS frame, label, row_number() OVER (PARTITION BY user_id ORDER BY frame)::INTEGER AS pos FROM fr""")
+#: Segments on each user's own positions, a hundred units an event and 60 to 260 long, so that they overlap.
+SPANS = "span AS (SELECT user_id, event_id, event_type AS label, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 100.0::DOUBLE + event_id % 3 * 20 AS start, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 100.0::DOUBLE + event_id % 3 * 20 + 60 + event_id % 5 * 50 AS stop FROM events)"
+
+
+def spans(spark, d):
+    pos = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) * F.lit(100.0)
+    rows = events(spark, d).select("user_id", "event_id", F.col("event_type").alias("label"), (pos + F.col("event_id") % 3 * 20).alias("start"))
+    return rows.withColumn("stop", F.col("start") + 60 + F.col("event_id") % 5 * 50)
+
+
+def _framed(name: str, stop: str) -> str:
+    """SQL of the frames of 25 units of each segment, by the sequential rule, as table ``name``."""
+    return f"""s{name} AS (SELECT user_id, label, greatest(1, trunc(start / 25.0))::INTEGER AS a0, greatest(1, trunc({stop} / 25.0) - 1)::INTEGER AS b0, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM span),
+f{name} AS (SELECT user_id, k, label, greatest(a0, 1) AS a, greatest(b0, greatest(a0, 1)) AS b FROM s{name} WHERE k = 1
+UNION ALL SELECT s.user_id, s.k, s.label, greatest(s.a0, f.b + 1), greatest(s.b0, greatest(s.a0, f.b + 1)) FROM f{name} f JOIN s{name} s ON s.user_id = f.user_id AND s.k = f.k + 1),
+l{name} AS (SELECT user_id, label, b + 1 AS frame FROM f{name} WHERE (user_id, k) IN (SELECT user_id, max(k) FROM f{name} GROUP BY user_id)),
+r{name} AS (SELECT user_id, label, unnest(range(a, b + 1)) AS frame FROM f{name} UNION ALL SELECT user_id, label, frame FROM l{name}),
+{name} AS (SELECT user_id, frame::INTEGER AS frame, label, row_number() OVER (PARTITION BY user_id ORDER BY frame)::INTEGER AS pos FROM r{name})"""
+
+
+@query(f"WITH RECURSIVE {SPANS}, {_framed('ref', 'stop')} SELECT user_id, frame, label, pos FROM ref")
 def c1_timestamps_to_frames(spark, d):
-    s = segs(spark, d)
-    return segments.segments_to_frames(s, ["user_id"], ["event_id"], "start", "stop", "label", 2500.0).select("user_id", "frame", "label", "pos")
+    """About four frames an event, of segments that overlap."""
+    return segments.segments_to_frames(spans(spark, d), ["user_id"], ["event_id"], "start", "stop", "label", 25.0).select("user_id", "frame", "label", "pos")
+
+
+@query(f"WITH RECURSIVE {SPANS}, {_framed('ref', 'stop')}, {_framed('hyp', '(stop - 30)')} SELECT r.label AS ref, h.label AS hyp, count(*) AS n FROM ref r JOIN hyp h USING (user_id, pos) GROUP BY 1, 2")
+def c2_evaluated_frames(spark, d):
+    """Segments to frames, those of shorter segments as hypotheses, and a comparison by position."""
+    ref = segments.segments_to_frames(spans(spark, d), ["user_id"], ["event_id"], "start", "stop", "label", 25.0)
+    hyp = segments.segments_to_frames(spans(spark, d).withColumn("stop", F.col("stop") - 30), ["user_id"], ["event_id"], "start", "stop", "label", 25.0)
+    both = ref.drop("frame").join(hyp.select("user_id", "pos", F.col("label").alias("hyp")), ["user_id", "pos"])
+    return metrics.confusion(both, "label", "hyp")
 
 
 @query(f"""WITH {SEGS}, len AS (SELECT user_id, (max(event_id) // 100 + 2)::INTEGER AS len FROM events GROUP BY user_id), sp AS (SELECT user_id, unnest(range(1, len + 1)) AS frame FROM len),
@@ -493,6 +517,19 @@ def a18_class_check(spark, d):
     return metrics.check_classes(table(spark, d, "embeddings").select("label"), "label", list(range(10)))
 
 
+@query(f"""WITH {_WORDS}, g AS (SELECT doc, unnest(range(0, len(t) - 1)) AS start, t FROM w), n AS (SELECT t[start + 1] || ' ' || t[start + 2] AS ngram, doc, start::INTEGER AS start FROM g)
+SELECT ngram, row_number() OVER (PARTITION BY ngram ORDER BY doc, start) - 1 AS k, doc, start FROM n""")
+def a17_ngram_places(spark, d):
+    """The index with a row for each place."""
+    return metrics.ngram_places(words(spark, d).where(F.size("tokens") >= 2), "doc", F.col("tokens"), 2).select("ngram", "k", "doc", "start")
+
+
+@query("SELECT o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) - 1 AS k, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) = rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey) AS first FROM orders")
+def a19_collated(spark, d):
+    """Customers by priority: five keys with a fifth of all orders each."""
+    return metrics.collated(table(spark, d, "orders"), "o_orderpriority", "o_custkey")
+
+
 @query('SELECT o_custkey, list_sort(list(o_orderpriority)) AS "all", list_sort(list(DISTINCT o_orderpriority)) AS "distinct", count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1')
 def a19_collate(spark, d):
     return metrics.collate(table(spark, d, "orders"), "o_custkey", "o_orderpriority")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import numbered
+
 from ..operators.segments import merge_runs
 from ..operators.streams import map_labels
 
@@ -114,3 +116,15 @@ def joined_containers(files: DataFrame, order: str, value: str = "value") -> Dat
     body = F.regexp_replace(F.rtrim(value), r"\A\s*#!MLF!#\s*", "")
     rows = files.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), body.alias("v")))), lambda s: s["v"]), "\n").alias("value"))
     return rows.select(F.concat(F.lit("#!MLF!#\n"), "value").alias("value"))
+
+
+def container_lines(files: DataFrame, order: str, value: str = "value") -> DataFrame:
+    """The lines of the container of several files, in order, as rows (line_no, line): the magic line, then the blocks of each file.
+
+    Unlike ``joined_containers`` no row holds more than a file.
+    """
+    body = F.regexp_replace(F.regexp_replace(F.col(value), r"\A\s*#!MLF!#\s*", ""), r"\s+\z", "")
+    lines = files.select(F.col(order).alias("o"), F.posexplode(F.split(body, "\n", -1)).alias("p", "line"))
+    rows = numbered(lines, ["o", "p"], "k").select((F.col("k") + 1).alias("line_no"), "line")
+    magic = files.sparkSession.createDataFrame([(0, "#!MLF!#")], "line_no long, line string")
+    return magic.unionByName(rows)

@@ -62,7 +62,7 @@ def test_cycles_raise_and_long_chains_do_not(spark, small):
 
 
 def test_rows_are_numbered_by_ranges(spark):
-    from framelake.graphs.orders import numbered
+    from framelake.plans.lineage import numbered
 
     r = random.Random(2)
     rows = [(r.randrange(4), k) for k in r.sample(range(10_000), 3000)]  # a quarter of all rows has one first key
