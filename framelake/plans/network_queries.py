@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..graphs import alignment, expansion
 from ..models import gaussian, hidden, networks
-from .queries import FRAMES, frames, query
+from .queries import FRAMES, events, frames, query, table
 
 # ---- token passing over a loop of two words that meet in a node without emission ---------------
 _MEANS = [0.03, -0.03, 0.0]  # of the states: two of the first word, one of the second
@@ -104,3 +106,47 @@ def m23_lattice_training(spark, d):
     """Three steps of both models on the lattices of all utterances."""
     _, trace = networks.train_on_lattices(frames(spark, d), _lattices(spark, d), ["utt"], "frame", "x", _words(), 0, 2, iterations=3)
     return spark.createDataFrame(list(enumerate(trace)), "step int, loglik double")
+
+
+# ---- lattices of events: eight places a user with the event's type, or that of the event at the place a few further on
+_COUNT = 8
+_PLACES = f"""p AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+lat AS (SELECT user_id, pos % {_COUNT} AS i, pos // {_COUNT} % 2 AS side, event_type FROM p),
+sets AS (SELECT user_id, side, i, list(DISTINCT event_type) AS labels FROM lat GROUP BY 1, 2, 3)"""
+
+
+def _event_lattices(spark, d):
+    """Of each user two lattices of eight places: all types that its events have there, by turns of eight events."""
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = events(spark, d).select("user_id", pos.alias("pos"), F.col("event_type").alias("label"))
+    rows = rows.select("user_id", (F.col("pos") % _COUNT).cast("long").alias("src"), F.expr(f"pos div {_COUNT} % 2").alias("side"), "label").distinct()
+    arcs = rows.select("user_id", "side", "src", (F.col("src") + 1).alias("dst"), "label")
+    return arcs.where("side = 0").drop("side"), arcs.where("side = 1").drop("side")
+
+
+@query(f"""WITH RECURSIVE {_PLACES}, a AS (SELECT user_id, i, labels FROM sets WHERE side = 0), b AS (SELECT user_id, list(labels ORDER BY i) AS labels FROM sets WHERE side = 1 GROUP BY 1 HAVING count(*) = {_COUNT}),
+w AS (SELECT a.user_id, a.i, list_transform(b.labels, lambda y: CASE WHEN list_has_any(y, a.labels) THEN 0 ELSE 1 END) AS cost FROM a JOIN b USING (user_id) WHERE a.user_id IN (SELECT user_id FROM a GROUP BY 1 HAVING count(*) = {_COUNT})),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, range(0, {_COUNT + 1})::BIGINT[] AS v FROM w
+UNION ALL SELECT r.user_id, r.i + 1, list_transform(range(1, {_COUNT + 2}), lambda j: list_min(list_transform(range(1, j + 1), lambda k: CASE WHEN k = 1 THEN v[1] + 1 ELSE least(v[k] + 1, v[k - 1] + cost[k - 1]) END + j - k)))::BIGINT[] FROM r JOIN w ON w.user_id = r.user_id AND w.i = r.i)
+SELECT user_id, v[{_COUNT + 1}]::DOUBLE AS cost FROM r WHERE i = {_COUNT}""")
+def f21_lattice_alignment(spark, d):
+    """The cheapest alignment of each user's two lattices; users with fewer than sixteen events have no path."""
+    a, b = _event_lattices(spark, d)
+    users = a.select("user_id").distinct()
+    ends = users.select("user_id", *(F.lit(k).cast("long").alias(c) for c, k in (("a_start", 0), ("a_end", _COUNT), ("b_start", 0), ("b_end", _COUNT))))
+    return alignment.align_lattices(a, b, ends, ["user_id"])[0]
+
+
+@query("""WITH c AS (SELECT c_nationkey AS n, c_custkey AS k, c_mktsegment AS s FROM customer), r AS (SELECT n_regionkey AS g, n_nationkey AS n FROM nation)
+SELECT s AS label, count(*) AS n FROM c JOIN r USING (n) GROUP BY 1 UNION ALL SELECT NULL, 2 * (SELECT count(*) FROM r) + 2 * (SELECT count(DISTINCT g) FROM r)""")
+def g7_decoder_graph(spark, d):
+    """Regions of nations of customers' segments expanded into one graph: how many arcs have each label."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    two = [F.lit(0).cast("long").alias("src"), F.lit(1).cast("long").alias("dst")]
+    world = n.select("n_regionkey").distinct().select(F.lit("world").alias("graph"), *two, name("r", "n_regionkey").alias("label"))
+    regions = n.select(name("r", "n_regionkey").alias("graph"), *two, name("n", "n_nationkey").alias("label"))
+    nations = c.select(name("n", "c_nationkey").alias("graph"), *two, F.col("c_mktsegment").alias("label"))
+    names = world.select("graph").unionByName(regions.select("graph")).unionByName(n.select(name("n", "n_nationkey").alias("graph"))).distinct()
+    ends = names.select("graph", F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))
+    return expansion.expanded(world.unionByName(regions).unionByName(nations), ends, "world")[0].groupBy("label").agg(F.count(F.lit(1)).alias("n"))
