@@ -95,6 +95,21 @@ def _to_least(edges: DataFrame, low: DataFrame, count: int) -> DataFrame:
     return marked.where("h is not null").select("u", "v", F.col("h").alias("m")).unionByName(others.select("u", "v", "m"))
 
 
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right(keys, ..., k)``, one row a key, ``k`` the number of rows of ``left`` that have it.
+
+    Keys with more than a thousandth of ``rows``, the number of rows of ``left``,
+    are at most HUBS, so those rows of ``right`` are sent to all tasks and no key of the
+    shuffled join has more. ``k`` is dropped.
+    """
+    hub = F.col("k") > max(1000, -(-rows // HUBS))
+    values = [c for c in right.columns if c not in (*keys, "k")]
+    marked = left.join(F.broadcast(right.where(hub).drop("k").withColumn("_hub", F.lit(True))), keys, "left")
+    near = marked.where("_hub").select(*left.columns, *values)
+    far = marked.where("_hub is null").select(*left.columns).join(right.where(~hub).drop("k"), keys, how).select(*left.columns, *values)
+    return near.unionByName(far)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

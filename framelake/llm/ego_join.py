@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, write_stage
+from ._common import components, join_spread, write_stage
 
 AXES, LEAF, INTERVAL = 8, 256, 4096
 #: Bits of an interval's number that one step of the recursion over intervals adds.
@@ -280,7 +280,9 @@ def near_vectors(rows: DataFrame, cosine: float = 0.98, id_col: str = "vec_id",
     joined = write_stage(_join(cross.unionByName(own).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), axes, cosine, eps), "joined")
     counts = joined.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(joined.where("other is not null").select(F.col("id").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "id")
-    facts = classes.join(counts, "id", "left").join(comp, "id", "left").select("label", "x", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = named.join(facts, ["label", "x"], "left")
+    named_by = [F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2")]  # 128 bits stand for a vector
+    facts = classes.join(counts, "id", "left").join(comp, "id", "left").select("label", *named_by, (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "id").alias("component"), F.col("w").alias("k"))
+    out = join_spread(usable.select("i", "label", *named_by), facts, ["label", "h1", "h2"], classes.agg(F.sum("w")).first()[0], "inner").select("i", "links", "component")
+    out = out.unionByName(named.where("x is null").select("i", F.lit(None).cast("long").alias("links"), F.lit(None).cast("long").alias("component")))
     component = F.coalesce("component", "i")
     return out.select(F.col("i").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("i").eqNullSafe(component).alias("kept"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, write_stage
+from ._common import ascii_lower, join_spread, write_stage
 
 ORDER = 5
 #: What models may be sent to all tasks, in bytes of their tables.
@@ -206,7 +206,11 @@ def _scored_by_joins(rows: DataFrame, grams: DataFrame, contexts: DataFrame) ->
 
     texts = rows.select("text").distinct()
     asked = texts.mapInArrow(ask, "text string, g long, c long").withColumns({"u1": F.xxhash64("text"), "u2": F.xxhash64(F.lit(1), "text")}).drop("text")
-    told = asked.join(wide(grams, "g", ["n"]), "g", "left").join(wide(contexts, "c", ["seen", "kinds"]), "c", "left")
+    asked = write_stage(asked, "asked")
+    count = asked.count()
+    often = lambda key: asked.groupBy(key).agg(F.count(F.lit(1)).alias("k"))  # noqa: E731  the low orders' are in nearly every URL
+    told = join_spread(asked, often("g").join(wide(grams, "g", ["n"]), "g", "left"), ["g"], count)
+    told = join_spread(told, often("c").join(wide(contexts, "c", ["seen", "kinds"]), "c", "left"), ["c"], count)
     names = ["n0", "n1", "seen0", "kinds0", "seen1", "kinds1"]
     facts = told.groupBy("u1", "u2").agg(F.collect_list(F.struct("g", *(F.coalesce(x, F.lit(0)).alias(x) for x in names))).alias("facts"))
     keyed = texts.withColumns({"u1": F.xxhash64("text"), "u2": F.xxhash64(F.lit(1), "text")}).join(facts, ["u1", "u2"]).select("text", "facts")
@@ -232,7 +236,9 @@ def _scored_by_joins(rows: DataFrame, grams: DataFrame, contexts: DataFrame) ->
                 out.append(float(_over_length(parts, real, sizes)[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["text", "r"])
 
-    return rows.join(keyed.mapInArrow(score, "text string, r double"), "text", "left")
+    found = write_stage(keyed.mapInArrow(score, "text string, r double"), "scored")
+    held = rows.groupBy("text").agg(F.count(F.lit(1)).alias("k"))  # of URLs without host and path the text is empty
+    return join_spread(rows, held.join(found, "text", "left"), ["text"], rows.count())
 
 
 def calibrate(scored: DataFrame, bins: int = 4096) -> float:

@@ -644,6 +644,32 @@ def test_minhash(spark, docs, words, percent):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_join_spread_deals_no_frequent_key_by_itself(spark):
+    """A third of all rows has one key: its row of the small side goes to the tasks, the others are shuffled."""
+    from pyspark.sql import functions as F
+
+    from framelake.llm._common import join_spread
+
+    left = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 3 == 1, F.col("id") % 50).otherwise(F.lit(-2) - F.col("id") % 7).alias("key"), "id")
+    right = spark.range(-3, 40).select(F.col("id").alias("key"), (F.col("id") * 10).alias("v"))
+    counted = right.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key")
+    for how in ("left", "inner"):
+        got = join_spread(left, counted, ["key"], 9000, how)
+        assert sorted(map(str, got.select("key", "id", "v").collect())) == sorted(map(str, left.join(right, "key", how).select("key", "id", "v").collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan or "broadcast" in plan.lower()
+
+
+def test_vectors_join_with_one_vector_in_most_rows(spark, monkeypatch):
+    from framelake.llm import _common, ego_join
+
+    monkeypatch.setattr(_common, "HUBS", 1)
+    rows = [(i, [1.0, 0.0], 1) for i in range(1500)] + [(5000, [1.0, 1e-3], 1), (5001, [0.0, 1.0], 1), (5002, None, 1), (5003, [1.0, 0.0], None), (5004, [1.0, 0.0], 2)]
+    got = {r[0]: tuple(r)[1:] for r in ego_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    assert len(got) == 1505 and all(got[i] == (1500, 0, i == 0) for i in range(1500))
+    assert got[5000] == (1500, 0, False) and all(got[i] == (0, i, True) for i in (5001, 5002, 5003, 5004))
+
+
 def thue_morse(n):
     return "".join("ab"[k.bit_count() % 2] for k in range(n))
 
