@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alignment
 from ..graphs import tables
-from ..models import gaussian, toolbox
+from ..models import gaussian, latent, toolbox
 from ..operators import metrics, segments, streams
 from ..sources import annotations, feature_files, text_data
 from .model_queries import _ARCS, arcs
@@ -169,3 +169,26 @@ def k5_container_lines(spark, d):
     c = table(spark, d, "customer").select("c_nationkey", "c_custkey", F.concat(F.lit('"'), F.col("c_custkey").cast("string"), F.lit('.lab"\n'), "c_mktsegment", F.lit("\n.")).alias("block"))
     files = c.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "block"))), lambda x: x["block"]), "\n").alias("blocks"))
     return annotations.container_lines(files.select("c_nationkey", F.concat(F.lit("#!MLF!#\n"), "blocks", F.lit("\n")).alias("value")), "c_nationkey")
+
+
+@query()
+def m5_low_rank(spark, d):
+    """Log likelihood before each step of a mixture of three Gaussians of four factors."""
+    _, trace = latent.fit_low_rank(frames(spark, d), "x", 3, 4, iterations=6)
+    return spark.createDataFrame(list(enumerate(trace)), "step int, loglik double")
+
+
+@query()
+def m32_topographic(spark, d):
+    """Every vector's mean place and likeliest point on a latent grid of 64 points."""
+    f = frames(spark, d)
+    model, _ = latent.fit_topographic(f, "x", iterations=4)
+    return latent.latent_places(f, "x", model).select("vec_id", "mean", "mode")
+
+
+@query()
+def m32_density_network(spark, d):
+    """The mean error after each step of a network whose outputs are mixtures over the label."""
+    f = frames(spark, d).withColumn("y", F.array(F.col("label").cast("double")))
+    _, trace = latent.fit_density_network(f, "x", "y", latent.DensityNetwork(64, 6, 3, 1), iterations=6)
+    return spark.createDataFrame(list(enumerate(trace)), "step int, error double")
