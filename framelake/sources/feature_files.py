@@ -147,9 +147,11 @@ def read_wav(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_sphere(content: bytes) -> tuple[dict, object]:
-    """(header, samples by channel) of a NIST file of linear or mu-law samples; compressed ones raise. Full scale is 1."""
+    """(header, samples by channel) of a NIST file of linear or mu-law samples, or linear ones in a shorten stream; others raise. Full scale is 1."""
     import numpy as np
 
+    from .shorten import START, unshorten
+
     if content[:7] != b"NIST_1A":
         raise ValueError("not a NIST file")
     size, head = int(content[8:16].split()[0]), {}
@@ -167,6 +169,13 @@ def parse_sphere(content: bytes) -> tuple[dict, object]:
         u = ~np.frombuffer(content, np.uint8, len(content) - size, size)
         level = (((u & 15).astype(int) << 3) + 132 << ((u >> 4) & 7)) - 132
         x = np.where(u & 128, -level, level) / 32768.0
+    elif coding.startswith("pcm,embedded-shorten-v"):
+        x, found = unshorten(content[size:])
+        if not 1 <= found["kind"] <= 6 or found["channels"] != channels:
+            raise ValueError(f"a stream of kind {found['kind']} and {found['channels']} channels")
+        if len(x) < head.get("sample_count", 0):
+            raise ValueError(f"{len(x)} of {head['sample_count']} samples")
+        x = ((x - START.get(found["kind"], 0)) / 2.0 ** (8 * width - 1)).ravel()
     else:
         raise ValueError(f"samples are coded as {coding}")
     x = x[: len(x) // channels * channels].reshape(-1, channels)
