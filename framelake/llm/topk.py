@@ -2,23 +2,24 @@
 
 A score is an inner product of integers, the sum of its partial products over
 ``LISTS`` slices of the components.  Candidates stay in the parts that they are
-read in; a node holds one slice of a block of them, and so one list of partial
-scores for each query.
+read in: a node is a block of them with all its slices, written once, and so one
+list of partial scores a slice for each query.  No vector is sent anywhere.
 
-1. Every node gives its k best partial scores of each query, and only the
-   entries that are among the k best of a list are scored exactly.  The k-th
-   best of these scores is a cutoff t that no true answer is below.
-2. The cutoffs go to all nodes.  A total of at least t has a partial score of
+1. Every task gathers, over its nodes, the k best partial scores of each list and
+   query, and scores exactly what is among them.  The k-th best of these
+   scores over all tasks is a cutoff t that no true answer is below.
+2. The cutoffs go to all tasks.  A total of at least t has a partial score of
    at least t / LISTS in some list, so each node collects just its entries at
-   or above that uniform threshold.  An entry's bound takes the threshold for
-   the lists that did not collect it; those whose bound falls short leave.
-3. The totals of the remaining entries are worked out exactly, from the slices
-   at the nodes, and each query's k best are ranked, ties to the smaller id.
+   or above that uniform threshold; a block whose longest slices cannot reach t
+   with a query's is passed over.  An entry's bound takes the threshold for the
+   lists that did not collect it; those whose bound falls short leave.
+3. The totals of the remaining entries are worked out exactly, and each task
+   sends each query's k best; those are ranked, ties to the smaller id.
 
-Queries are a stated set.  They go to the nodes in slices of about
-``SLICE_BYTES``, so what is broadcast is bounded; a slice is one round of the
-three phases.  Of equal candidates in a block only the k + 1 with the smallest
-ids can be answers, and only they are kept.
+Queries are a stated set.  They go to the tasks in slices of about
+``SLICE_BYTES`` with their results, so what is broadcast and what a task holds is
+bounded; a slice is one round of the three phases.  Of equal candidates in a
+block only the k + 1 with the smallest ids can be answers, and only they are kept.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part, nor do null ids; vectors meet only others of their length (empty ones
@@ -38,7 +39,7 @@ from ._common import hold, write_stage
 LISTS, BLOCK, CHUNK, SLICE_BYTES = 2, 4096, 64, 1 << 25
 #: Queries whose partial scores a worker holds at once.
 AT_ONCE = 512
-_PAIRS = "n int, block long, chunk int, q binary, at binary"
+_BEST = "n int, chunk int, q binary, ids binary, part binary"
 
 
 def _cuts(n: int) -> list[int]:
@@ -55,15 +56,15 @@ def _integers(values, scale: float):
 
 
 def _nodes(rows: DataFrame, scale: float, k: int) -> DataFrame:
-    """(n, list, block, ids, ints): slices of blocks of candidates of one length, in the parts they are read in."""
+    """(n, ids, ints): blocks of candidates of one length, in the parts they are read in."""
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
-        held, number = {}, None
+        held = {}
 
-        def done(n, number):
+        def done(n):
             ids, m = (np.concatenate(x) for x in zip(*held.pop(n)))
             order = np.lexsort((ids, *m.T)) if n else np.argsort(ids, kind="stable")
             ids, m = ids[order], m[order]
@@ -71,17 +72,12 @@ def _nodes(rows: DataFrame, scale: float, k: int) -> DataFrame:
             new[1:] = (m[1:] != m[:-1]).any(axis=1)
             start = np.flatnonzero(new)
             few = np.arange(len(ids)) - start[np.cumsum(new) - 1] <= k
-            ids, m, at = ids[few].astype("<i8").tobytes(), m[few], _cuts(n)
-            slices = [np.ascontiguousarray(m[:, a:b]).astype("<i8").tobytes() for a, b in zip(at, at[1:])]
-            cols = ([n] * LISTS, range(LISTS), [number] * LISTS, [ids] * LISTS, slices)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["n", "list", "block", "ids", "ints"])
+            cols = (n, ids[few].astype("<i8").tobytes(), np.ascontiguousarray(m[few]).astype("<i8").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary()))], names=["n", "ids", "ints"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if number is None:
-                number = batch.column(2)[0].as_py() << 32
             ids, v = batch.column(0).to_numpy(), batch.column(1)
             sizes, flat = np.diff(v.offsets.to_numpy()), _integers(v.flatten().to_numpy(zero_copy_only=False), scale)
             first = np.cumsum(sizes) - sizes
@@ -91,13 +87,11 @@ def _nodes(rows: DataFrame, scale: float, k: int) -> DataFrame:
                     some = mine[lo : lo + BLOCK]
                     held.setdefault(n, []).append((ids[some], flat[first[some][:, None] + np.arange(n)]))
                     if sum(len(x) for x, _ in held[n]) >= BLOCK:
-                        yield done(n, number)
-                        number += 1
+                        yield done(n)
         for n in list(held):
-            yield done(n, number)
-            number += 1
+            yield done(n)
 
-    return write_stage(rows.select("id", "v", F.spark_partition_id().alias("p")).mapInArrow(work, "n int, list int, block long, ids binary, ints binary"), "nodes")
+    return write_stage(rows.select("id", "v").mapInArrow(work, "n int, ids binary, ints binary"), "nodes")
 
 
 class Queries:
@@ -131,196 +125,149 @@ def _partials(q, c, n: int, lists: int = LISTS):
     return q.astype(np.float64) @ c.astype(np.float64).T if most < 2.0**52 else q @ c.T
 
 
-def _load(n: int, which: int, ids: bytes, ints: bytes):
+def _ints(blobs, kind: str = "<i4"):
     import numpy as np
 
-    ids, at = np.frombuffer(ids, "<i8"), _cuts(n)
-    return ids, np.frombuffer(ints, "<i8").reshape(len(ids), at[which + 1] - at[which]), slice(at[which], at[which + 1])
+    return np.frombuffer(b"".join(blobs), kind)
 
 
-def _scan(nodes: DataFrame, shared, k: int | None) -> DataFrame:
-    """(n, block, chunk, list, q, at, part) of each node and chunk: the k best entries of each query, or, with k None, all at or above the uniform threshold."""
+class _Best:
+    """The k best (score, id) of some queries, equal scores by id."""
 
-    def work(batches):
+    def __init__(self, count: int, k: int):
         import numpy as np
-        import pyarrow as pa
 
-        queries = shared.value
-        for batch in batches:
-            for n, which, block, ids, ints in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if n not in queries.by:
-                    continue
-                chunk0, qids, full = queries.by[n]
-                cids, c, part = _load(n, which, ids, ints)
-                for lo in range(0, len(qids), AT_ONCE):
-                    own = np.isin(qids[lo : lo + AT_ONCE], cids)
-                    p = _partials(full[lo : lo + AT_ONCE, part], c, n)
-                    least = -np.inf if p.dtype == float else np.iinfo(np.int64).min
-                    hit = np.zeros(p.shape, bool)
-                    hit[own] = qids[lo : lo + AT_ONCE][own][:, None] == cids[None, :]
-                    if k is None:
-                        t = queries.cut[n][lo : lo + AT_ONCE]
-                        good = (p >= -(-t // LISTS).astype(p.dtype)[:, None]) | (t == np.iinfo(np.int64).min)[:, None]
-                        r, at = np.nonzero(good & ~hit)
-                    else:
-                        p[hit] = least
-                        few = min(k, p.shape[1])
-                        at = np.argpartition(p, p.shape[1] - few, axis=1)[:, p.shape[1] - few :]
-                        r, at = np.repeat(np.arange(len(p)), few), at.ravel()
-                        real = ~hit[r, at]
-                        r, at = r[real], at[real]
-                    value = p[r, at].astype("<i8")
-                    ends = np.searchsorted(r, np.arange(0, len(p) + CHUNK, CHUNK))
-                    for i in np.flatnonzero(np.diff(ends)).tolist():
-                        s = slice(ends[i], ends[i + 1])
-                        cols = (n, block, chunk0 + lo // CHUNK + i, which, (r[s] - i * CHUNK).astype("<i4").tobytes(), at[s].astype("<i4").tobytes(), value[s].tobytes())
-                        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3)
-                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, kinds)], names=["n", "block", "chunk", "list", "q", "at", "part"])
-
-    return nodes.select("n", "list", "block", "ids", "ints").mapInArrow(work, "n int, block long, chunk int, list int, q binary, at binary, part binary")
-
-
-def _groups(batches, keys: int):
-    """(key, rows) of runs of rows with equal first columns."""
-    now, held = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[:keys] != now:
-                yield now, held
-                held = []
-            now = row[:keys]
-            held.append(row[keys:])
-    if held:
-        yield now, held
+        self.k, self.score = k, np.full((count, k), np.iinfo(np.int64).min)
+        self.ids, self.size = np.zeros((count, k), np.int64), np.zeros(count, np.int64)
 
+    def add(self, row, ids, score):
+        import numpy as np
 
-def _ints(blobs, kind: str = "<i4"):
-    import numpy as np
-
-    return np.frombuffer(b"".join(blobs), kind)
-
-
-def _best_of_lists(lists: DataFrame, k: int) -> DataFrame:
-    """Pairs that are among the k best of a list, folded block by block."""
-
-    def work(batches):
+        if not len(row):
+            return
+        who = np.unique(row)
+        held = np.arange(self.k) < self.size[who][:, None]
+        row, ids, score = (np.concatenate(x) for x in ((np.repeat(who, self.size[who]), row), (self.ids[who][held], ids), (self.score[who][held], score)))
+        order = np.lexsort((ids, -score, row))
+        row, ids, score = row[order], ids[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        few = place < self.k
+        self.ids[row[few], place[few]], self.score[row[few], place[few]] = ids[few], score[few]
+        self.size[who] = np.minimum(np.bincount(row, minlength=len(self.size))[who], self.k)
+
+    def chunks(self, n: int, chunk: int):
+        """Batches of _BEST, one for each CHUNK queries."""
         import numpy as np
         import pyarrow as pa
 
-        def rows(n, chunk, best):
-            found = np.unique(np.concatenate([np.stack([b, q, at], axis=1) for b, q, at, _ in best.values()]), axis=0)
-            edge = [0, *(np.flatnonzero(np.diff(found[:, 0])) + 1).tolist(), len(found)]
-            for lo, hi in zip(edge, edge[1:]):
-                cols = (n, int(found[lo, 0]), chunk, found[lo:hi, 1].astype("<i4").tobytes(), found[lo:hi, 2].astype("<i4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["n", "block", "chunk", "q", "at"])
-
-        now, best = None, {}
-        for batch in batches:
-            for n, chunk, which, block, q, at, part in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if now is not None and now != (n, chunk):
-                    yield from rows(*now, best)
-                    best = {}
-                now, q = (n, chunk), _ints([q])
-                new = (np.full(len(q), block), q, _ints([at]), _ints([part], "<i8"))
-                if which in best:
-                    new = tuple(np.concatenate(x) for x in zip(best[which], new))
-                order = np.lexsort((-new[3], new[1]))
-                q = new[1][order]
-                order = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
-                best[which] = tuple(x[order] for x in new)
-        if now is not None:
-            yield from rows(*now, best)
-
-    sent = lists.repartition("n", "chunk").sortWithinPartitions("n", "chunk")
-    return sent.select("n", "chunk", "list", "block", "q", "at", "part").mapInArrow(work, _PAIRS)
+        for k, lo in enumerate(range(0, len(self.size), CHUNK)):
+            size = self.size[lo : lo + CHUNK]
+            held = np.arange(self.k) < size[:, None]
+            if size.any():
+                cols = (n, chunk + k, np.repeat(np.arange(len(size)), size).astype("<i4").tobytes(), self.ids[lo : lo + CHUNK][held].astype("<i8").tobytes(), self.score[lo : lo + CHUNK][held].astype("<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 3))], names=["n", "chunk", "q", "ids", "part"])
 
 
-def _within_bounds(lists: DataFrame, shared) -> DataFrame:
-    """Pairs whose partial scores, with the threshold for what no list collected, reach the cutoff."""
+def _scan(nodes: DataFrame, shared, k: int, scored) -> DataFrame:
+    """(n, chunk, q, ids, part): the k best totals that a task finds for each query, in phase 1, or with cutoffs in phases 2 and 3."""
 
     def work(batches):
         import numpy as np
-        import pyarrow as pa
-
-        queries = shared.value
-        for (n, block, chunk), rows in _groups(batches, 3):
-            q, at, part = _ints(r[0] for r in rows), _ints(r[1] for r in rows), _ints((r[2] for r in rows), "<i8")
-            key, where, seen = np.unique(q.astype(np.int64) << 32 | at, return_inverse=True, return_counts=True)
-            total = np.zeros(len(key), np.int64)
-            np.add.at(total, where, part)
-            q, at = (key >> 32).astype(np.int64), key & 0xFFFFFFFF
-            t = queries.cut[n][queries.rows(n, chunk, q)]
-            none = t == np.iinfo(np.int64).min
-            good = none | (total + (LISTS - seen) * (-(-np.where(none, 0, t) // LISTS) - 1) >= t)
-            cols = (n, block, chunk, q[good].astype("<i4").tobytes(), at[good].astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["n", "block", "chunk", "q", "at"])
-
-    sent = lists.repartition("n", "block", "chunk").sortWithinPartitions("n", "block", "chunk")
-    return sent.select("n", "block", "chunk", "q", "at", "part").mapInArrow(work, _PAIRS)
-
-
-def _exact(pairs: DataFrame, nodes: DataFrame, shared, k: int, scored) -> DataFrame:
-    """(n, chunk, q, ids, scores): the k best totals of each query among the pairs."""
-    asked = pairs.withColumns({"list": F.explode(F.array(*map(F.lit, range(LISTS)))), "ids": F.lit(None).cast("binary"), "ints": F.lit(None).cast("binary")})
-    held = nodes.withColumns({"chunk": F.lit(None).cast("int"), "q": F.lit(None).cast("binary"), "at": F.lit(None).cast("binary")})
-    names = ["n", "list", "block", "chunk", "ids", "ints", "q", "at"]
-    sent = asked.select(*names).unionByName(held.select(*names)).repartition("n", "list", "block").sortWithinPartitions("n", "list", "block", F.col("chunk").asc_nulls_first())
-
-    def partial(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        queries, node = shared.value, None
+        queries, best, tops = shared.value, {}, {}
+        low = np.iinfo(np.int64).min
         for batch in batches:
-            for n, which, block, chunk, ids, ints, q, at in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                if chunk is None:
-                    node = _load(n, which, ids, ints)
+            for n, ids, ints in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if n not in queries.by:
                     continue
-                cids, c, part = node
-                q, at = _ints([q]), _ints([at])
-                value = (queries.by[n][2][queries.rows(n, chunk, q), part] * c[at]).sum(axis=1)
-                if scored is not None and not which:
-                    scored.add(len(q))
-                cols = (n, block, chunk, q.tobytes(), cids[at].tobytes(), value.astype("<i8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["n", "block", "chunk", "q", "ids", "part"])
-
-    def best(keys, many):
-        def work(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            for key, rows in _groups(batches, keys):
-                q, ids, value = _ints([rows[0][0]] if many else (r[0] for r in rows)), _ints([rows[0][1]] if many else (r[1] for r in rows), "<i8"), None
-                value = sum(_ints([r[2]], "<i8") for r in rows) if many else _ints((r[2] for r in rows), "<i8")  # the lists of a block, or the blocks of a chunk
-                order = np.lexsort((ids, -value, q))
-                q, ids, value = q[order], ids[order], value[order]
-                few = np.arange(len(q)) - np.searchsorted(q, q) < k
-                cols = (key[0], key[1], q[few].tobytes(), ids[few].tobytes(), value[few].astype("<i8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["n", "chunk", "q", "ids", "part"])
-
-        return work
-
-    kind = "n int, chunk int, q binary, ids binary, part binary"
-    parts = sent.mapInArrow(partial, "n int, block long, chunk int, q binary, ids binary, part binary")
-    totals = parts.repartition("n", "chunk", "block").sortWithinPartitions("n", "chunk", "block").select("n", "chunk", "block", "q", "ids", "part").mapInArrow(best(3, True), kind)
-    return totals.repartition("n", "chunk").sortWithinPartitions("n", "chunk").mapInArrow(best(2, False), kind)
+                _, qids, full = queries.by[n]
+                cids = np.frombuffer(ids, "<i8")
+                c, cuts = np.frombuffer(ints, "<i8").reshape(len(cids), n), _cuts(n)
+                found = best.setdefault(n, _Best(len(qids), k))
+                longest = [np.sqrt((c[:, a:b].astype(float) ** 2).sum(axis=1).max(initial=0)) for a, b in zip(cuts, cuts[1:])]
+                for lo in range(0, len(qids), AT_ONCE):
+                    mine = np.arange(lo, min(lo + AT_ONCE, len(qids)))
+                    t = None if queries.cut[n] is None else queries.cut[n][mine]
+                    if t is not None:  # what a query and the longest slices of the block can reach
+                        reach = sum(np.sqrt((full[mine, a:b].astype(float) ** 2).sum(axis=1)) * most for a, b, most in zip(cuts, cuts[1:], longest))
+                        mine = mine[reach * (1 + 1e-9) + 1 >= t]
+                        t = queries.cut[n][mine]
+                    if not len(mine):
+                        continue
+                    parts = [_partials(full[mine, a:b], c[:, a:b], n) for a, b in zip(cuts, cuts[1:])]
+                    hit = np.zeros(parts[0].shape, bool)
+                    own = np.isin(qids[mine], cids)
+                    hit[own] = qids[mine][own][:, None] == cids[None, :]
+                    if t is None:
+                        chosen = np.zeros(hit.shape, bool)
+                        for which, p in enumerate(parts):
+                            p = np.where(hit, -np.inf if p.dtype == float else low, p)
+                            few = min(k, p.shape[1])
+                            at = np.argpartition(p, p.shape[1] - few, axis=1)[:, p.shape[1] - few :]
+                            value = np.take_along_axis(p, at, axis=1)
+                            # the k best of this list so far, over the task's nodes
+                            top = tops.setdefault((n, which), {}).get(lo)
+                            top = value if top is None else np.concatenate([top, value], axis=1)
+                            top = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k :] if top.shape[1] > k else top
+                            tops[n, which][lo] = top
+                            least = top.min(axis=1) if top.shape[1] == k else np.full(len(top), -np.inf if p.dtype == float else low)
+                            r, j = np.nonzero(value >= least[:, None])
+                            chosen[r, at[r, j]] = True
+                        r, at = np.nonzero(chosen & ~hit)
+                    else:
+                        none = t == low
+                        floor = -(-np.where(none, 0, t) // LISTS)
+                        seen, sure = np.zeros(hit.shape, np.int8), 0.0
+                        for p in parts:
+                            over = p >= floor[:, None]
+                            seen += over
+                            sure = sure + np.where(over, p, (floor - 1)[:, None])
+                        r, at = np.nonzero(((seen > 0) & (sure >= t[:, None]) | none[:, None]) & ~hit)
+                    value = sum(p[r, at].astype(np.int64) for p in parts)
+                    if scored is not None:
+                        scored.add(len(r))
+                    if t is not None:
+                        good = value >= t[r]
+                        r, at, value = r[good], at[good], value[good]
+                    found.add(mine[r], cids[at], value)
+        for n, held in best.items():
+            yield from held.chunks(n, queries.by[n][0])
+
+    return nodes.select("n", "ids", "ints").mapInArrow(work, _BEST)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query over all tasks, a row for each chunk of queries."""
+
+    def work(batches):
+        now, best = None, None
+        for batch in batches:
+            for n, chunk, q, ids, part in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if now != (n, chunk):
+                    if now is not None:
+                        yield from best.chunks(*now)
+                    now, best = (n, chunk), _Best(CHUNK, k)
+                best.add(_ints([q]).astype("int64"), _ints([ids], "<i8"), _ints([part], "<i8"))
+        if now is not None:
+            yield from best.chunks(*now)
+
+    return found.repartition("n", "chunk").sortWithinPartitions("n", "chunk").mapInArrow(work, _BEST)
 
 
 def _round(nodes: DataFrame, queries: Queries, k: int, scored) -> DataFrame:
     import numpy as np
 
     sc = nodes.sparkSession.sparkContext
-    shared = sc.broadcast(queries)  # at most about SLICE_BYTES
-    first = _exact(_best_of_lists(_scan(nodes, shared, k), k), nodes, shared, k, scored)
-    low = np.iinfo(np.int64).min
-    queries.cut = {n: np.full(len(ids), low) for n, (_, ids, _) in queries.by.items()}
+    first = _merged(_scan(nodes, sc.broadcast(queries), k, scored), k)  # at most about SLICE_BYTES
+    cut = {n: np.full(len(ids), np.iinfo(np.int64).min) for n, (_, ids, _) in queries.by.items()}
     for r in first.select("n", "chunk", "q", "part").collect():  # k scores a query of the slice
         q, value = np.frombuffer(r["q"], "<i4"), np.frombuffer(r["part"], "<i8")
         at, count = np.unique(q, return_counts=True)
         full = at[count == k]
-        queries.cut[r["n"]][queries.rows(r["n"], r["chunk"], full)] = value[np.searchsorted(q, full, "right") - 1]
+        cut[r["n"]][queries.rows(r["n"], r["chunk"], full)] = value[np.searchsorted(q, full, "right") - 1]
+    queries.cut = cut
     shared = sc.broadcast(queries)
-    found = _exact(_within_bounds(_scan(nodes, shared, None), shared), nodes, shared, k, scored)
+    found = _merged(_scan(nodes, shared, k, scored), k)
 
     def ranks(batches):
         import numpy as np
@@ -347,7 +294,7 @@ def top_scores(rows: DataFrame, is_query: Column, k: int = 20, scale: float = 64
     usable = rows.where(fit).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     nodes = _nodes(usable, scale, k)
     asks = hold(usable.where("asks").select("id", "v"))
-    size = asks.agg(F.sum(8 * (F.size("v") + 1))).first()[0] or 0
+    size = asks.agg(F.sum(8 * (F.size("v") + 1) + 32 * k)).first()[0] or 0  # with its results, and the best of its lists
     slices, out = max(1, -(-size // SLICE_BYTES)), None
     for s in range(slices):
         mine = asks.where(F.pmod(F.xxhash64("id", "v"), F.lit(slices)) == s) if slices > 1 else asks
