@@ -4,7 +4,9 @@ A document is the average of learned vectors of its words and of their
 character n-grams (3 to 5, with word ends marked), hashed into ``CELLS`` cells;
 a word that repeats the one before it counts as one more feature.  A softmax over
 two classes reads the average.  Vectors and softmax are trained by stochastic
-gradient descent in numpy on a bounded sample of labelled documents
+gradient descent in numpy, a vector's step scaled by the root of its share of the
+document instead of the share (so rare features learn faster than by the plain gradient),
+on a bounded sample of labelled documents
 (``sample`` ids, taken in the order of a hash of their ids, with texts of at most
 ``sample_chars`` characters, so at most their product comes to the one task that
 trains).
